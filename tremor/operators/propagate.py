@@ -49,7 +49,7 @@ def systems_table(eco: Economy, names: Iterable[str] = SYSTEM_SPECS) -> DataFram
     return out
 
 
-def _keyed(df: DataFrame, system, kind, run_id, home_region=F.lit(""), home_sector=F.lit("")) -> DataFrame:
+def _keyed(df: DataFrame, system, kind, run_id, home_region="", home_sector="") -> DataFrame:
     as_col = lambda v: F.lit(v) if isinstance(v, str) else v
     return df.select(as_col(system).alias("system"), as_col(kind).alias("kind"), as_col(run_id).alias("run_id"),
                      as_col(home_region).alias("home_region"), as_col(home_sector).alias("home_sector"),

@@ -32,9 +32,12 @@ def query(fn):
 
 
 def r(c: Column | str, d: int) -> Column:
-    """Round, and turn -0.0 into 0.0."""
+    """Round half away from zero on ``c·10^d`` (the same operation as the oracle's
+    ``round(x, d)``, so ties in the binary value resolve identically), and turn -0.0
+    into 0.0."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, d) + F.lit(0.0)
+    scale = float(10 ** d)
+    return F.round(c * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
 
 
 def money(c, name=None):
@@ -61,7 +64,7 @@ def flow_table(spark: SparkSession, d: str) -> DataFrame:
 @query
 def gross_output(spark, d):
     """M6: x = L·y by the series (equals X up to truncation)."""
-    return store.gross_output(spark, d).select(*LABEL, money("value", "gross_output"))
+    return store.gross_output(spark, d).select(*LABEL, r("value", 0).alias("gross_output"))
 
 
 @query
@@ -97,7 +100,8 @@ def _inverse_top(m: DataFrame, n: int = 50) -> DataFrame:
     from pyspark.sql import Window
     off = m.where((F.col("producer_region") != F.col("consumer_region")) | (F.col("producer_sector") != F.col("consumer_sector")))
     w = Window.orderBy(F.col("value").desc(), *CELL)  # one ranking over ≤ labels² cells
-    return off.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("rank", *CELL, coef("value"))
+    return off.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(
+        F.col("rank").cast("bigint").alias("rank"), *CELL, coef("value"))
 
 
 @query
@@ -187,7 +191,8 @@ def top_impacts_pct(spark, d):
     """Top 100 by absolute % change, Ghosh."""
     eco = store.economy(spark, d)
     t = reports.top_impacts(store.dx(spark, d, "ghosh"), eco.X, store.scenarios(spark, d), eco.regions, fixtures.TOP_N, "percentage")
-    return t.select("scenario_id", "rank", "region", "country", "sector", money("change"), share("pct_change"))
+    return t.select("scenario_id", F.col("rank").cast("bigint").alias("rank"), "region", "country", "sector",
+                    money("change"), share("pct_change"))
 
 
 @query
@@ -195,4 +200,396 @@ def top_impacts_abs(spark, d):
     """Top 100 by absolute money change, Ghosh."""
     eco = store.economy(spark, d)
     t = reports.top_impacts(store.dx(spark, d, "ghosh"), eco.X, store.scenarios(spark, d), eco.regions, fixtures.TOP_N, "absolute")
-    return t.select("scenario_id", "rank", "region", "country", "sector", money("change"), share("pct_change"))
+    return t.select("scenario_id", F.col("rank").cast("bigint").alias("rank"), "region", "country", "sector",
+                    money("change"), share("pct_change"))
+
+
+# ---------------------------------------------------------------- attribution
+
+def _causes(spark, d, method):
+    eco = store.economy(spark, d)
+    sc = store.scenarios(spark, d)
+    if method in ("leontief", "ghosh"):
+        infl = store.influence(spark, d, method)
+    else:
+        infl = att.first_order_influence(eco.A, store.homes(spark))
+    return att.attribute(store.dx(spark, d, method), sc, store.homes(spark), infl)
+
+
+def _cause_cols(df):
+    return df.select("scenario_id", *HOME, "cause_region", "cause_sector", money("contribution"),
+                     share("share_pct"), money("total_impact"))
+
+
+@query
+def home_attribution_ghosh(spark, d):
+    """T1-T3, Ghosh: G[shock, home]·|Δx_shock|."""
+    return _cause_cols(_causes(spark, d, "ghosh"))
+
+
+@query
+def home_attribution_leontief(spark, d):
+    """T1-T3, Leontief: L[home, shock]·|Δx_shock|."""
+    return _cause_cols(_causes(spark, d, "leontief"))
+
+
+@query
+def home_attribution_direct(spark, d):
+    """T1-T3, first order: A[shock, home]·|Δx_shock| (direct model's Δx)."""
+    return _cause_cols(_causes(spark, d, "direct"))
+
+
+@query
+def portfolio_attribution(spark, d):
+    """T4, Ghosh, portfolios p1 and p4 against every scenario."""
+    out = att.attribute_portfolio(store.dx(spark, d, "ghosh"), store.scenarios(spark, d), store.positions(spark),
+                                  store.influence(spark, d, "ghosh"))
+    return out.select("scenario_id", "portfolio_id", "cause_region", "cause_sector", money("contribution"),
+                      share("share_pct"), money("total_impact"))
+
+
+def _rolled(spark, d, level):
+    eco = store.economy(spark, d)
+    return att.rollup_causes(_causes(spark, d, "ghosh"), level, eco.regions, ["scenario_id"])
+
+
+@query
+def causes_by_country(spark, d):
+    """T5: shares by country display name."""
+    return _rolled(spark, d, "country").select("scenario_id", "item", share("value"))
+
+
+@query
+def causes_by_sector(spark, d):
+    """T5: shares by sector."""
+    return _rolled(spark, d, "sector").select("scenario_id", "item", share("value"))
+
+
+@query
+def top_contributors(spark, d):
+    """Top 3 causes ("name - sector"), Others, Total."""
+    t = att.top_contributors(_rolled(spark, d, "none"), ["scenario_id"], 3)
+    return t.select("scenario_id", F.col("position").cast("bigint").alias("position"), "item", share("value"), share("top_share"))
+
+
+@query
+def country_contributions(spark, d):
+    """Shares per cause country with ISO3; regions without one drop out."""
+    eco = store.economy(spark, d)
+    c = att.country_contributions(_causes(spark, d, "ghosh"), eco.regions, ["scenario_id"])
+    return c.select("scenario_id", "cause_region", "iso3", "name", share("share_pct"))
+
+
+@query
+def signed_contributions(spark, d):
+    """Non-zero contributions negated plus a total row."""
+    s = att.signed_contributions(_causes(spark, d, "ghosh"), ["scenario_id"], ["cause_region", "cause_sector"])
+    return s.select("scenario_id", "cause_region", "cause_sector", money("value"), "is_total")
+
+
+# ---------------------------------------------------------------- reports
+
+@query
+def home_impact(spark, d):
+    """R1, Ghosh."""
+    eco = store.economy(spark, d)
+    h = reports.home_impact(eco.X, store.dx(spark, d, "ghosh"), store.homes(spark))
+    return h.select("scenario_id", *HOME, "before", money("delta_x"), money("after"), share("pct_change"))
+
+
+@query
+def portfolio_impact(spark, d):
+    """R2/R4, Ghosh."""
+    eco = store.economy(spark, d)
+    p = reports.portfolio_impact(eco.X, store.dx(spark, d, "ghosh"), store.positions(spark))
+    return p.select("scenario_id", "portfolio_id", money("before"), money("delta"), money("after"), share("pct_change"),
+                    money("total_abs_change"), share("total_rel_change"))
+
+
+@query
+def portfolio_breakdown(spark, d):
+    """R3, Ghosh."""
+    eco = store.economy(spark, d)
+    b = reports.portfolio_breakdown(eco.X, store.dx(spark, d, "ghosh"), store.positions(spark), eco.regions)
+    return b.select("scenario_id", "portfolio_id", "region", "region_name", "sector", "weight",
+                    money("abs_change"), share("rel_change"))
+
+
+@query
+def headline(spark, d):
+    """Count of shocks, region label and % change at the home (Ghosh)."""
+    eco = store.economy(spark, d)
+    specs, _ = store.scenario_inputs(spark)
+    h = reports.home_impact(eco.X, store.dx(spark, d, "ghosh"), store.homes(spark)).select("scenario_id", "pct_change")
+    out = reports.headline(specs.select("scenario_id", "region_spec"), store.scenarios(spark, d), h, eco.regions,
+                           scn.valid_groups(eco.groups, eco.labels))
+    return out.select("scenario_id", "region_label", "n_shocks", share("pct_change"))
+
+
+def _history(spark, d, strict):
+    eco = store.economy(spark, d)
+    dec = "decimal(38,4)"
+    hist = eco.history.withColumn("value", F.col("value").cast(dec))
+    x = eco.X.withColumn("value", F.col("value").cast(dec))
+    h = reports.shock_history(hist, x, store.scenarios(spark, d), strict)
+    return h.select("scenario_id", "year", F.col("history_output").cast("double").alias("history_output"),
+                    F.col("base_output").cast("double").alias("base_output"), money(F.col("post_shock_output").cast("double"), "post_shock_output"))
+
+
+@query
+def shock_history(spark, d):
+    """Yearly output over the shocked labels, pre/post shock levels."""
+    return _history(spark, d, False)
+
+
+@query
+def shock_history_strict(spark, d):
+    """As R7, but a scenario with any shocked label lacking history is empty."""
+    return _history(spark, d, True)
+
+
+@query
+def lost_input_flows(spark, d):
+    """R9, Leontief parity."""
+    eco = store.economy(spark, d)
+    f = reports.lost_input_flows(eco.A, store.dx(spark, d, "leontief"))
+    return f.select("scenario_id", *CELL, money("flow"))
+
+
+@query
+def impact_paths(spark, d):
+    """R10, Ghosh, home NATION_5 AUTOMOBILE."""
+    eco = store.economy(spark, d)
+    e = reports.impact_paths(eco.A, store.dx(spark, d, "ghosh"), store.scenarios(spark, d), store.homes(spark),
+                             eco.labels, fixtures.PATH_K)
+    return e.select("scenario_id", "source_region", "source_sector", "target_region", "target_sector", money("flow"), "edge")
+
+
+@query
+def portfolio_paths(spark, d):
+    """R11, Ghosh, portfolios p1 and p4."""
+    eco = store.economy(spark, d)
+    e = reports.portfolio_paths(eco.A, store.dx(spark, d, "ghosh"), store.scenarios(spark, d), store.positions(spark),
+                                eco.labels, fixtures.PATH_K)
+    return e.select("scenario_id", "portfolio_id", "source_region", "source_sector", "target_region", "target_sector",
+                    money("flow"), "edge")
+
+
+@query
+def path_nodes(spark, d):
+    """Nodes of the single-home path diagram with role and display name."""
+    eco = store.economy(spark, d)
+    sc = store.scenarios(spark, d)
+    mids = reports.key_intermediaries(eco.A, store.dx(spark, d, "ghosh"), sc, store.homes(spark), eco.labels, fixtures.PATH_K)
+    return reports.path_nodes(sc, mids, store.homes(spark), eco.regions)
+
+
+# ---------------------------------------------------------------- scenarios
+
+@query
+def service_scenario(spark, d):
+    """Material sectors of service_6 × nations of EUROPE at 10 %."""
+    return store.scenarios(spark, d).where(F.col("scenario_id") == "service")
+
+
+@query
+def group_scenario(spark, d):
+    """K1/K2/K4/K8: every fixed scenario resolved to its shocks."""
+    return store.scenarios(spark, d)
+
+
+def _levels(shocks, X):
+    lv = scn.shock_levels(X, shocks)
+    return lv.select("scenario_id", *LABEL, "magnitude", "x", money("x_new"), money("delta_x"))
+
+
+@query
+def scenario_edits(spark, d):
+    """K5: an edit log replayed (update, delete, re-add, clear), tied to the data."""
+    eco = store.economy(spark, d)
+    edits = spark.createDataFrame(fixtures.SCENARIO_EDITS, "scenario_id string, seq int, op string, region string, sector string, magnitude double")
+    return _levels(scn.apply_edits(edits, "scenario_id", "magnitude"), eco.X)
+
+
+@query
+def shock_levels(spark, d):
+    """K9: x, x·(1−mag), Δx of every shock of every scenario."""
+    eco = store.economy(spark, d)
+    return _levels(store.scenarios(spark, d), eco.X)
+
+
+@query
+def portfolio_check(spark, d):
+    """K7: weight totals within the reference tolerance; assets known to the economy."""
+    eco = store.economy(spark, d)
+    pf = store.portfolios(spark)
+    known = (pf.join(eco.labels, LABEL, "left_semi").groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n_known")))
+    return scn.validate_portfolio(pf).join(known, "portfolio_id", "left").select(
+        "portfolio_id", "total_weight", "n_assets", "is_valid", F.coalesce("n_known", F.lit(0)).cast("bigint").alias("n_known"))
+
+
+@query
+def portfolio_edits(spark, d):
+    """K6: portfolio edit log replayed, valued at the economy's output."""
+    eco = store.economy(spark, d)
+    edits = spark.createDataFrame(fixtures.PORTFOLIO_EDITS, "portfolio_id string, seq int, op string, region string, sector string, weight double")
+    pf = scn.apply_edits(edits, "portfolio_id", "weight")
+    return pf.join(eco.X, LABEL).select("portfolio_id", *LABEL, "weight", F.col("value").alias("x"))
+
+
+@query
+def label_split(spark, d):
+    """Every label of every scenario flagged shocked or free."""
+    eco = store.economy(spark, d)
+    return scn.partition_labels(eco.labels, store.scenarios(spark, d))
+
+
+@query
+def matrix_blocks(spark, d):
+    """Cells and sum of A in the NN/NM/MN/MM blocks of every scenario."""
+    eco = store.economy(spark, d)
+    return scn.block_summary(eco.A, store.scenarios(spark, d)).select("scenario_id", "block", "cells", coef("total"))
+
+
+@query
+def vector_lookup(spark, d):
+    """X and Y at the portfolio labels."""
+    eco = store.economy(spark, d)
+    pf = store.portfolios(spark).select("portfolio_id", *LABEL)
+    x = scn.at_labels(eco.X.withColumnRenamed("value", "x"), pf)
+    return scn.at_labels(eco.Y.withColumnRenamed("value", "y"), x).select("portfolio_id", *LABEL, "x", "y")
+
+
+# ---------------------------------------------------------------- lookups
+
+def _codes(eco):
+    return eco.labels.select("region").union(eco.groups.select("region")).distinct()
+
+
+@query
+def region_lookup(spark, d):
+    """Display name, falling back to the code."""
+    eco = store.economy(spark, d)
+    return lookup.with_region_name(_codes(eco), "region", eco.regions).select("region", "region_name")
+
+
+@query
+def region_lookup_strict(spark, d):
+    """Display name, null for unknown codes."""
+    eco = store.economy(spark, d)
+    return lookup.with_region_name(_codes(eco), "region", eco.regions, strict=True, out="country").select("region", "country")
+
+
+@query
+def region_iso3(spark, d):
+    """D3: ISO3 codes; regions without one are dropped."""
+    eco = store.economy(spark, d)
+    return lookup.with_iso3(_codes(eco), "region", eco.regions).select("region", "iso3")
+
+
+@query
+def region_groups(spark, d):
+    """Groups limited to present regions; an emptied group disappears."""
+    eco = store.economy(spark, d)
+    return scn.valid_groups(eco.groups, eco.labels)
+
+
+@query
+def catalog_listing(spark, d):
+    """Regions with names, groups, sectors, services; default service
+    ``Pollination`` if present, else the first."""
+    eco = store.economy(spark, d)
+    regs = lookup.with_region_name(eco.labels.select("region").distinct(), "region", eco.regions).select(
+        F.lit("region").alias("kind"), F.col("region").alias("value"), F.col("region_name").alias("label"))
+    grps = scn.valid_groups(eco.groups, eco.labels).select("group_name").distinct().select(
+        F.lit("group").alias("kind"), F.col("group_name").alias("value"), F.col("group_name").alias("label"))
+    secs = eco.labels.select("sector").distinct().select(F.lit("sector").alias("kind"), F.col("sector").alias("value"), F.col("sector").alias("label"))
+    svc = store.material(spark, d).select("service").distinct()
+    first = svc.agg(F.min("service").alias("first"), F.max(F.when(F.col("service") == "Pollination", 1)).alias("has_p"))
+    svcs = (svc.crossJoin(first)  # one-row aggregate
+            .select(F.lit("service").alias("kind"), F.col("service").alias("value"), F.col("service").alias("label"),
+                    F.when(F.col("has_p") == 1, F.col("service") == "Pollination").otherwise(F.col("service") == F.col("first")).alias("is_default")))
+    rest = regs.unionByName(grps).unionByName(secs).withColumn("is_default", F.lit(False))
+    return rest.unionByName(svcs)
+
+
+@query
+def short_labels(spark, d):
+    """D11: "name - sector" display labels shortened to 16 and to 60 characters."""
+    eco = store.economy(spark, d)
+    named = lookup.with_region_name(eco.labels, "region", eco.regions)
+    full = F.concat_ws(" - ", "region_name", "sector")
+    return named.select(*LABEL, lookup.truncate_label(full, 16).alias("short_16"), lookup.truncate_label(full, 60).alias("short_60"))
+
+
+# ---------------------------------------------------------------- materiality
+
+def _matched(spark, d, fallback):
+    r, x = store.ratings_tables(spark, d)
+    return mat.match_ratings(r, x, fallback)
+
+
+@query
+def ratings_match(spark, d):
+    """Joined rating rows (four keys, then the three-key fallback over all rows)."""
+    joined, _ = _matched(spark, d, "all")
+    return joined.select(*mat.KEYS4, "sector")
+
+
+@query
+def ratings_unmatched(spark, d):
+    """Rating rows left without a sector."""
+    _, un = _matched(spark, d, "all")
+    return un.select(*mat.KEYS4)
+
+
+def _materiality(spark, d, fallback):
+    joined, _ = _matched(spark, d, fallback)
+    return mat.materiality_counts(joined).where("material").select("service", "sector", "vh", "h", "n")
+
+
+@query
+def materiality(spark, d):
+    """B1 (reference behaviour: fallback over all rows)."""
+    return _materiality(spark, d, "all")
+
+
+@query
+def materiality_intent(spark, d):
+    """B1 with the fallback over unmatched rows only."""
+    return _materiality(spark, d, "unmatched")
+
+
+# ---------------------------------------------------------------- search
+
+@query
+def high_flow_pairs(spark, d):
+    """Flows from BUILDING and FURNITURE producers above their 95th
+    percentile, different region and sector."""
+    return store.pairs(spark, d).select(*CELL, F.col("value").alias("flow"))
+
+
+@query
+def max_impact_scenario(spark, d):
+    """The pair whose 10 % producer shock moves the consumer's Δy most."""
+    eco = store.economy(spark, d)
+    best = search.max_impact_scenario(eco, store.pairs(spark, d), fixtures.SEARCH_MAGNITUDE, store.search_dx(spark, d))
+    return best.select("shock_region", "shock_sector", "home_region", "home_sector", money("impact"))
+
+
+@query
+def default_scenario(spark, d):
+    """Strongest cross-border dependency of a large producer of the listed
+    sectors by L, regions without ISO3 excluded."""
+    eco = store.economy(spark, d)
+    excluded = [row.region for row in eco.regions.where(F.col("iso3").isNull()).select("region").collect()]
+    out = search.default_scenario(eco, store.leontief_inverse(spark, d), fixtures.SEARCH_SECTORS, excluded,
+                                  fixtures.DEFAULT_QUANTILE, fixtures.DEFAULT_TRIES)
+    return out.select("home_region", "home_sector", "shock_region", "shock_sector", coef("dependency"))
+
+
+@query
+def scenario_batch(spark, d):
+    """Every scenario × method side by side."""
+    s = search.scenario_summary(store.impacts(spark, d))
+    return s.select("method", "scenario_id", money("total_change"), money("largest_loss"), "labels_moved")

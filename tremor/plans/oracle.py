@@ -235,7 +235,7 @@ FROM A a JOIN X x ON a.consumer_region = x.region AND a.consumer_sector = x.sect
 
 SQL["gross_output"] = with_(ECONOMY, "yseed AS (SELECT 'y' AS run, region, sector, value AS d FROM Y)",
                             series("xit", "yseed", "A_col", None)) + f"""
-SELECT region, sector, {R('value', 2)} AS gross_output FROM xit_sum"""
+SELECT region, sector, {R('value', 0)} AS gross_output FROM xit_sum"""
 
 SQL["final_demand"] = with_(ECONOMY) + "SELECT region, sector, value AS final_demand FROM Y"
 
@@ -261,7 +261,7 @@ def _inverse_top_sql(kind: str) -> str:
         cells = """cells AS (SELECT region AS producer_region, sector AS producer_sector,
                                   split_part(run, '|', 1) AS consumer_region, split_part(run, '|', 2) AS consumer_sector, value FROM inv_sum)"""
     return with_(ECONOMY, seed, it, cells) + f"""
-SELECT rank, {CELL}, {R('value', 10)} AS value FROM (
+SELECT CAST(rank AS BIGINT) AS rank, {CELL}, {R('value', 10)} AS value FROM (
   SELECT *, row_number() OVER (ORDER BY value DESC, {CELL}) AS rank FROM cells
   WHERE producer_region <> consumer_region OR producer_sector <> consumer_sector) t
 WHERE rank <= 50"""
@@ -328,9 +328,390 @@ def _top_impacts_sql(key: str) -> str:
   FROM dx_ghosh d JOIN X x USING (region, sector)
   WHERE NOT EXISTS (SELECT 1 FROM shocks s WHERE s.scenario_id = d.scenario_id AND s.region = d.region AND s.sector = d.sector))""",
                  f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY abs({key}) DESC, region, sector) AS rank FROM base)""") + f"""
-SELECT r.scenario_id, r.rank, r.region, g.name AS country, r.sector, {R('r.delta_x', 2)} AS change, {R('r.pct_change', 6)} AS pct_change
+SELECT r.scenario_id, CAST(r.rank AS BIGINT) AS rank, r.region, g.name AS country, r.sector, {R('r.delta_x', 2)} AS change, {R('r.pct_change', 6)} AS pct_change
 FROM ranked r LEFT JOIN regions g ON g.region = r.region WHERE r.rank <= {fixtures.TOP_N}"""
 
 
 SQL["top_impacts_pct"] = _top_impacts_sql("pct_change")
 SQL["top_impacts_abs"] = _top_impacts_sql("delta_x")
+
+
+# ---------------------------------------------------------------- shared inputs
+
+HOMES = "homes AS " + values([(s, *fixtures.HOME) for s in fixtures.SCENARIO_IDS], ["scenario_id", "home_region", "home_sector"])
+POSITIONS = "pos AS (SELECT *, weight / 100.0 AS w FROM " + values(
+    [(s, *p) for s in fixtures.SCENARIO_IDS for p in fixtures.PORTFOLIOS if p[0] in fixtures.VALUED_PORTFOLIOS],
+    ["scenario_id", "portfolio_id", "region", "sector", "weight"]) + " p0)"
+PORTFOLIOS = "pf AS " + values(fixtures.PORTFOLIOS, ["portfolio_id", "region", "sector", "weight"])
+
+
+def _base(*methods: str) -> list[str]:
+    return [ECONOMY, RATINGS, scenarios_cte(), *[impact_ctes(m) for m in methods], HOMES, POSITIONS]
+
+
+def _influence(method: str, targets: str) -> list[str]:
+    """``infl(home_region, home_sector, region, sector, value)`` for the labels of
+    CTE ``targets(region, sector)``: row of L, column of G, or column of A."""
+    if method == "direct":
+        return [f"""infl AS (SELECT a.consumer_region AS home_region, a.consumer_sector AS home_sector,
+                    a.producer_region AS region, a.producer_sector AS sector, a.value FROM A a
+                    JOIN (SELECT DISTINCT region, sector FROM {targets}) t ON a.consumer_region = t.region AND a.consumer_sector = t.sector)"""]
+    matrix = "A_row" if method == "leontief" else "B_col"
+    return [f"""iseed AS (SELECT DISTINCT region || '|' || sector AS run, region, sector, CAST(1.0 AS DOUBLE) AS d FROM {targets})""",
+            series("iit", "iseed", matrix, None),
+            """infl AS (SELECT split_part(run, '|', 1) AS home_region, split_part(run, '|', 2) AS home_sector, region, sector, value FROM iit_sum)"""]
+
+
+def _causes(method: str) -> list[str]:
+    dx = f"dx_{method}"
+    return [*_base(method), "htargets AS (SELECT home_region AS region, home_sector AS sector FROM homes)",
+            *_influence(method, "htargets"), f"""
+hv AS (SELECT h.scenario_id, h.home_region, h.home_sector, abs(d.delta_x) AS total_impact
+       FROM homes h JOIN {dx} d ON d.scenario_id = h.scenario_id AND d.region = h.home_region AND d.sector = h.home_sector
+       WHERE abs(d.delta_x) >= 1e-10),
+sv AS (SELECT s.scenario_id, s.region AS cause_region, s.sector AS cause_sector, abs(d.delta_x) AS shock_value
+       FROM (SELECT DISTINCT scenario_id, region, sector FROM shocks) s JOIN {dx} d USING (scenario_id, region, sector)),
+contrib AS (SELECT hv.scenario_id, hv.home_region, hv.home_sector, sv.cause_region, sv.cause_sector,
+                   COALESCE(i.value, 0.0) * sv.shock_value AS contribution, hv.total_impact
+            FROM hv JOIN sv USING (scenario_id)
+            LEFT JOIN infl i ON i.home_region = hv.home_region AND i.home_sector = hv.home_sector
+                            AND i.region = sv.cause_region AND i.sector = sv.cause_sector
+            WHERE sv.cause_region <> hv.home_region OR sv.cause_sector <> hv.home_sector),
+causes AS (SELECT *, CASE WHEN SUM(contribution) OVER w > 0 THEN contribution / SUM(contribution) OVER w * 100.0 ELSE 0.0 END AS share_pct
+           FROM contrib WINDOW w AS (PARTITION BY scenario_id, home_region, home_sector))"""]
+
+
+CAUSE_COLS = f"""SELECT scenario_id, home_region, home_sector, cause_region, cause_sector, {R('contribution', 2)} AS contribution,
+       {R('share_pct', 6)} AS share_pct, {R('total_impact', 2)} AS total_impact FROM causes"""
+
+for _m in ("ghosh", "leontief", "direct"):
+    SQL[f"home_attribution_{_m}"] = with_(*_causes(_m)) + CAUSE_COLS
+
+SQL["portfolio_attribution"] = with_(*_base("ghosh"), "ptargets AS (SELECT region, sector FROM pos)", *_influence("ghosh", "ptargets"), """
+tot AS (SELECT p.scenario_id, p.portfolio_id, SUM(abs(d.delta_x) * p.w) AS total_impact
+        FROM pos p JOIN dx_ghosh d USING (scenario_id, region, sector) GROUP BY ALL HAVING SUM(abs(d.delta_x) * p.w) >= 1e-10),
+sv AS (SELECT s.scenario_id, s.region AS cause_region, s.sector AS cause_sector, abs(d.delta_x) AS shock_value
+       FROM (SELECT DISTINCT scenario_id, region, sector FROM shocks) s JOIN dx_ghosh d USING (scenario_id, region, sector)),
+con AS (SELECT p.scenario_id, p.portfolio_id, sv.cause_region, sv.cause_sector,
+               SUM(p.w * COALESCE(i.value, 0.0) * sv.shock_value) AS contribution
+        FROM pos p JOIN sv USING (scenario_id)
+        LEFT JOIN infl i ON i.home_region = p.region AND i.home_sector = p.sector AND i.region = sv.cause_region AND i.sector = sv.cause_sector
+        GROUP BY ALL),
+pc AS (SELECT c.*, t.total_impact,
+              CASE WHEN SUM(c.contribution) OVER w > 0 THEN c.contribution / SUM(c.contribution) OVER w * 100.0 ELSE 0.0 END AS share_pct
+       FROM con c JOIN tot t USING (scenario_id, portfolio_id) WINDOW w AS (PARTITION BY c.scenario_id, c.portfolio_id))""") + f"""
+SELECT scenario_id, portfolio_id, cause_region, cause_sector, {R('contribution', 2)} AS contribution,
+       {R('share_pct', 6)} AS share_pct, {R('total_impact', 2)} AS total_impact FROM pc"""
+
+
+def _rolled(level: str) -> str:
+    item = {"country": "COALESCE(g.name, c.cause_region)", "sector": "c.cause_sector",
+            "none": "COALESCE(g.name, c.cause_region) || ' - ' || c.cause_sector"}[level]
+    return f"""rolled AS (SELECT c.scenario_id, {item} AS item, SUM(c.share_pct) AS value
+       FROM causes c LEFT JOIN regions g ON g.region = c.cause_region GROUP BY ALL)"""
+
+
+SQL["causes_by_country"] = with_(*_causes("ghosh"), _rolled("country")) + f"SELECT scenario_id, item, {R('value', 6)} AS value FROM rolled"
+SQL["causes_by_sector"] = with_(*_causes("ghosh"), _rolled("sector")) + f"SELECT scenario_id, item, {R('value', 6)} AS value FROM rolled"
+SQL["top_contributors"] = with_(*_causes("ghosh"), _rolled("none"), """
+ranked AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY value DESC, item) AS rn FROM rolled),
+top3 AS (SELECT scenario_id, CAST(rn AS BIGINT) AS position, item, value FROM ranked WHERE rn <= 3),
+others AS (SELECT scenario_id, CAST(4 AS BIGINT) AS position, 'Others' AS item, SUM(value) AS value FROM ranked WHERE rn > 3
+         GROUP BY scenario_id HAVING SUM(value) > 1e-6),
+shown AS (SELECT * FROM top3 UNION ALL SELECT * FROM others),
+ts AS (SELECT scenario_id, SUM(value) AS top_share FROM top3 GROUP BY scenario_id),
+allrows AS (SELECT * FROM shown UNION ALL SELECT scenario_id, CAST(5 AS BIGINT), 'Total', SUM(value) FROM shown GROUP BY scenario_id)""") + f"""
+SELECT a.scenario_id, a.position, a.item, {R('a.value', 6)} AS value, {R('ts.top_share', 6)} AS top_share
+FROM allrows a LEFT JOIN ts USING (scenario_id)"""
+
+SQL["country_contributions"] = with_(*_causes("ghosh")) + f"""
+SELECT c.scenario_id, c.cause_region, g.iso3, COALESCE(g.name, g.region) AS name, {R('SUM(c.share_pct)', 6)} AS share_pct
+FROM causes c JOIN regions g ON g.region = c.cause_region WHERE g.iso3 IS NOT NULL
+GROUP BY c.scenario_id, c.cause_region, g.iso3, COALESCE(g.name, g.region)"""
+
+SQL["signed_contributions"] = with_(*_causes("ghosh"), """sg AS (SELECT scenario_id, cause_region, cause_sector, -contribution AS value FROM causes WHERE contribution <> 0)""") + f"""
+SELECT scenario_id, cause_region, cause_sector, {R('value', 2)} AS value, false AS is_total FROM sg
+UNION ALL SELECT scenario_id, 'Total Impact', NULL, {R('SUM(value)', 2)}, true FROM sg GROUP BY scenario_id"""
+
+# ---------------------------------------------------------------- reports
+
+
+def _pct(delta: str, base: str) -> str:
+    return f"CASE WHEN {base} > 1e-9 THEN {delta} / {base} * 100.0 ELSE 0.0 END"
+
+
+SQL["home_impact"] = with_(*_base("ghosh")) + f"""
+SELECT h.scenario_id, h.home_region, h.home_sector, x.value AS before, {R('d.delta_x', 2)} AS delta_x,
+       {R('x.value + d.delta_x', 2)} AS after, {R(_pct('d.delta_x', 'x.value'), 6)} AS pct_change
+FROM homes h JOIN X x ON x.region = h.home_region AND x.sector = h.home_sector
+JOIN dx_ghosh d ON d.scenario_id = h.scenario_id AND d.region = h.home_region AND d.sector = h.home_sector"""
+
+SQL["portfolio_impact"] = with_(*_base("ghosh"), """pa AS (SELECT p.scenario_id, p.portfolio_id, SUM(x.value * p.w) AS before, SUM(d.delta_x * p.w) AS delta,
+       SUM((x.value + d.delta_x) * p.w) AS after
+       FROM pos p JOIN X x USING (region, sector) JOIN dx_ghosh d USING (scenario_id, region, sector) GROUP BY ALL)""") + f"""
+SELECT scenario_id, portfolio_id, {R('before', 2)} AS before, {R('delta', 2)} AS delta, {R('after', 2)} AS after,
+       {R(_pct('delta', 'before'), 6)} AS pct_change, {R('after - before', 2)} AS total_abs_change,
+       {R(_pct('(after - before)', 'before'), 6)} AS total_rel_change FROM pa"""
+
+SQL["portfolio_breakdown"] = with_(*_base("ghosh")) + f"""
+SELECT p.scenario_id, p.portfolio_id, p.region, COALESCE(g.name, p.region) AS region_name, p.sector, p.weight,
+       {R('d.delta_x', 2)} AS abs_change, {R(_pct('d.delta_x', 'x.value'), 6)} AS rel_change
+FROM pos p JOIN X x USING (region, sector) JOIN dx_ghosh d USING (scenario_id, region, sector)
+LEFT JOIN regions g ON g.region = p.region"""
+
+SQL["headline"] = with_(*_base("ghosh"), f"""hp AS (SELECT h.scenario_id, {_pct('d.delta_x', 'x.value')} AS pct_change
+      FROM homes h JOIN X x ON x.region = h.home_region AND x.sector = h.home_sector
+      JOIN dx_ghosh d ON d.scenario_id = h.scenario_id AND d.region = h.home_region AND d.sector = h.home_sector)""",
+                        "ns AS (SELECT scenario_id, COUNT(*) AS n_shocks FROM shocks GROUP BY scenario_id)") + f"""
+SELECT s.scenario_id,
+       CASE WHEN s.region_spec = 'All' THEN 'All Regions'
+            WHEN s.region_spec IN (SELECT group_name FROM vgroups) THEN s.region_spec
+            ELSE COALESCE(g.name, s.region_spec) END AS region_label,
+       ns.n_shocks, {R('hp.pct_change', 6)} AS pct_change
+FROM specs s LEFT JOIN regions g ON g.region = s.region_spec JOIN ns USING (scenario_id) JOIN hp USING (scenario_id)"""
+
+
+def _history_sql(strict: bool) -> str:
+    bad = """AND l.scenario_id NOT IN (SELECT s.scenario_id FROM shocks s
+             WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.region = s.region AND h.sector = s.sector))""" if strict else ""
+    return with_(*_base(), """hist AS (SELECT producer_region AS region, producer_sector AS sector, year, CAST(SUM(v) AS DOUBLE) AS value FROM lines GROUP BY ALL)""",
+                 "years AS (SELECT DISTINCT year FROM hist)",
+                 """lev AS (SELECT s.scenario_id, SUM(CAST(x.value AS DECIMAL(38,4))) AS base_output,
+           SUM(CAST(x.value AS DECIMAL(38,4)) * (1 - s.magnitude)) AS post_shock_output
+           FROM shocks s JOIN X x USING (region, sector) GROUP BY s.scenario_id)""",
+                 """hs AS (SELECT s.scenario_id, h.year, SUM(CAST(h.value AS DECIMAL(38,4))) AS h
+          FROM shocks s JOIN hist h USING (region, sector) GROUP BY ALL)""") + f"""
+SELECT l.scenario_id, y.year, CAST(COALESCE(hs.h, 0) AS DOUBLE) AS history_output, CAST(l.base_output AS DOUBLE) AS base_output,
+       {R('l.post_shock_output', 2)} AS post_shock_output
+FROM lev l CROSS JOIN years y LEFT JOIN hs ON hs.scenario_id = l.scenario_id AND hs.year = y.year
+WHERE true {bad}"""
+
+
+SQL["shock_history"] = _history_sql(False)
+SQL["shock_history_strict"] = _history_sql(True)
+
+SQL["lost_input_flows"] = with_(*_base("leontief")) + f"""
+SELECT d.scenario_id, a.producer_region, a.producer_sector, a.consumer_region, a.consumer_sector, {R('abs(a.value * d.delta_x)', 2)} AS flow
+FROM A a JOIN dx_leontief d ON a.consumer_region = d.region AND a.consumer_sector = d.sector
+WHERE abs(a.value * d.delta_x) > 0"""
+
+
+def _paths_common() -> list[str]:
+    return [*_base("ghosh"), """
+flows AS (SELECT d.scenario_id, a.producer_region, a.producer_sector, a.consumer_region, a.consumer_sector, abs(a.value * d.delta_x) AS flow
+          FROM A a JOIN dx_ghosh d ON a.consumer_region = d.region AND a.consumer_sector = d.sector WHERE abs(a.value * d.delta_x) > 0),
+to_home AS (SELECT f.scenario_id, f.producer_region AS region, f.producer_sector AS sector, f.flow AS s_flow
+            FROM flows f JOIN homes h ON f.scenario_id = h.scenario_id AND f.consumer_region = h.home_region AND f.consumer_sector = h.home_sector),
+hdom AS (SELECT h.scenario_id, lb.region, lb.sector FROM (SELECT DISTINCT scenario_id FROM homes) h CROSS JOIN labels lb),
+sup AS (SELECT * FROM (SELECT d.scenario_id, d.region, d.sector,
+               row_number() OVER (PARTITION BY d.scenario_id ORDER BY COALESCE(t.s_flow, 0.0) DESC, d.region, d.sector) AS s_rank
+        FROM hdom d LEFT JOIN to_home t USING (scenario_id, region, sector)) x WHERE s_rank <= 15),
+shock_cust AS (SELECT f.scenario_id, f.consumer_region AS region, f.consumer_sector AS sector, SUM(f.flow) AS c_flow
+               FROM flows f JOIN shocks s ON f.scenario_id = s.scenario_id AND f.producer_region = s.region AND f.producer_sector = s.sector
+               GROUP BY ALL),
+cus AS (SELECT * FROM (SELECT d.scenario_id, d.region, d.sector,
+               row_number() OVER (PARTITION BY d.scenario_id ORDER BY COALESCE(c.c_flow, 0.0) DESC, d.region, d.sector) AS c_rank
+        FROM dom d LEFT JOIN shock_cust c USING (scenario_id, region, sector)) x WHERE c_rank <= 15),
+mids AS (SELECT * FROM (SELECT s.scenario_id, s.region, s.sector, h.home_region, h.home_sector,
+                row_number() OVER (PARTITION BY s.scenario_id ORDER BY s.s_rank) AS position
+         FROM sup s JOIN cus c USING (scenario_id, region, sector) JOIN homes h USING (scenario_id)
+         WHERE NOT EXISTS (SELECT 1 FROM shocks k WHERE k.scenario_id = s.scenario_id AND k.region = s.region AND k.sector = s.sector)
+           AND (s.region <> h.home_region OR s.sector <> h.home_sector)) x WHERE position <= 5)"""]
+
+
+EDGE = "f.scenario_id, f.producer_region AS source_region, f.producer_sector AS source_sector, f.consumer_region AS target_region, f.consumer_sector AS target_sector, f.flow"
+SQL["impact_paths"] = with_(*_paths_common(), f"""
+edges AS (
+  SELECT {EDGE}, 'shock_to_intermediate' AS edge FROM flows f
+  JOIN shocks s ON f.scenario_id = s.scenario_id AND f.producer_region = s.region AND f.producer_sector = s.sector
+  JOIN mids m ON f.scenario_id = m.scenario_id AND f.consumer_region = m.region AND f.consumer_sector = m.sector
+  UNION ALL
+  SELECT {EDGE}, 'intermediate_to_home' FROM flows f
+  JOIN mids m ON f.scenario_id = m.scenario_id AND f.producer_region = m.region AND f.producer_sector = m.sector
+  JOIN homes h ON f.scenario_id = h.scenario_id AND f.consumer_region = h.home_region AND f.consumer_sector = h.home_sector
+  UNION ALL
+  SELECT {EDGE}, 'shock_to_home' FROM flows f
+  JOIN shocks s ON f.scenario_id = s.scenario_id AND f.producer_region = s.region AND f.producer_sector = s.sector
+  JOIN homes h ON f.scenario_id = h.scenario_id AND f.consumer_region = h.home_region AND f.consumer_sector = h.home_sector)""") + f"""
+SELECT scenario_id, source_region, source_sector, target_region, target_sector, {R('flow', 2)} AS flow, edge FROM edges WHERE flow > 1e-6"""
+
+SQL["path_nodes"] = with_(*_paths_common(), """
+nodes AS (SELECT scenario_id, region, sector, MIN(prio) AS prio FROM (
+  SELECT scenario_id, region, sector, 0 AS prio FROM shocks
+  UNION ALL SELECT scenario_id, home_region, home_sector, 1 FROM homes
+  UNION ALL SELECT scenario_id, region, sector, 2 FROM mids) t GROUP BY ALL)""") + """
+SELECT n.scenario_id, n.region, n.sector,
+       CASE n.prio WHEN 0 THEN 'shock' WHEN 1 THEN 'home' ELSE 'intermediate' END AS role,
+       COALESCE(g.name, n.region) || ' - ' || n.sector AS display_name
+FROM nodes n LEFT JOIN regions g ON g.region = n.region"""
+
+SQL["portfolio_paths"] = with_(*_paths_common(), """
+weighted AS (SELECT f.scenario_id, p.portfolio_id, f.producer_region AS region, f.producer_sector AS sector, SUM(f.flow * p.w) AS p_flow
+             FROM flows f JOIN pos p ON f.scenario_id = p.scenario_id AND f.consumer_region = p.region AND f.consumer_sector = p.sector
+             GROUP BY ALL),
+pdom AS (SELECT p.scenario_id, p.portfolio_id, lb.region, lb.sector FROM (SELECT DISTINCT scenario_id, portfolio_id FROM pos) p CROSS JOIN labels lb),
+psup AS (SELECT * FROM (SELECT d.scenario_id, d.portfolio_id, d.region, d.sector,
+                row_number() OVER (PARTITION BY d.scenario_id, d.portfolio_id ORDER BY COALESCE(w.p_flow, 0.0) DESC, d.region, d.sector) AS p_rank
+         FROM pdom d LEFT JOIN weighted w USING (scenario_id, portfolio_id, region, sector)) x WHERE p_rank <= 15),
+pmids AS (SELECT * FROM (SELECT c.scenario_id, p.portfolio_id, c.region, c.sector,
+                 row_number() OVER (PARTITION BY c.scenario_id, p.portfolio_id ORDER BY c.c_rank) AS position
+          FROM cus c JOIN psup p USING (scenario_id, region, sector)
+          WHERE NOT EXISTS (SELECT 1 FROM shocks k WHERE k.scenario_id = c.scenario_id AND k.region = c.region AND k.sector = c.sector)
+            AND NOT EXISTS (SELECT 1 FROM pos q WHERE q.scenario_id = c.scenario_id AND q.portfolio_id = p.portfolio_id
+                            AND q.region = c.region AND q.sector = c.sector)) x WHERE position <= 5),
+pedges AS (
+  SELECT f.scenario_id, m.portfolio_id, f.producer_region AS source_region, f.producer_sector AS source_sector,
+         f.consumer_region AS target_region, f.consumer_sector AS target_sector, f.flow, 'shock_to_intermediate' AS edge
+  FROM flows f JOIN shocks s ON f.scenario_id = s.scenario_id AND f.producer_region = s.region AND f.producer_sector = s.sector
+  JOIN pmids m ON f.scenario_id = m.scenario_id AND f.consumer_region = m.region AND f.consumer_sector = m.sector
+  UNION ALL
+  SELECT m.scenario_id, m.portfolio_id, m.region, m.sector, 'Total Portfolio', NULL, w.p_flow, 'intermediate_to_portfolio'
+  FROM pmids m JOIN weighted w USING (scenario_id, portfolio_id, region, sector)
+  UNION ALL
+  SELECT f.scenario_id, p.portfolio_id, f.producer_region, f.producer_sector, 'Total Portfolio', NULL, SUM(f.flow * p.w), 'shock_to_portfolio'
+  FROM flows f JOIN shocks s ON f.scenario_id = s.scenario_id AND f.producer_region = s.region AND f.producer_sector = s.sector
+  JOIN pos p ON f.scenario_id = p.scenario_id AND f.consumer_region = p.region AND f.consumer_sector = p.sector
+  GROUP BY f.scenario_id, p.portfolio_id, f.producer_region, f.producer_sector)""") + f"""
+SELECT scenario_id, portfolio_id, source_region, source_sector, target_region, target_sector, {R('flow', 2)} AS flow, edge
+FROM pedges WHERE flow > 1e-6"""
+
+# ---------------------------------------------------------------- scenarios
+
+
+def _edits_sql(rows, key: str, value: str) -> str:
+    return f"""edits AS {values(rows, [key, 'seq', 'op', 'region', 'sector', value])},
+lc AS (SELECT {key}, MAX(seq) AS clear_seq FROM edits WHERE op = 'clear' GROUP BY ALL),
+live AS (SELECT e.* FROM edits e LEFT JOIN lc USING ({key}) WHERE e.op <> 'clear' AND (lc.clear_seq IS NULL OR e.seq > lc.clear_seq)),
+applied AS (SELECT {key}, region, sector, {value} FROM (
+    SELECT *, row_number() OVER (PARTITION BY {key}, region, sector ORDER BY seq DESC) AS rn FROM live) x WHERE rn = 1 AND op = 'add')"""
+
+
+LEVEL_COLS = f"""s.scenario_id, s.region, s.sector, s.magnitude, x.value AS x, {R('x.value * (1 - s.magnitude)', 2)} AS x_new,
+       {R('x.value * (1 - s.magnitude) - x.value', 2)} AS delta_x"""
+
+SQL["service_scenario"] = with_(*_base()) + "SELECT scenario_id, region, sector, magnitude FROM shocks WHERE scenario_id = 'service'"
+SQL["group_scenario"] = with_(*_base()) + "SELECT scenario_id, region, sector, magnitude FROM shocks"
+SQL["shock_levels"] = with_(*_base()) + f"SELECT {LEVEL_COLS} FROM shocks s JOIN X x USING (region, sector)"
+SQL["scenario_edits"] = with_(ECONOMY, _edits_sql(fixtures.SCENARIO_EDITS, "scenario_id", "magnitude")) + \
+    f"SELECT {LEVEL_COLS} FROM applied s JOIN X x USING (region, sector)"
+SQL["portfolio_edits"] = with_(ECONOMY, _edits_sql(fixtures.PORTFOLIO_EDITS, "portfolio_id", "weight")) + \
+    "SELECT a.portfolio_id, a.region, a.sector, a.weight, x.value AS x FROM applied a JOIN X x USING (region, sector)"
+
+_TOL = 1e-8 + 1e-5 * 100.0
+SQL["portfolio_check"] = with_(ECONOMY, PORTFOLIOS) + f"""
+SELECT p.portfolio_id, SUM(p.weight) AS total_weight, COUNT(*) AS n_assets,
+       (abs(SUM(p.weight) - 100.0) <= {_TOL!r} AND MIN(p.weight) > 0) AS is_valid,
+       COUNT(*) FILTER (WHERE EXISTS (SELECT 1 FROM labels lb WHERE lb.region = p.region AND lb.sector = p.sector)) AS n_known
+FROM pf p GROUP BY p.portfolio_id"""
+
+SQL["label_split"] = with_(*_base()) + """
+SELECT d.scenario_id, d.region, d.sector, EXISTS (SELECT 1 FROM shocks s WHERE s.scenario_id = d.scenario_id AND s.region = d.region AND s.sector = d.sector) AS shocked
+FROM dom d"""
+
+SQL["matrix_blocks"] = with_(*_base(), f"""
+sl AS (SELECT DISTINCT scenario_id, region, sector FROM shocks),
+bp AS (SELECT s.scenario_id, a.producer_region, a.producer_sector, a.consumer_region, a.consumer_sector, a.value, 1 AS pm, 0 AS cm
+       FROM A a JOIN sl s ON a.producer_region = s.region AND a.producer_sector = s.sector),
+bc AS (SELECT s.scenario_id, a.producer_region, a.producer_sector, a.consumer_region, a.consumer_sector, a.value, 0 AS pm, 1 AS cm
+       FROM A a JOIN sl s ON a.consumer_region = s.region AND a.consumer_sector = s.sector),
+touch AS (SELECT scenario_id, {CELL}, any_value(value) AS value, MAX(pm) AS pm, MAX(cm) AS cm
+          FROM (SELECT * FROM bp UNION ALL SELECT * FROM bc) t GROUP BY scenario_id, {CELL}),
+parts AS (SELECT scenario_id, (CASE WHEN pm = 1 THEN 'M' ELSE 'N' END) || (CASE WHEN cm = 1 THEN 'M' ELSE 'N' END) AS block,
+                 COUNT(*) AS cells, SUM(value) AS total FROM touch GROUP BY ALL),
+whole AS (SELECT COUNT(*) AS n, SUM(value) AS t FROM A)""") + f"""
+SELECT scenario_id, block, cells, {R('total', 10)} AS total FROM parts
+UNION ALL
+SELECT p.scenario_id, 'NN', CAST(w.n - SUM(p.cells) AS BIGINT), {R('w.t - SUM(p.total)', 10)} FROM parts p CROSS JOIN whole w GROUP BY p.scenario_id, w.n, w.t"""
+
+SQL["vector_lookup"] = with_(ECONOMY, PORTFOLIOS) + """
+SELECT p.portfolio_id, p.region, p.sector, x.value AS x, y.value AS y
+FROM pf p LEFT JOIN X x USING (region, sector) LEFT JOIN Y y USING (region, sector)"""
+
+# ---------------------------------------------------------------- lookups
+
+CODES = "codes AS (SELECT region FROM labels UNION SELECT region FROM groups)"
+SQL["region_lookup"] = with_(ECONOMY, CODES) + "SELECT c.region, COALESCE(g.name, c.region) AS region_name FROM codes c LEFT JOIN regions g USING (region)"
+SQL["region_lookup_strict"] = with_(ECONOMY, CODES) + "SELECT c.region, g.name AS country FROM codes c LEFT JOIN regions g USING (region)"
+SQL["region_iso3"] = with_(ECONOMY, CODES) + "SELECT c.region, g.iso3 FROM codes c JOIN regions g USING (region) WHERE g.iso3 IS NOT NULL"
+SQL["region_groups"] = with_(ECONOMY) + "SELECT group_name, region FROM groups WHERE region IN (SELECT region FROM labels)"
+SQL["catalog_listing"] = with_(ECONOMY, RATINGS, "vgroups AS (SELECT group_name, region FROM groups WHERE region IN (SELECT region FROM labels))") + """
+SELECT 'region' AS kind, r.region AS value, COALESCE(g.name, r.region) AS label, false AS is_default
+FROM (SELECT DISTINCT region FROM labels) r LEFT JOIN regions g USING (region)
+UNION ALL SELECT DISTINCT 'group', group_name, group_name, false FROM vgroups
+UNION ALL SELECT DISTINCT 'sector', sector, sector, false FROM labels
+UNION ALL SELECT 'service', s.service, s.service,
+       CASE WHEN f.has_p THEN s.service = 'Pollination' ELSE s.service = f.first END
+FROM (SELECT DISTINCT service FROM material_all) s,
+     (SELECT MIN(service) AS first, bool_or(service = 'Pollination') AS has_p FROM material_all) f"""
+
+
+def _short(expr: str, n: int) -> str:
+    return f"CASE WHEN length({expr}) > {n} THEN substring({expr}, 1, {n - 3}) || '...' ELSE {expr} END"
+
+
+SQL["short_labels"] = with_(ECONOMY, "nm AS (SELECT lb.region, lb.sector, COALESCE(g.name, lb.region) || ' - ' || lb.sector AS full_label FROM labels lb LEFT JOIN regions g USING (region))") + f"""
+SELECT region, sector, {_short('full_label', 16)} AS short_16, {_short('full_label', 60)} AS short_60 FROM nm"""
+
+# ---------------------------------------------------------------- materiality
+
+KEYS4 = "isic_section, isic_division, isic_group, isic_class"
+SQL["ratings_match"] = with_(ECONOMY, RATINGS) + f"SELECT {KEYS4}, sector FROM merged_all WHERE sector IS NOT NULL"
+SQL["ratings_unmatched"] = with_(ECONOMY, RATINGS) + f"SELECT {KEYS4} FROM merged_all WHERE sector IS NULL"
+SQL["materiality"] = with_(ECONOMY, RATINGS) + "SELECT service, sector, vh, h, n FROM mcount_all WHERE vh >= 1 OR (n > 0 AND (vh + h) / n > 0.5) OR vh + h >= 3"
+SQL["materiality_intent"] = with_(ECONOMY, RATINGS) + "SELECT service, sector, vh, h, n FROM mcount_unm WHERE vh >= 1 OR (n > 0 AND (vh + h) / n > 0.5) OR vh + h >= 3"
+
+# ---------------------------------------------------------------- search
+
+PAIRS = f"""
+zf AS (SELECT a.producer_region, a.producer_sector, a.consumer_region, a.consumer_sector, a.value * x.value AS flow
+       FROM A a JOIN X x ON a.consumer_region = x.region AND a.consumer_sector = x.sector
+       WHERE a.producer_sector IN ({_SECTORS}) AND a.value * x.value > 1e-9),
+pairs AS (SELECT z.* FROM zf z WHERE z.flow > (SELECT quantile_cont(flow, {fixtures.SEARCH_QUANTILE!r}) FROM zf)
+          AND z.producer_region <> z.consumer_region AND z.producer_sector <> z.consumer_sector)"""
+
+SQL["high_flow_pairs"] = with_(ECONOMY, PAIRS) + f"SELECT {CELL}, flow FROM pairs"
+
+SQL["max_impact_scenario"] = with_(ECONOMY, PAIRS, f"""
+sshocks AS (SELECT DISTINCT producer_region || '|' || producer_sector AS scenario_id, producer_region AS region, producer_sector AS sector,
+                   CAST({fixtures.SEARCH_MAGNITUDE!r} AS DOUBLE) AS magnitude FROM pairs),
+slevels AS (SELECT s.scenario_id, s.region, s.sector, s.magnitude, x.value AS x, x.value * (1 - s.magnitude) - x.value AS delta_x
+            FROM sshocks s JOIN X x USING (region, sector)),
+sdom AS (SELECT sc.scenario_id, lb.region, lb.sector FROM (SELECT DISTINCT scenario_id FROM sshocks) sc CROSS JOIN labels lb)""",
+                                   impact_ctes("leontief", "sshocks", "slevels", "sdom", "sdx"), _dy("sdx"), """
+scored AS (SELECT p.producer_region AS shock_region, p.producer_sector AS shock_sector, p.consumer_region AS home_region,
+                  p.consumer_sector AS home_sector, abs(dy.delta_y) AS impact
+           FROM pairs p JOIN dy ON dy.scenario_id = p.producer_region || '|' || p.producer_sector
+                               AND dy.region = p.consumer_region AND dy.sector = p.consumer_sector
+           WHERE abs(dy.delta_y) > 0)""") + f"""
+SELECT shock_region, shock_sector, home_region, home_sector, {R('impact', 2)} AS impact FROM (
+  SELECT *, row_number() OVER (ORDER BY impact DESC, shock_region, shock_sector, home_region, home_sector) AS rn FROM scored) t
+WHERE rn = 1"""
+
+_DQ = fixtures.DEFAULT_QUANTILE
+SQL["default_scenario"] = with_(ECONOMY, f"""
+bigp AS (SELECT region AS producer_region, sector AS producer_sector FROM X WHERE sector IN ({_SECTORS})
+         AND value > (SELECT quantile_cont(value, {_DQ!r}) FROM X WHERE sector IN ({_SECTORS}))),
+bigc AS (SELECT region AS consumer_region, sector AS consumer_sector FROM X WHERE value > (SELECT quantile_cont(value, {_DQ!r}) FROM X)),
+iseed AS (SELECT producer_region || '|' || producer_sector AS run, producer_region AS region, producer_sector AS sector,
+                 CAST(1.0 AS DOUBLE) AS d FROM bigp)""", series("lit", "iseed", "A_row", None), f"""
+lrows AS (SELECT split_part(run, '|', 1) AS producer_region, split_part(run, '|', 2) AS producer_sector,
+                 region AS consumer_region, sector AS consumer_sector, value FROM lit_sum),
+cells AS (SELECT l.* FROM lrows l JOIN bigc USING (consumer_region, consumer_sector)
+          WHERE l.producer_region NOT IN (SELECT region FROM regions WHERE iso3 IS NULL)
+            AND l.consumer_region NOT IN (SELECT region FROM regions WHERE iso3 IS NULL)
+            AND l.producer_region <> l.consumer_region AND l.value > 0),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY value DESC, {CELL}) AS rn FROM cells) t WHERE rn <= {fixtures.DEFAULT_TRIES}),
+pick AS (SELECT * FROM top WHERE producer_sector <> consumer_sector ORDER BY rn LIMIT 1),
+r2 AS (SELECT region, row_number() OVER (ORDER BY region) AS i FROM (SELECT DISTINCT region FROM labels) t),
+s2 AS (SELECT sector, row_number() OVER (ORDER BY sector) AS i FROM (SELECT DISTINCT sector FROM labels) t)""") + f"""
+SELECT consumer_region AS home_region, consumer_sector AS home_sector, producer_region AS shock_region, producer_sector AS shock_sector,
+       {R('value', 10)} AS dependency FROM pick
+UNION ALL
+SELECT (SELECT region FROM r2 WHERE i = 1), (SELECT sector FROM s2 WHERE i = 1),
+       (SELECT region FROM r2 WHERE i = LEAST(2, (SELECT COUNT(*) FROM r2))), (SELECT sector FROM s2 WHERE i = LEAST(2, (SELECT COUNT(*) FROM s2))),
+       0.0 WHERE NOT EXISTS (SELECT 1 FROM pick)"""
+
+SQL["scenario_batch"] = with_(*_base("ghosh", "leontief", "textbook", "direct")) + " UNION ALL ".join(
+    f"""SELECT '{m}' AS method, scenario_id, {R('SUM(delta_x)', 2)} AS total_change, {R('MIN(delta_x)', 2)} AS largest_loss,
+        COUNT(*) FILTER (WHERE abs(delta_x) > 0) AS labels_moved FROM dx_{m} GROUP BY scenario_id"""
+    for m in ("ghosh", "leontief", "textbook", "direct"))
