@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small, cut_lineage
@@ -122,50 +122,76 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int = 40,
 
     ``systems``: ``(system, src_region, src_sector, dst_region, dst_sector, value)``,
     several matrices told apart by ``system`` (see :func:`oriented`).
-    ``seed``: ``(system, run_id, region, sector, value)``, the ``k = 0`` term;
-    ``keys`` names the run columns (``system`` must be one of them).
-    ``mask``: ``(*keys, region, sector)``: labels taken out of the system
-    of that run (the shocked set of a mixed model). Masking the vector after every
-    product is the same as using the sub-matrix ``M_nn``, but keeps one shared
-    matrix for all runs.
-
-    Each round is one broadcast (or shuffle) join with the matrix and one
-    aggregation keyed by ``(system, run_id, label)``; the state never grows beyond
-    runs × labels rows. Lineage is cut in the shared checkpoint folder every
-    ``checkpoint_every`` rounds. With ``tol`` the loop also stops once the largest
-    term is below ``tol`` times the largest partial sum (checked at each cut).
+    ``seed``: ``(*keys, region, sector, value)``, the ``k = 0`` term; ``keys`` names
+    the run columns and must include ``system``.
+    ``mask``: ``(*keys, region, sector)``: labels taken out of the system of that
+    run (the shocked set of a mixed model). Masking the vector after every product
+    is the same as using the sub-matrix ``M_nn``, but keeps one shared matrix for
+    all runs.
+
+    Inside the loop runs and labels are dense integers: the state is
+    ``(run, key, term, acc)`` with ``key = system·2³² + label``, so each round is one
+    join on a single long (broadcast when the matrix is small enough, else a
+    shuffle) and one aggregation on two longs with a map-side partial sum; the state
+    never grows beyond runs × labels rows. Lineage is cut in the shared checkpoint
+    folder every ``checkpoint_every`` rounds. With ``tol`` the loop also stops once
+    the largest term is below ``tol`` times the largest partial sum.
     """
     keys = list(keys)
-    on = [*keys, *LABEL]
-    # One reference to the state per round: the running sum travels through the
-    # same join as the product, on identity rows (``carry``) added to each system.
-    ident = (systems.select("system", F.col("src_region").alias("r"), F.col("src_sector").alias("s"))
-             .unionByName(systems.select("system", F.col("dst_region").alias("r"), F.col("dst_sector").alias("s")))
-             .unionByName(seed.select("system", F.col("region").alias("r"), F.col("sector").alias("s")))
-             .distinct()
-             .select("system", F.col("r").alias("src_region"), F.col("s").alias("src_sector"),
-                     F.col("r").alias("dst_region"), F.col("s").alias("dst_sector"),
-                     F.lit(1.0).alias("value"), F.lit(True).alias("carry")))
-    stepper = cut_lineage(systems.select(*systems.columns, F.lit(False).alias("carry")).unionByName(ident))
-    n_step, n_src = stepper.count(), ident.count()
-    m = F.broadcast(stepper) if n_step <= broadcast_rows else stepper
-    mk = broadcast_if_small(cut_lineage(mask.select(*on).distinct()), broadcast_rows) if mask is not None else None
+    spark = seed.sparkSession
+    # Inputs are evaluated once; everything below reads these cuts.
+    seed = cut_lineage(seed.select(*keys, *LABEL, F.col("value").cast("double").alias("value")))
+    systems = cut_lineage(systems)
+    if mask is not None:
+        mask = cut_lineage(mask.select(*keys, *LABEL).distinct())
+    # Dictionaries: systems (a handful), labels (bounded by the economy), runs.
+    sys_ids = cut_lineage(systems.select("system").union(seed.select("system")).distinct()
+                          .withColumn("sys_id", F.row_number().over(Window.orderBy("system")).cast("long")))
+    lab = (systems.select(F.col("src_region").alias("region"), F.col("src_sector").alias("sector"))
+           .union(systems.select(F.col("dst_region").alias("region"), F.col("dst_sector").alias("sector")))
+           .union(seed.select(*LABEL)).distinct())
+    # One numbering window over the label dimension (≤ labels rows).
+    lab_ids = cut_lineage(lab.withColumn("lab_id", F.row_number().over(Window.orderBy(*LABEL)).cast("long")))
+    run_ids = cut_lineage(seed.select(*keys).distinct().withColumn("run", F.monotonically_increasing_id()))
+    n_runs, n_labels = run_ids.count(), lab_ids.count()
+    sb = F.broadcast(sys_ids)
+    lb = broadcast_if_small(lab_ids, broadcast_rows)
+    rb = broadcast_if_small(run_ids, broadcast_rows)
+
+    def code(df, region, sector, name):
+        l2 = lb.select(F.col("region").alias(region), F.col("sector").alias(sector), F.col("lab_id").alias(f"{name}_lab"))
+        return df.join(l2, [region, sector]).withColumn(name, F.shiftleft(F.col("sys_id"), 32) + F.col(f"{name}_lab"))
+
+    m = systems.join(sb, "system")
+    m = code(code(m, "src_region", "src_sector", "src"), "dst_region", "dst_sector", "dst")
+    real = m.select("src", "dst", F.col("value").cast("double").alias("value"), F.lit(False).alias("carry"))
+    ident = (real.select(F.col("src").alias("k")).union(real.select(F.col("dst").alias("k"))).distinct()
+             .select(F.col("k").alias("src"), F.col("k").alias("dst"), F.lit(1.0).alias("value"), F.lit(True).alias("carry")))
+
+    def encode_runs(df):
+        out = code(df.join(rb, keys).join(sb, "system"), "region", "sector", "key")
+        return out
+
+    seed_i = encode_runs(seed).select("run", "key", F.col("value").alias("term"))
+    ident = ident.union(seed_i.select(F.col("key").alias("src"), F.col("key").alias("dst"), F.lit(1.0).alias("value"),
+                                      F.lit(True).alias("carry"))).distinct()
+    stepper = cut_lineage(real.unionByName(ident))
+    n_step = stepper.count()
+    mst = F.broadcast(stepper) if n_step <= broadcast_rows else stepper
+    mk = None
+    if mask is not None:
+        mk = broadcast_if_small(cut_lineage(encode_runs(mask).select("run", "key")), broadcast_rows)
 
     def apply_mask(df: DataFrame) -> DataFrame:
-        return df.join(mk, on, "left_anti") if mk is not None else df
+        return df.join(mk, ["run", "key"], "left_anti") if mk is not None else df
 
-    state = apply_mask(
-        seed.groupBy(*on).agg(F.sum("value").alias("term")).withColumn("acc", F.lit(0.0))
-    )
-    state = cut_lineage(state)
+    state = cut_lineage(apply_mask(seed_i.groupBy("run", "key").agg(F.sum("term").alias("term"))
+                                   .withColumn("acc", F.lit(0.0))))
     # Size the loop's shuffle from the work of a round (state rows × average
     # out-degree), and plan it statically: the state is keyed uniformly by
     # (run, label), so run-time re-planning has nothing to fix here.
-    spark = seed.sparkSession
-    runs = seed.select(*keys).distinct().count()
-    systems_n = max(1, systems.select("system").distinct().count())
-    degree = max(1.0, n_step / max(1, n_src))
-    products = runs * (n_src / systems_n) * degree  # a full state times the average out-degree
+    degree = max(1.0, n_step / max(1, n_labels))
+    products = n_runs * n_labels * degree
     cores = spark.sparkContext.defaultParallelism
     parts = int(max(1, min(100_000, max(math.ceil(products / ROWS_PER_TASK),
                                         min(cores, math.ceil(products / MIN_ROWS_PER_TASK))))))
@@ -173,25 +199,23 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int = 40,
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        state = _iterate(state, m, apply_mask, keys, terms, checkpoint_every, tol)
+        state = _iterate(state, mst, apply_mask, terms, checkpoint_every, tol)
     finally:
         for k, v in saved.items():
             spark.conf.set(k, v)
-    return state.select(*on, (F.col("acc") + F.col("term")).alias("value"))
+    out = (state.select("run", "key", (F.col("acc") + F.col("term")).alias("value"))
+           .join(rb, "run")
+           .withColumn("lab_id", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)))
+           .join(lb, "lab_id"))
+    return out.select(*keys, *LABEL, "value")
 
 
-def _iterate(state, m, apply_mask, keys, terms, checkpoint_every, tol):
+def _iterate(state, m, apply_mask, terms, checkpoint_every, tol):
     for k in range(1, terms):
         state = apply_mask(
-            state.alias("s").join(
-                m.alias("m"),
-                (F.col("s.system") == F.col("m.system"))
-                & (F.col("s.region") == F.col("m.src_region"))
-                & (F.col("s.sector") == F.col("m.src_sector")),
-            ).groupBy(
-                *[F.col(f"s.{k}").alias(k) for k in keys],
-                F.col("m.dst_region").alias("region"), F.col("m.dst_sector").alias("sector"),
-            ).agg(
+            state.alias("s").join(m.alias("m"), F.col("s.key") == F.col("m.src"))
+            .groupBy(F.col("s.run").alias("run"), F.col("m.dst").alias("key"))
+            .agg(
                 F.sum(F.when(~F.col("m.carry"), F.col("s.term") * F.col("m.value")).otherwise(0.0)).alias("term"),
                 F.sum(F.when(F.col("m.carry"), F.col("s.acc") + F.col("s.term")).otherwise(0.0)).alias("acc"),
             )

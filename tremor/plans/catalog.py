@@ -31,13 +31,18 @@ def query(fn):
     return fn
 
 
+# Values that are exact decimals in exact arithmetic (sums of 4-decimal money) sit
+# on rounding boundaries; both engines nudge by this relative amount before
+# rounding so that last-bit differences in summation order cannot split a tie.
+TIE_NUDGE = 1.0000000000001
+
+
 def r(c: Column | str, d: int) -> Column:
-    """Round half away from zero on ``c·10^d`` (the same operation as the oracle's
-    ``round(x, d)``, so ties in the binary value resolve identically), and turn -0.0
-    into 0.0."""
+    """Round half away from zero on ``c·(1+1e-13)·10^d`` — the same operations as the
+    oracle's ``round(x * 1.0000000000001, d)`` — and turn -0.0 into 0.0."""
     c = F.col(c) if isinstance(c, str) else c
     scale = float(10 ** d)
-    return F.round(c * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
+    return F.round(c * F.lit(TIE_NUDGE) * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
 
 
 def money(c, name=None):

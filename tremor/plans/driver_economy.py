@@ -100,7 +100,7 @@ def build(spark: SparkSession, sf_dir: str) -> Economy:
 
     history = (named.groupBy(F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"), "year")
                .agg(F.sum("v").cast("double").alias("value")))
-    F_flows = (named.groupBy(F.concat("l_returnflag", "l_linestatus").alias("indicator"),
+    F_flows = cut_lineage(named.groupBy(F.concat("l_returnflag", "l_linestatus").alias("indicator"),
                              F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"))
                .agg(F.sum("q").alias("value")))
     flag_units = spark.createDataFrame(list(INDICATOR_UNITS.items()), "flag string, unit string")
@@ -120,6 +120,8 @@ def build(spark: SparkSession, sf_dir: str) -> Economy:
                            .select(F.lit("CORE").alias("group_name"), F.col("n_name").alias("region")))
               .unionByName(spark.createDataFrame([("EMPTY", r) for r in EMPTY_GROUP_MEMBERS], "group_name string, region string")))
 
-    return Economy(labels=cut_lineage(labels), Z=Z, X=X, Y=Y, A=A, B=B,
-                   history=cut_lineage(history), F=cut_lineage(F_flows), units=units,
-                   regions=cut_lineage(regions), groups=groups)
+    # Cut: the cube (holds the scan) and what is reused by many plans. Labels,
+    # regions and groups are small plans over tiny files and stay uncut.
+    return Economy(labels=labels, Z=Z, X=X, Y=Y, A=A, B=B,
+                   history=cut_lineage(history), F=F_flows, units=units,
+                   regions=regions, groups=groups)

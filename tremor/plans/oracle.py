@@ -215,7 +215,9 @@ def with_(*parts: str) -> str:
 
 
 def R(expr: str, d: int) -> str:
-    return f"(round({expr}, {d}) + 0.0)"
+    """Same rounding as the Spark side: nudge ties by 1e-13 relative, round half
+    away from zero, -0.0 → 0.0."""
+    return f"(round(({expr}) * CAST(1.0000000000001 AS DOUBLE), {d}) + 0.0)"
 
 
 def sql(name: str):

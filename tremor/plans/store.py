@@ -81,8 +81,8 @@ def positions(spark: SparkSession) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "pairs", lambda: cut_lineage(
-        search.high_flow_pairs(economy(spark, sf_dir), fixtures.SEARCH_SECTORS, fixtures.SEARCH_QUANTILE)))
+    return _memo(spark, sf_dir, "pairs", lambda: cut_lineage(search.high_flow_pairs(
+        economy(spark, sf_dir), fixtures.SEARCH_SECTORS, fixtures.SEARCH_QUANTILE)))
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,13 +117,13 @@ def dx(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
 def leontief_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full L = Σ Aᵏ (40 terms) as a long matrix."""
     eco = economy(spark, sf_dir)
-    return _memo(spark, sf_dir, "L", lambda: linalg.power_series(eco.A, eco.labels, fixtures.TERMS))
+    return _memo(spark, sf_dir, "L", lambda: cut_lineage(linalg.power_series(eco.A, eco.labels, fixtures.TERMS)))
 
 
 def ghosh_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full G = Σ Bᵏ (40 terms) as a long matrix."""
     eco = economy(spark, sf_dir)
-    return _memo(spark, sf_dir, "G", lambda: linalg.power_series(eco.B, eco.labels, fixtures.TERMS))
+    return _memo(spark, sf_dir, "G", lambda: cut_lineage(linalg.power_series(eco.B, eco.labels, fixtures.TERMS)))
 
 
 def influence(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,11 +64,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and return a DataFrame
-    that reads it back, so that later failures recompute from there.
+    """Materialise ``df`` in the shared checkpoint folder (reliable checkpoint) and
+    return a DataFrame that reads it back.
 
-    The persist before the checkpoint keeps Spark from computing ``df`` twice
-    (once for the count, once for the write)."""
+    Later jobs, and recomputation after a lost executor, start from the files; the
+    plan above them is a plain scan, so the optimizer does not re-plan the upstream
+    query on every action. The persist before the checkpoint keeps Spark from
+    computing ``df`` twice (once for the count, once for the write)."""
     ensure_checkpoint_dir(df.sparkSession)
     df = df.persist()
     out = df.checkpoint(eager=True)
@@ -75,6 +78,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back
+    (for results handed to other jobs or users)."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for ``df`` only if its row count is at most ``max_rows``;
     beyond that the join falls back to a shuffle. ``df`` should be cheap to count
