@@ -263,6 +263,17 @@ def power_series(matrix: DataFrame, labels: DataFrame, terms: int = 40) -> DataF
     return s
 
 
+def similarity_scale(matrix: DataFrame, x: DataFrame) -> DataFrame:
+    """``x̂⁻¹ · M · x̂``: cell (i, j) times ``x_j / x_i``; labels with ``x = 0`` drop out."""
+    xi = x.select(F.col("region").alias("producer_region"), F.col("sector").alias("producer_sector"), F.col("value").alias("xi"))
+    xj = x.select(F.col("region").alias("consumer_region"), F.col("sector").alias("consumer_sector"), F.col("value").alias("xj"))
+    if x.count() <= DEFAULT_BROADCAST_ROWS:  # a label vector: bounded by the label dimension
+        xi, xj = F.broadcast(xi), F.broadcast(xj)
+    return (matrix.join(xi, list(PRODUCER)).join(xj, list(CONSUMER))
+            .where((F.col("xi") != 0) & (F.col("xj") != 0))
+            .select(*PRODUCER, *CONSUMER, (F.col("value") * F.col("xj") / F.col("xi")).alias("value")))
+
+
 def column_sums(matrix: DataFrame) -> DataFrame:
     """Σ_i M_ij per consumer j (V4: all below 1 is sufficient for the Leontief series)."""
     return matrix.groupBy(F.col("consumer_region").alias("region"),

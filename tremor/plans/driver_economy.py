@@ -81,9 +81,9 @@ def build(spark: SparkSession, sf_dir: str) -> Economy:
 
     labels = nat.select(F.col("n_name").alias("region")).crossJoin(seg.select("sector"))  # J10
 
-    z_dec = (named.where(F.col("l_returnflag") != "N")
-             .groupBy("producer_region", "producer_sector", "consumer_region", "consumer_sector")
-             .agg(F.sum("v").alias("zdec")))
+    z_dec = cut_lineage(named.where(F.col("l_returnflag") != "N")
+                        .groupBy("producer_region", "producer_sector", "consumer_region", "consumer_sector")
+                        .agg(F.sum("v").alias("zdec")))
     rows = z_dec.groupBy(F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector")).agg(F.sum("zdec").alias("rs"))
     cols = z_dec.groupBy(F.col("consumer_region").alias("region"), F.col("consumer_sector").alias("sector")).agg(F.sum("zdec").alias("cs"))
     zero = F.lit(0).cast("decimal(38,4)")
@@ -93,8 +93,8 @@ def build(spark: SparkSession, sf_dir: str) -> Economy:
     xy = cut_lineage(xy)
     X = xy.select(*LABEL, F.col("xdec").cast("double").alias("value"))
     Y = xy.select(*LABEL, (F.col("xdec") - F.col("rs")).cast("double").alias("value"))
-    Z = cut_lineage(z_dec.select("producer_region", "producer_sector", "consumer_region", "consumer_sector",
-                                 F.col("zdec").cast("double").alias("value")))
+    Z = z_dec.select("producer_region", "producer_sector", "consumer_region", "consumer_sector",
+                     F.col("zdec").cast("double").alias("value"))
     A = cut_lineage(coefficients(Z, X))
     B = cut_lineage(allocation(Z, X))
 

@@ -121,9 +121,12 @@ def leontief_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ghosh_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full G = Σ Bᵏ (40 terms) as a long matrix."""
+    """Full G = Σ Bᵏ (40 terms) as a long matrix. Since B = x̂⁻¹·A·x̂ term by term,
+    Σ Bᵏ = x̂⁻¹ (Σ Aᵏ) x̂: G_ij = L_ij · x_j / x_i — one join with the output vector
+    instead of another series."""
     eco = economy(spark, sf_dir)
-    return _memo(spark, sf_dir, "G", lambda: cut_lineage(linalg.power_series(eco.B, eco.labels, fixtures.TERMS)))
+    return _memo(spark, sf_dir, "G", lambda: cut_lineage(
+        linalg.similarity_scale(leontief_inverse(spark, sf_dir), eco.X)))
 
 
 def influence(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
