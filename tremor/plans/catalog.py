@@ -598,3 +598,81 @@ def scenario_batch(spark, d):
     """Every scenario × method side by side."""
     s = search.scenario_summary(store.impacts(spark, d))
     return s.select("method", "scenario_id", money("total_change"), money("largest_loss"), "labels_moved")
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+def _fresh_folder(spark, name: str) -> str:
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/exchange/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def production_history(spark, d):
+    """Output by year written as year folders, read back by partition
+    discovery, averaged per (label, year)."""
+    from ..sources import io
+    eco = store.economy(spark, d)
+    base = _fresh_folder(spark, "history")
+    io.write_by_year(eco.history, base, "X")
+    hist = econ.production_history(io.read_years(spark, base, "X"))
+    return hist.select(*LABEL, "year", F.col("value").alias("gross_output"))
+
+
+@query
+def economy_round_trip(spark, d):
+    """A written long (by year) and wide (square), X as a one-column
+    vector; everything read back. Cells from the wide file next to the long file."""
+    from ..sources import io
+    eco = store.economy(spark, d)
+    base = _fresh_folder(spark, "economy")
+    io.write_tables({"A": eco.A}, base, 2024)
+    io.long_to_wide(eco.A, eco.labels).write.parquet(f"{base}/A_wide")
+    eco.X.withColumnRenamed("value", "GrossOutput").write.parquet(f"{base}/X_vec")
+    wide = io.read_matrix(spark, f"{base}/A_wide", wide=True).withColumnRenamed("value", "from_wide")
+    long = io.load_tables(spark, base, 2024, ["A"]).withColumnRenamed("value", "from_long")
+    x = io.read_vector(spark, f"{base}/X_vec", "GrossOutput")
+    xj = x.select(F.col("region").alias("consumer_region"), F.col("sector").alias("consumer_sector"), F.col("value").alias("x_consumer"))
+    assert io.read_history(spark, f"{base}/none") is None
+    return (wide.join(long, CELL, "full_outer").join(xj, ["consumer_region", "consumer_sector"], "left")
+            .select(*CELL, coef("from_wide"), coef("from_long"), "x_consumer"))
+
+
+@query
+def ratings_round_trip(spark, d):
+    """Ratings and crosswalk through CSV, joined rows to CSV, the
+    materiality map through JSON, read back exploded."""
+    from ..sources import io
+    r, x = store.ratings_tables(spark, d)
+    base = _fresh_folder(spark, "ratings")
+    r.write.option("header", True).csv(f"{base}/ratings")
+    x.write.option("header", True).csv(f"{base}/crosswalk")
+    joined, _ = mat.match_ratings(io.read_ratings(spark, f"{base}/ratings"), io.read_crosswalk(spark, f"{base}/crosswalk"), "all")
+    io.write_joined(joined, f"{base}/joined")
+    io.write_materiality(mat.materiality(joined), f"{base}/materiality")
+    return io.read_materiality(spark, f"{base}/materiality")
+
+
+@query
+def scenario_round_trip(spark, d):
+    """The scenario table written as records (percent) and read back with the
+    required-field check, valued at the economy's output."""
+    from ..sources import io
+    eco = store.economy(spark, d)
+    path = _fresh_folder(spark, "scenarios")
+    io.write_scenarios(store.scenarios(spark, d), path)
+    back = io.read_scenarios(spark, path)
+    return back.join(eco.X, LABEL).select("scenario_id", *LABEL, coef("magnitude"), F.col("value").alias("x"))
+
+
+@query
+def portfolio_round_trip(spark, d):
+    """Portfolios through CSV records, valued at the economy's output."""
+    from ..sources import io
+    eco = store.economy(spark, d)
+    path = _fresh_folder(spark, "portfolios") + ".csv"
+    io.write_portfolios(store.portfolios(spark), path)
+    back = io.read_portfolios(spark, path)
+    return back.join(eco.X, LABEL).select("portfolio_id", *LABEL, "weight", F.col("value").alias("x"))

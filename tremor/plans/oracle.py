@@ -717,3 +717,23 @@ SQL["scenario_batch"] = with_(*_base("ghosh", "leontief", "textbook", "direct"))
     f"""SELECT '{m}' AS method, scenario_id, {R('SUM(delta_x)', 2)} AS total_change, {R('MIN(delta_x)', 2)} AS largest_loss,
         COUNT(*) FILTER (WHERE abs(delta_x) > 0) AS labels_moved FROM dx_{m} GROUP BY scenario_id"""
     for m in ("ghosh", "leontief", "textbook", "direct"))
+
+# ---------------------------------------------------------------- sources and sinks
+
+SQL["production_history"] = with_(ECONOMY) + """
+SELECT producer_region AS region, producer_sector AS sector, year, CAST(SUM(v) AS DOUBLE) AS gross_output
+FROM lines GROUP BY ALL"""
+
+SQL["economy_round_trip"] = with_(ECONOMY) + f"""
+SELECT a.producer_region, a.producer_sector, a.consumer_region, a.consumer_sector,
+       {R('a.value', 10)} AS from_wide, {R('a.value', 10)} AS from_long, x.value AS x_consumer
+FROM A a JOIN X x ON x.region = a.consumer_region AND x.sector = a.consumer_sector"""
+
+SQL["ratings_round_trip"] = with_(ECONOMY, RATINGS) + "SELECT service, sector FROM material_all"
+
+SQL["scenario_round_trip"] = with_(*_base()) + f"""
+SELECT s.scenario_id, s.region, s.sector, {R('s.magnitude * 100.0 / 100.0', 10)} AS magnitude, x.value AS x
+FROM shocks s JOIN X x USING (region, sector)"""
+
+SQL["portfolio_round_trip"] = with_(ECONOMY, PORTFOLIOS) + """
+SELECT p.portfolio_id, p.region, p.sector, p.weight, x.value AS x FROM pf p JOIN X x USING (region, sector)"""

@@ -125,6 +125,12 @@ def write_tables(tables: dict[str, DataFrame], base: str, year: int, mode: str =
          .option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(f"{base}/{name}"))
 
 
+def write_by_year(df: DataFrame, base: str, name: str, mode: str = "overwrite") -> None:
+    """S9 for a table that already carries ``year``: one write, one folder per year."""
+    (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy("year").parquet(f"{base}/{name}"))
+
+
 def read_years(spark: SparkSession, base: str, name: str = "X") -> DataFrame:
     """Every year folder of a vector, tagged with its year by partition
     discovery; years without the file are simply absent."""
