@@ -1,0 +1 @@
+"""tremor: Spark-native input-output shock analytics (see README.md)."""

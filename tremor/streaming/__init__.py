@@ -1,0 +1,3 @@
+"""Intentionally empty: the reference is batch only (no watermarks, windows or
+streaming state anywhere in it), so there is no streaming operator to rebuild.
+Scenario and portfolio files are read as batch sources (``tremor.sources.io``)."""
