@@ -145,11 +145,14 @@ def key_intermediaries(A: DataFrame, dx: DataFrame, shocks: DataFrame, homes: Da
 
 
 def impact_paths(A: DataFrame, dx: DataFrame, shocks: DataFrame, homes: DataFrame,
-                 labels: DataFrame, k: int = 5) -> DataFrame:
+                 labels: DataFrame, k: int = 5, mids: DataFrame | None = None) -> DataFrame:
     """R10 (edges): shock → intermediary, intermediary → home and shock → home,
-    with lost flow above 1e-6. ``(scenario_id, source…, target…, flow, edge)``."""
+    with lost flow above 1e-6. ``(scenario_id, source…, target…, flow, edge)``.
+    ``mids`` may pass precomputed :func:`key_intermediaries`."""
     flows = lost_input_flows(A, dx)
-    mids = key_intermediaries(A, dx, shocks, homes, labels, k).select("scenario_id", *LABEL)
+    if mids is None:
+        mids = key_intermediaries(A, dx, shocks, homes, labels, k)
+    mids = mids.select("scenario_id", *LABEL)
     src = lambda df: df.select("scenario_id", F.col("region").alias("producer_region"), F.col("sector").alias("producer_sector"))
     dst = lambda df: df.select("scenario_id", F.col("region").alias("consumer_region"), F.col("sector").alias("consumer_sector"))
     home_dst = homes.select("scenario_id", F.col("home_region").alias("consumer_region"), F.col("home_sector").alias("consumer_sector"))

@@ -212,13 +212,7 @@ def top_impacts_abs(spark, d):
 # ---------------------------------------------------------------- attribution
 
 def _causes(spark, d, method):
-    eco = store.economy(spark, d)
-    sc = store.scenarios(spark, d)
-    if method in ("leontief", "ghosh"):
-        infl = store.influence(spark, d, method)
-    else:
-        infl = att.first_order_influence(eco.A, store.homes(spark))
-    return att.attribute(store.dx(spark, d, method), sc, store.homes(spark), infl)
+    return store.causes(spark, d, method)
 
 
 def _cause_cols(df):
@@ -366,7 +360,7 @@ def impact_paths(spark, d):
     """R10, Ghosh, home NATION_5 AUTOMOBILE."""
     eco = store.economy(spark, d)
     e = reports.impact_paths(eco.A, store.dx(spark, d, "ghosh"), store.scenarios(spark, d), store.homes(spark),
-                             eco.labels, fixtures.PATH_K)
+                             eco.labels, fixtures.PATH_K, mids=store.intermediaries(spark, d))
     return e.select("scenario_id", "source_region", "source_sector", "target_region", "target_sector", money("flow"), "edge")
 
 
@@ -385,8 +379,7 @@ def path_nodes(spark, d):
     """Nodes of the single-home path diagram with role and display name."""
     eco = store.economy(spark, d)
     sc = store.scenarios(spark, d)
-    mids = reports.key_intermediaries(eco.A, store.dx(spark, d, "ghosh"), sc, store.homes(spark), eco.labels, fixtures.PATH_K)
-    return reports.path_nodes(sc, mids, store.homes(spark), eco.regions)
+    return reports.path_nodes(sc, store.intermediaries(spark, d), store.homes(spark), eco.regions)
 
 
 # ---------------------------------------------------------------- scenarios

@@ -52,16 +52,18 @@ def line_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
 
-    # Producer side first; a partial sum by order collapses lines before the order join.
+    # Star join on three keys (part, supplier, order → customer); lines go into the
+    # order join once, and the aggregation into the cube sums map-side, so the only
+    # shuffles of line-sized data are those the joins need (none when the dimension
+    # side is small enough for Spark's size-checked broadcast).
     prod = (li.join(part, li.l_partkey == part.p_partkey)
               .join(supplier, li.l_suppkey == supplier.s_suppkey)
-              .groupBy("l_orderkey", "s_nationkey", "psid", "l_returnflag", "l_linestatus")
-              .agg(F.sum("v").alias("v"), F.sum("l_quantity").alias("q")))
+              .select("l_orderkey", "s_nationkey", "psid", "l_returnflag", "l_linestatus", "v", "l_quantity"))
     cons = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         "o_orderkey", "year", "c_nationkey", "c_mktsegment")
     return (prod.join(cons, prod.l_orderkey == cons.o_orderkey)
             .groupBy("s_nationkey", "psid", "c_nationkey", "c_mktsegment", "year", "l_returnflag", "l_linestatus")
-            .agg(F.sum("v").alias("v"), F.sum("q").alias("q")))
+            .agg(F.sum("v").alias("v"), F.sum("l_quantity").alias("q")))
 
 
 def build(spark: SparkSession, sf_dir: str) -> Economy:

@@ -152,3 +152,28 @@ def search_dx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gross_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch(spark, sf_dir).where(F.col("kind") == "x").select(*LABEL, "value")
+
+
+def causes(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """T1-T3 causes of the home for every scenario (shared by the roll-up reports)."""
+    from ..operators import attribution as att
+
+    def build():
+        eco = economy(spark, sf_dir)
+        if method in ("leontief", "ghosh"):
+            infl = influence(spark, sf_dir, method)
+        else:
+            infl = att.first_order_influence(eco.A, homes(spark))
+        return cut_lineage(att.attribute(dx(spark, sf_dir, method), scenarios(spark, sf_dir), homes(spark), infl))
+    return _memo(spark, sf_dir, f"causes-{method}", build)
+
+
+def intermediaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R10 nodes for the Ghosh Δx and the home (shared by paths and nodes)."""
+    from ..operators import reports
+
+    def build():
+        eco = economy(spark, sf_dir)
+        return cut_lineage(reports.key_intermediaries(eco.A, dx(spark, sf_dir, "ghosh"), scenarios(spark, sf_dir),
+                                                      homes(spark), eco.labels, fixtures.PATH_K))
+    return _memo(spark, sf_dir, "intermediaries", build)
