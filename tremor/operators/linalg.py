@@ -139,11 +139,14 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int = 40,
     """
     keys = list(keys)
     spark = seed.sparkSession
-    # Inputs are evaluated once; everything below reads these cuts.
-    seed = cut_lineage(seed.select(*keys, *LABEL, F.col("value").cast("double").alias("value")))
-    systems = cut_lineage(systems)
+    # Inputs are evaluated once; everything below reads these cuts. Unions of many
+    # small branches are narrowed (no shuffle) to the cluster's parallelism.
+    width = spark.sparkContext.defaultParallelism
+    narrow = lambda df: df.coalesce(width) if df.rdd.getNumPartitions() > width else df
+    seed = cut_lineage(narrow(seed.select(*keys, *LABEL, F.col("value").cast("double").alias("value"))))
+    systems = cut_lineage(narrow(systems))
     if mask is not None:
-        mask = cut_lineage(mask.select(*keys, *LABEL).distinct())
+        mask = cut_lineage(narrow(mask.select(*keys, *LABEL).distinct()))
     # Dictionaries: systems (a handful), labels (bounded by the economy), runs.
     sys_ids = cut_lineage(systems.select("system").union(seed.select("system")).distinct()
                           .withColumn("sys_id", F.row_number().over(Window.orderBy("system")).cast("long")))

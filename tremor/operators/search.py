@@ -60,9 +60,8 @@ def max_impact_scenario(eco: Economy, pairs: DataFrame, magnitude: float = 0.1,
                     ["scenario_id", "home_region", "home_sector"])
               .select("shock_region", "shock_sector", "home_region", "home_sector", F.abs("delta_y").alias("impact"))
               .where(F.col("impact") > 0))
-    w = Window.orderBy(F.col("impact").desc(), "shock_region", "shock_sector", "home_region", "home_sector")
-    # One global ranking over the scored pairs (≤ labels² rows).
-    return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn")
+    # Distributed top-1 (per-partition best, then a merge), ties to the smaller labels.
+    return scored.orderBy(F.col("impact").desc(), "shock_region", "shock_sector", "home_region", "home_sector").limit(1)
 
 
 def default_scenario(eco: Economy, L: DataFrame, sectors: Sequence[str], excluded: Sequence[str],
@@ -78,10 +77,9 @@ def default_scenario(eco: Economy, L: DataFrame, sectors: Sequence[str], exclude
         F.col("region").alias("consumer_region"), F.col("sector").alias("consumer_sector"))
     cells = (L.join(big_prod, ["producer_region", "producer_sector"]).join(big_all, ["consumer_region", "consumer_sector"]))
     cells = cross_border_only(exclude_regions(cells, excluded)).where(F.col("value") > 0)
-    w = Window.orderBy(F.col("value").desc(), "producer_region", "producer_sector", "consumer_region", "consumer_sector")
-    top = cells.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= tries)
-    pick = (top.where(F.col("producer_sector") != F.col("consumer_sector"))
-            .withColumn("k", F.row_number().over(Window.orderBy("rn"))).where(F.col("k") == 1)
+    order = [F.col("value").desc(), "producer_region", "producer_sector", "consumer_region", "consumer_sector"]
+    top = cells.orderBy(*order).limit(tries)  # the `tries` largest cells (distributed top-k)
+    pick = (top.where(F.col("producer_sector") != F.col("consumer_sector")).orderBy(*order).limit(1)
             .select(F.col("consumer_region").alias("home_region"), F.col("consumer_sector").alias("home_sector"),
                     F.col("producer_region").alias("shock_region"), F.col("producer_sector").alias("shock_sector"),
                     F.col("value").alias("dependency")))

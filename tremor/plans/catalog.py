@@ -104,8 +104,9 @@ def residual_demand(spark, d):
 def _inverse_top(m: DataFrame, n: int = 50) -> DataFrame:
     from pyspark.sql import Window
     off = m.where((F.col("producer_region") != F.col("consumer_region")) | (F.col("producer_sector") != F.col("consumer_sector")))
-    w = Window.orderBy(F.col("value").desc(), *CELL)  # one ranking over ≤ labels² cells
-    return off.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(
+    order = [F.col("value").desc(), *CELL]
+    top = off.orderBy(*order).limit(n)  # distributed top-k: per-partition top n, then a merge
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(  # window over n rows
         F.col("rank").cast("bigint").alias("rank"), *CELL, coef("value"))
 
 
@@ -435,6 +436,17 @@ def portfolio_edits(spark, d):
     return pf.join(eco.X, LABEL).select("portfolio_id", *LABEL, "weight", F.col("value").alias("x"))
 
 
+@query
+def portfolio_edit_check(spark, d):
+    """K7 (edit check): would adding or updating each candidate keep the total at
+    most 100 with a positive weight? Candidates are the portfolio rows themselves
+    at new weights, plus one new label; tied to the economy's labels."""
+    eco = store.economy(spark, d)
+    pf = store.portfolios(spark)
+    cand = spark.createDataFrame(fixtures.EDIT_CANDIDATES, scn.PORTFOLIO).join(eco.labels, LABEL, "left_semi")
+    return scn.can_add(pf, cand).select("portfolio_id", *LABEL, "weight", share("potential_total"), "allowed")
+
+
 @query
 def label_split(spark, d):
     """Every label of every scenario flagged shocked or free."""

@@ -55,6 +55,15 @@ PORTFOLIO_EDITS = [
     ("q1", 6, "add", "NATION_7", "BUILDING", 40.0),    # re-add
 ]
 
+# Candidate portfolio edits for the weight check (K7): (portfolio_id, region, sector, weight).
+EDIT_CANDIDATES = [
+    ("p1", "NATION_9", "MACHINERY", 25.0),   # same weight: total stays 100
+    ("p1", "NATION_9", "MACHINERY", 30.0),   # update pushes the total over 100
+    ("p3", "NATION_12", "HOUSEHOLD", 5.0),   # new label filling p3 up to 100
+    ("p3", "NATION_12", "HOUSEHOLD", 6.0),   # one too many
+    ("p4", "NATION_1", "BUILDING", 0.0),     # weight must be positive
+]
+
 # Search (B3/B4): listed producer sectors, quantile, shock.
 SEARCH_SECTORS = ["BUILDING", "FURNITURE"]
 SEARCH_QUANTILE = 0.95

@@ -737,3 +737,12 @@ FROM shocks s JOIN X x USING (region, sector)"""
 
 SQL["portfolio_round_trip"] = with_(ECONOMY, PORTFOLIOS) + """
 SELECT p.portfolio_id, p.region, p.sector, p.weight, x.value AS x FROM pf p JOIN X x USING (region, sector)"""
+
+SQL["portfolio_edit_check"] = with_(ECONOMY, PORTFOLIOS, "cand AS " + values(fixtures.EDIT_CANDIDATES, ["portfolio_id", "region", "sector", "weight"]), """
+tot AS (SELECT portfolio_id, SUM(weight) AS current_total FROM pf GROUP BY portfolio_id),
+c2 AS (SELECT c.* FROM cand c WHERE EXISTS (SELECT 1 FROM labels lb WHERE lb.region = c.region AND lb.sector = c.sector)),
+pt AS (SELECT c.portfolio_id, c.region, c.sector, c.weight,
+              COALESCE(t.current_total, 0.0) - COALESCE(p.weight, 0.0) + c.weight AS potential_total
+       FROM c2 c LEFT JOIN tot t USING (portfolio_id) LEFT JOIN pf p USING (portfolio_id, region, sector))""") + f"""
+SELECT portfolio_id, region, sector, weight, {R('potential_total', 6)} AS potential_total,
+       (weight > 0 AND potential_total <= 100.0) AS allowed FROM pt"""
