@@ -67,3 +67,17 @@ def test_matmul_and_transpose(eco):
     A = dense(eco.A)
     assert dense(linalg.matmul(eco.A, eco.A)) == pytest.approx(A @ A)
     assert dense(linalg.transpose(eco.A)) == pytest.approx(A.T)
+
+
+def test_shuffle_path_matches_broadcast_path(spark, eco):
+    """The loop without any broadcast (the path for matrices above the row limit)."""
+    systems = linalg.oriented(eco.B, "row", "B")
+    seed = spark.createDataFrame([("B", "r1", "C2", "Mining", -36.0), ("B", "r2", "C1", "Farming", 1.0)],
+                                 "system string, run_id string, region string, sector string, value double")
+    mask = spark.createDataFrame([("B", "r1", "C1", "Food Processing")], "system string, run_id string, region string, sector string")
+    a = {(r.run_id, r.region, r.sector): r.value for r in linalg.series_solve(systems, seed, 40, mask).collect()}
+    b = {(r.run_id, r.region, r.sector): r.value for r in linalg.series_solve(systems, seed, 40, mask, broadcast_rows=0).collect()}
+    assert a == pytest.approx(b)
+    assert a[("r1", "C2", "Manufacturing")] == pytest.approx(-20)
+    assert ("r1", "C1", "Food Processing") not in a          # masked label never receives
+    assert a[("r2", "C1", "Food Processing")] == pytest.approx(1 / 3)

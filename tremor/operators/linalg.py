@@ -148,13 +148,15 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int = 40,
     if mask is not None:
         mask = cut_lineage(narrow(mask.select(*keys, *LABEL).distinct()))
     # Dictionaries: systems (a handful), labels (bounded by the economy), runs.
-    sys_ids = cut_lineage(systems.select("system").union(seed.select("system")).distinct()
-                          .withColumn("sys_id", F.row_number().over(Window.orderBy("system")).cast("long")))
+    # System and label numbers are deterministic (ordered windows over a handful of
+    # systems and the label dimension), so they need no cut; run numbers are not.
+    sys_ids = (systems.select("system").union(seed.select("system")).distinct()
+               .withColumn("sys_id", F.row_number().over(Window.orderBy("system")).cast("long")))
     lab = (systems.select(F.col("src_region").alias("region"), F.col("src_sector").alias("sector"))
            .union(systems.select(F.col("dst_region").alias("region"), F.col("dst_sector").alias("sector")))
            .union(seed.select(*LABEL)).distinct())
     # One numbering window over the label dimension (≤ labels rows).
-    lab_ids = cut_lineage(lab.withColumn("lab_id", F.row_number().over(Window.orderBy(*LABEL)).cast("long")))
+    lab_ids = lab.withColumn("lab_id", F.row_number().over(Window.orderBy(*LABEL)).cast("long"))
     run_ids = cut_lineage(seed.select(*keys).distinct().withColumn("run", F.monotonically_increasing_id()))
     n_runs, n_labels = run_ids.count(), lab_ids.count()
     sb = F.broadcast(sys_ids)

@@ -70,17 +70,25 @@ def custom_scenario(rows: DataFrame) -> DataFrame:
 def resolve_scenario(specs: DataFrame, custom: DataFrame, materiality: DataFrame,
                      labels: DataFrame, groups: DataFrame) -> DataFrame:
     """K8: per scenario, a non-empty custom list wins; otherwise ``shock_type``
-    ``ecosystem`` expands the service, else the single pick (region spec × sector).
+    ``ecosystem`` expands the service's material sectors, else the single pick
+    (region spec × sector). Both pick kinds go through one region expansion; only
+    ecosystem rows are limited to labels of the economy (K3).
 
     ``specs``: ``(scenario_id, shock_type, region_spec, sector, service, percent)``;
     ``custom``: ``(scenario_id, region, sector, percent)``."""
     has_custom = custom.select("scenario_id").distinct()
     rest = specs.join(has_custom, "scenario_id", "left_anti")
-    eco = service_shock(rest.where(F.col("shock_type") == "ecosystem").select("scenario_id", "service", "region_spec", "percent"),
-                        materiality, labels, groups)
-    single = single_shock(rest.where(F.col("shock_type") != "ecosystem").select("scenario_id", "region_spec", "sector", "percent"),
-                          labels, groups)
-    return custom_scenario(custom).unionByName(eco).unionByName(single)
+    sectors = materiality.select("service", F.col("sector").alias("msector"))
+    eco = (rest.where(F.col("shock_type") == "ecosystem").join(F.broadcast(sectors), "service")
+           .select("scenario_id", "region_spec", F.col("msector").alias("sector"), "percent", F.lit(True).alias("eco")))
+    single = (rest.where(F.col("shock_type") != "ecosystem")
+              .select("scenario_id", "region_spec", "sector", "percent", F.lit(False).alias("eco")))
+    expanded = expand_region(eco.unionByName(single), labels, groups)
+    known = labels.select(*LABEL, F.lit(True).alias("known"))
+    picked = (expanded.join(F.broadcast(known), LABEL, "left")
+              .where(~F.col("eco") | F.col("known").isNotNull())
+              .select("scenario_id", "region", "sector", (F.col("percent") / 100.0).alias("magnitude")))
+    return custom_scenario(custom).unionByName(picked)
 
 
 def apply_edits(edits: DataFrame, key: str = "scenario_id", value: str = "magnitude") -> DataFrame:
