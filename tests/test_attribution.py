@@ -102,3 +102,17 @@ def test_home_impact_and_history(spark, eco):
     assert rows[2020].history_output == 10 and rows[2021].history_output == 12
     assert rows[2020].base_output == 360 and rows[2020].post_shock_output == pytest.approx(180)
     assert reports.shock_history(hist, eco.X, sh, strict=True).count() == 0  # Mining has no history
+
+
+def test_home_seeded_influence_equals_inverse_columns(spark, eco):
+    """Without a full inverse, the rows of L / columns of G for the homes come from
+    a home-seeded series."""
+    homes = spark.createDataFrame([("s", *M2), ("s", *F2)], "scenario_id string, home_region string, home_sector string")
+    g = {(r.home_sector, r.sector): r.value for r in att.influence(eco, homes, "ghosh").collect()}
+    assert g[("Manufacturing", "Mining")] == pytest.approx(5 / 9) and g[("Food Processing", "Farming")] == pytest.approx(1 / 3)
+    l_rows = {(r.home_sector, r.sector): r.value for r in att.influence(eco, homes, "leontief").collect()}
+    assert l_rows[("Manufacturing", "Manufacturing")] == pytest.approx(1.0)
+    assert ("Manufacturing", "Mining") not in l_rows  # row of L for Manufacturing: it sells to nobody
+    a = {(r.home_sector, r.sector): r.value for r in att.influence(eco, homes, "direct").collect()}
+    assert a == pytest.approx({("Manufacturing", "Mining"): 0.5, ("Manufacturing", "Farming"): 0.1,
+                               ("Food Processing", "Farming"): 0.4})

@@ -105,11 +105,6 @@ def attribute_portfolio(dx: DataFrame, shocks: DataFrame, positions: DataFrame,
                     _share(F.col("contribution"), ["scenario_id", "portfolio_id"]).alias("share_pct"), "total_impact"))
 
 
-def region_name(code: Column, names: DataFrame | None = None) -> Column:
-    """Helper for D1 when names were joined as ``name``: fall back to the code."""
-    return F.coalesce(F.col("name"), code)
-
-
 def rollup_causes(causes: DataFrame, level: str, regions: DataFrame, keys: list[str]) -> DataFrame:
     """T5: shares regrouped by ``country`` (display name, falling back to the code),
     by ``sector``, or not at all (``none``: "name - sector"). ``(keys…, item, value)``."""

@@ -15,7 +15,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 LABEL = ["region", "sector"]
 CELL = ["producer_region", "producer_sector", "consumer_region", "consumer_sector"]
