@@ -201,6 +201,19 @@ def top_impacts_pct(spark, d):
                     money("change"), share("pct_change"))
 
 
+def flagship(spark, d):
+    """The minimum end-to-end slice (economy → scenarios → Ghosh propagation → top
+    impacts) without the shared batch: one loop over the fixed scenarios only.
+    Same rows and schema as :func:`top_impacts_pct`."""
+    from ..operators import propagate
+    eco = store.economy(spark, d)
+    sc = store.scenarios(spark, d)
+    dx = propagate.ghosh_impact(eco, sc, fixtures.TERMS)
+    t = reports.top_impacts(dx, eco.X, sc, eco.regions, fixtures.TOP_N, "percentage")
+    return t.select("scenario_id", F.col("rank").cast("bigint").alias("rank"), "region", "country", "sector",
+                    money("change"), share("pct_change"))
+
+
 @query
 def top_impacts_abs(spark, d):
     """Top 100 by absolute money change, Ghosh."""
