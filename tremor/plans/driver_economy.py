@@ -81,7 +81,8 @@ def build(spark: SparkSession, sf_dir: str) -> Economy:
              .select("producer_region", "producer_sector", "consumer_region",
                      F.col("c_mktsegment").alias("consumer_sector"), "year", "l_returnflag", "l_linestatus", "v", "q"))
 
-    labels = nat.select(F.col("n_name").alias("region")).crossJoin(seg.select("sector"))  # J10
+    # Regions × sectors. Cut once: nearly every report uses the label domain.
+    labels = cut_lineage(nat.select(F.col("n_name").alias("region")).crossJoin(seg.select("sector")))
 
     z_dec = cut_lineage(named.where(F.col("l_returnflag") != "N")
                         .groupBy("producer_region", "producer_sector", "consumer_region", "consumer_sector")
@@ -122,8 +123,8 @@ def build(spark: SparkSession, sf_dir: str) -> Economy:
                            .select(F.lit("CORE").alias("group_name"), F.col("n_name").alias("region")))
               .unionByName(spark.createDataFrame([("EMPTY", r) for r in EMPTY_GROUP_MEMBERS], "group_name string, region string")))
 
-    # Cut: the cube (holds the scan) and what is reused by many plans. Labels,
-    # regions and groups are small plans over tiny files and stay uncut.
+    # Cut: the cube (holds the scan) and what is reused by many plans; regions and
+    # groups are small plans over tiny files and stay uncut.
     return Economy(labels=labels, Z=Z, X=X, Y=Y, A=A, B=B,
                    history=cut_lineage(history), F=F_flows, units=units,
                    regions=regions, groups=groups)
