@@ -24,7 +24,7 @@ VEC = "region string, sector string, value double"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session(4, shuffle_partitions=4, app="tremor-tests")
+    s = build_session("*", shuffle_partitions=8, app="tremor-tests")
     yield s
     s.stop()
 
