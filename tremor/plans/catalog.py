@@ -17,7 +17,7 @@ from ..operators import economy as econ
 from ..operators import linalg, reports, search
 from ..operators import materiality as mat
 from ..operators import scenario as scn
-from ..operators.propagate import required_demand
+from ..operators import propagate as prop
 from . import fixtures, store
 
 LABEL = ["region", "sector"]
@@ -177,10 +177,10 @@ def leontief_textbook(spark, d):
 
 
 @query
-def required_demand_change(spark, d):
+def required_demand(spark, d):
     """Δy = (I − A)·Δx of the Leontief parity model."""
     eco = store.economy(spark, d)
-    return required_demand(eco.A, store.dx(spark, d, "leontief")).select("scenario_id", *LABEL, money("delta_y"))
+    return prop.required_demand(eco.A, store.dx(spark, d, "leontief")).select("scenario_id", *LABEL, money("delta_y"))
 
 
 @query
@@ -188,7 +188,7 @@ def direct_impact(spark, d):
     """Only shocked labels move; Δy = (I − A)·Δx."""
     eco = store.economy(spark, d)
     dx = store.dx(spark, d, "direct")
-    dy = required_demand(eco.A, dx)
+    dy = prop.required_demand(eco.A, dx)
     return dx.join(dy, ["scenario_id", *LABEL]).select("scenario_id", *LABEL, money("delta_x"), money("delta_y"))
 
 

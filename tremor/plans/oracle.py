@@ -316,7 +316,7 @@ def _dy(dx: str) -> str:
       USING (scenario_id, region, sector))"""
 
 
-SQL["required_demand_change"] = with_(ECONOMY, RATINGS, scenarios_cte(), impact_ctes("leontief"), _dy("dx_leontief")) + f"""
+SQL["required_demand"] = with_(ECONOMY, RATINGS, scenarios_cte(), impact_ctes("leontief"), _dy("dx_leontief")) + f"""
 SELECT scenario_id, region, sector, {R('delta_y', 2)} AS delta_y FROM dy"""
 
 SQL["direct_impact"] = with_(ECONOMY, RATINGS, scenarios_cte(), impact_ctes("direct"), _dy("dx_direct")) + f"""
