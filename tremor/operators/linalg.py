@@ -257,13 +257,17 @@ def power_series(matrix: DataFrame, labels: DataFrame, terms: int = 40) -> DataF
     eye = cut_lineage(identity(labels))
     m = cut_lineage(matrix.select(*PRODUCER, *CONSUMER, F.col("value").cast("double").alias("value")))
     s, p, n = eye, m, 1  # S_n and Mⁿ
-    for bit in bin(terms)[3:]:
+    bits = bin(terms)[3:]
+    for i, bit in enumerate(bits):
+        last = i == len(bits) - 1
         s = cut_lineage(_add(s, matmul(p, s)))
-        p = cut_lineage(matmul(p, p))
+        if not (last and bit == "0"):  # Mⁿ is not needed after the final step
+            p = cut_lineage(matmul(p, p))
         n *= 2
         if bit == "1":
             s = cut_lineage(_add(eye, matmul(m, s)))
-            p = cut_lineage(matmul(p, m))
+            if not last:
+                p = cut_lineage(matmul(p, m))
             n += 1
     return s
 
