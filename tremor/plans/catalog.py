@@ -528,10 +528,11 @@ def catalog_listing(spark, d):
         F.lit("group").alias("kind"), F.col("group_name").alias("value"), F.col("group_name").alias("label"))
     secs = eco.labels.select("sector").distinct().select(F.lit("sector").alias("kind"), F.col("sector").alias("value"), F.col("sector").alias("label"))
     svc = store.material(spark, d).select("service").distinct()
-    first = svc.agg(F.min("service").alias("first"), F.max(F.when(F.col("service") == "Pollination", 1)).alias("has_p"))
-    svcs = (svc.crossJoin(first)  # one-row aggregate
-            .select(F.lit("service").alias("kind"), F.col("service").alias("value"), F.col("service").alias("label"),
-                    F.when(F.col("has_p") == 1, F.col("service") == "Pollination").otherwise(F.col("service") == F.col("first")).alias("is_default")))
+    # The default service: Pollination if listed, else the first (two scalars).
+    top = svc.agg(F.min("service").alias("first"), F.max(F.when(F.col("service") == "Pollination", 1)).alias("has_p")).first()
+    default = "Pollination" if top["has_p"] == 1 else top["first"]
+    svcs = svc.select(F.lit("service").alias("kind"), F.col("service").alias("value"), F.col("service").alias("label"),
+                      (F.col("service") == F.lit(default)).alias("is_default"))
     rest = regs.unionByName(grps).unionByName(secs).withColumn("is_default", F.lit(False))
     return rest.unionByName(svcs)
 
