@@ -75,7 +75,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 16) ->
     ids = scratch.keep(rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("id", "code"), "ids")
     index = scratch.keep(ids.groupBy("code").agg(F.min("id").alias("least"), F.count("*").alias("n")), "index")
     asked = scratch.keep(queries.select("id", "code").where("id is not null and code is not null").distinct(), "asked")
-    active = asked.select(F.col("code").alias("q")).distinct()
+    # Active queries, with the largest distance that can still be among the nearest.
+    active = asked.select(F.col("code").alias("q"), (F.size("code") * WORD_BITS).alias("limit")).distinct()
     words = index.select(F.size("code").alias("n")).limit(1).collect()
     segments = (words[0]["n"] if words else 1) * (WORD_BITS // bits)
     buckets = scratch.keep(_segments(index, segments, bits), "buckets")
@@ -87,28 +88,36 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 16) ->
         active = scratch.keep(active, f"active{radius}")
         if active.isEmpty():
             break
-        mine = _segments(active.select("q", F.col("q").alias("code")), segments, bits).select("q", "segment", F.col("value").alias("own"))
+        mine = _segments(active.select("q", "limit", F.col("q").alias("code")), segments, bits).select(
+            "q", "limit", "segment", F.col("value").alias("own"))
         if comb(bits, radius) <= per_segment:
             # All values at this radius from the own one.
             masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << bits) - 1).cast("long")), lambda x: F.bit_count(x) == radius)
-            probes = mine.select("q", "segment", F.explode(masks).alias("mask"), "own").select(
-                "q", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+            probes = mine.select("q", "limit", "segment", F.explode(masks).alias("mask"), "own").select(
+                "q", "limit", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         else:
             # Fewer values exist than lie at this radius: test those of the segment.
-            probes = mine.join(values, "segment").where(F.bit_count(F.col("own").bitwiseXOR(F.col("value"))) == radius).select(
-                "q", "segment", "value")
-        seen = (probes.join(buckets, ["segment", "value"])
-                .select("q", "code", "least", "n", distance(F.col("q"), F.col("code")).alias("d")))
+            probes = mine.join(values.hint("merge"), "segment").where(
+                F.bit_count(F.col("own").bitwiseXOR(F.col("value"))) == radius).select("q", "limit", "segment", "value")
+        # The full check is part of the join: what cannot be among the nearest is not
+        # emitted. Probes outnumber the queries by far, so neither side is broadcast.
+        seen = (probes.alias("p").join(
+            buckets.hint("shuffle_hash").alias("b"),
+            (F.col("p.segment") == F.col("b.segment")) & (F.col("p.value") == F.col("b.value"))
+            & (distance(F.col("p.q"), F.col("b.code")) <= F.col("p.limit")))
+            .select("q", "code", "least", "n", distance(F.col("q"), F.col("code")).alias("d")))
         if found is not None:
             seen = seen.unionByName(found.join(active, "q", "left_semi"))
         found = scratch.keep(_closest(seen.distinct().withColumnRenamed("n", "copies"), k + 1).withColumnRenamed("copies", "n"), f"found{radius}")
         bound = segments * (radius + 1) - 1
-        done = (found.groupBy("q").agg(F.sum(F.when(F.col("d") <= bound, F.col("n")).otherwise(0)).alias("sure"))
-                .where(F.col("sure") >= k + 1).select("q"))
-        done = scratch.keep(done, f"done{radius}")
+        state = scratch.keep(found.groupBy("q").agg(
+            F.sum(F.when(F.col("d") <= bound, F.col("n")).otherwise(0)).alias("sure"),
+            F.when(F.count("*") > k, F.max("d")).alias("kth")), f"state{radius}")
+        done = state.where(F.col("sure") >= k + 1).select("q")
         last = radius == bits
         settled.append(found if last else found.join(done, "q", "left_semi"))
-        active = active.join(done, "q", "left_anti")
+        active = (active.join(done, "q", "left_anti").join(state.select("q", "kth"), "q", "left")
+                  .select("q", F.least("limit", "kth").alias("limit")))
     if not settled:
         return spark.createDataFrame([], f"query_id {_type(asked)}, id {_type(ids)}, distance int, rank int")
     near = settled[0]
