@@ -167,18 +167,27 @@ def _block_links(rows: pd.DataFrame, budget: int) -> pd.DataFrame:
 
 def _prefix(fp, depth: int):
     """The first ``depth`` bits as a number."""
-    return F.lit(0).cast("long") if depth == 0 else F.shiftrightunsigned(fp, BITS - depth)
+    return F.shiftrightunsigned(fp, BITS - depth)
 
 
-def links(scratch: Scratch, fps: DataFrame, budget: int = 2, block: int = 1 << 14, step: int = 4) -> DataFrame:
+def block_size(n: int, most: int = 1 << 17) -> int:
+    """Fingerprints of a block for ``n`` in all: the same share of them whatever their
+    number, so that the upper walk ends at about the same depth and a fingerprint goes
+    to about as many blocks; at most what one task should hold."""
+    return min(most, max(2048, n // 24))
+
+
+def links(scratch: Scratch, fps: DataFrame, budget: int = 2, block: int = 1 << 17, step: int = 2) -> DataFrame:
     """Links (u, v) that connect the distinct fingerprints ``fps(fp)`` within ``budget``.
 
     ``block``: most fingerprints of a node pair that is compared in one task. A node
     of full depth holds one fingerprint, so every pair gets there at last."""
     spark = fps.sparkSession
-    n = fps.count()
-    pairs = spark.createDataFrame([(0, 0, 0)] if n else [], "a long, b long, diff int")
-    blocks, depth = [], 0
+    block = block_size(fps.count(), block)
+    depth, first = step, range(1 << step)
+    pairs = spark.createDataFrame([(x, y, (x ^ y).bit_count()) for x in first for y in first
+                                   if x <= y and (x ^ y).bit_count() <= budget], "a long, b long, diff int")
+    blocks = []
     while True:
         nodes = fps.groupBy(_prefix(F.col("fp"), depth).alias("node")).agg(F.count("*").alias("n"))
         sized = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("an")), "a")
@@ -203,7 +212,7 @@ def links(scratch: Scratch, fps: DataFrame, budget: int = 2, block: int = 1 << 1
         found = found.unionByName(more)
     found = found.withColumn("block", F.monotonically_increasing_id())
     found = scratch.keep(found, "blocks")
-    depths = [step * k for k in range(len(blocks))]
+    depths = [step * (k + 1) for k in range(len(blocks))]
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("fp"), d).alias("node"))
                                                  for d in depths])).alias("k")).select("fp", "k.*")
     sides = (found.select("block", "depth", F.col("a").alias("node"), "diff", F.lit(0).alias("side"))
@@ -259,7 +268,7 @@ def _grouped(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, word
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-           budget: int = 2, block: int = 1 << 14) -> DataFrame:
+           budget: int = 2, block: int = 1 << 17) -> DataFrame:
     """Near-duplicate groups: one row per document with the id column, ``fingerprint``
     (16 lower-case hex digits) and ``component_id``, the smallest id reachable over
     fingerprints that differ in at most ``budget`` bits.
@@ -274,7 +283,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-                  budget: int = 2, block: int = 1 << 14) -> DataFrame:
+                  budget: int = 2, block: int = 1 << 17) -> DataFrame:
     """``docs`` with one row of each group of ``groups``: the one with the smallest id
     (rows without an id last; of rows with that id, by a hash of the text). Cases as
     there; of repeated rows one stays."""
