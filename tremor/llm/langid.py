@@ -91,7 +91,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, size: int
                     own[g] += n
         for lang, own in total.items():
             keys = list(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys, pa.int64()),
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()),
                                               pa.array([own[k] for k in keys], pa.int64())], names=["lang", "gram", "n"])
 
     sums = (train.where(F.col("h") < limit).select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
