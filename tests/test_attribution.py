@@ -31,14 +31,16 @@ def test_home_attribution(spark, case):
     assert sum(r.share_pct for r in rows.values()) == pytest.approx(100)
 
 
-def test_home_is_dropped_and_small_impact_gives_nothing(spark, eco, case):
+def test_home_is_dropped_and_small_impact_gives_no_cause(spark, eco, case):
     sh, dx, infl = case
     homes = spark.createDataFrame([("g2", *M1)], "scenario_id string, home_region string, home_sector string")
     rows = att.attribute(dx, sh, homes, infl).collect()
     assert {(r.cause_region, r.cause_sector) for r in rows} == {F1}
     zero = propagate.ghosh_impact(eco, shocks(spark, [("z", *F2, 0.5)]))  # Food sells to nobody
     homes_z = spark.createDataFrame([("z", *M2)], "scenario_id string, home_region string, home_sector string")
-    assert att.attribute(zero, shocks(spark, [("z", *F2, 0.5)]), homes_z, infl).count() == 0
+    rows = att.attribute(zero, shocks(spark, [("z", *F2, 0.5)]), homes_z, infl).collect()
+    # No impact: the home stays, without a cause and with total 0.
+    assert [(r.cause_region, r.contribution, r.share_pct, r.total_impact) for r in rows] == [(None, 0.0, 0.0, 0.0)]
 
 
 def test_portfolio_attribution_and_impact(spark, eco, case):

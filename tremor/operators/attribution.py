@@ -18,6 +18,8 @@ from . import propagate
 LABEL = ["region", "sector"]
 HOME = ["home_region", "home_sector"]
 CAUSE = ["cause_region", "cause_sector"]
+# The system whose home-seeded series gives the influences of a method.
+INFLUENCE_SYSTEM = {"leontief": ("A_row", "L"), "ghosh": ("B_col", "G")}
 # Home changes below this are "no significant change" (no causes reported).
 MIN_IMPACT = 1e-10
 # Remainder below this gets no "Others" bar.
@@ -31,17 +33,14 @@ def first_order_influence(A: DataFrame, homes: DataFrame) -> DataFrame:
             .select(*HOME, F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"), "value"))
 
 
-def influence(eco: Economy, homes: DataFrame, method: str, terms: int = 40) -> DataFrame:
+def influence(eco: Economy, homes: DataFrame, method: str, tol: float = 1e-16) -> DataFrame:
     """Influence of every label on each home: row of L (``leontief``), column of G
     (``ghosh``) by a home-seeded series, or column of A otherwise."""
     h = homes.select(F.col("home_region").alias("region"), F.col("home_sector").alias("sector")).distinct()
-    if method == "leontief":
-        seeds = propagate.inverse_seeds(h, "A_row", "L")
-    elif method == "ghosh":
-        seeds = propagate.inverse_seeds(h, "B_col", "G")
-    else:
+    if method not in INFLUENCE_SYSTEM:
         return first_order_influence(eco.A, homes)
-    solved = propagate.solve_runs(eco, seeds, None, terms, [seeds.first()["system"]])
+    system, kind = INFLUENCE_SYSTEM[method]
+    solved = propagate.solve_runs(eco, propagate.inverse_seeds(h, system, kind), None, [system], tol)
     return solved.select(*HOME, *LABEL, "value")
 
 
@@ -56,8 +55,9 @@ def attribute(dx: DataFrame, shocks: DataFrame, homes: DataFrame, infl: DataFram
 
     ``dx``: ``(scenario_id, region, sector, delta_x)``; ``homes``:
     ``(scenario_id, home_region, home_sector)``. Contribution = influence ×
-    |Δx_shock|; homes whose |Δx| is below 1e-10 get no causes; the home itself is
-    dropped from its causes; shares are normalised to 100 (0 when the total is not
+    |Δx_shock|. A home whose |Δx| is below 1e-10 has no causes and total 0; one whose only
+    shock is itself has no causes but keeps its total: both get one row with a null cause.
+    The home itself is dropped from its causes; shares are normalised to 100 (0 when the total is not
     positive). ``(scenario_id, home…, cause…, contribution, share_pct, total_impact)``."""
     s_val = (shocks.select("scenario_id", *LABEL).distinct()
              .join(dx, ["scenario_id", *LABEL])
@@ -65,16 +65,20 @@ def attribute(dx: DataFrame, shocks: DataFrame, homes: DataFrame, infl: DataFram
                      F.abs("delta_x").alias("shock_value")))
     h_val = (homes.join(dx.select("scenario_id", F.col("region").alias("home_region"), F.col("sector").alias("home_sector"), "delta_x"),
                         ["scenario_id", *HOME])
-             .select("scenario_id", *HOME, F.abs("delta_x").alias("total_impact"))
-             .where(F.col("total_impact") >= MIN_IMPACT))
+             .select("scenario_id", *HOME, F.abs("delta_x").alias("total_impact")))
     inf = infl.select(*HOME, F.col("region").alias("cause_region"), F.col("sector").alias("cause_sector"), F.col("value").alias("infl"))
-    pairs = h_val.join(s_val, "scenario_id")  # each home with the shocks of its scenario
+    pairs = h_val.where(F.col("total_impact") >= MIN_IMPACT).join(s_val, "scenario_id")  # with the shocks of its scenario
     if drop_home:
         pairs = pairs.where((F.col("cause_region") != F.col("home_region")) | (F.col("cause_sector") != F.col("home_sector")))
     c = (pairs.join(inf, [*HOME, *CAUSE], "left")
          .withColumn("contribution", F.coalesce("infl", F.lit(0.0)) * F.col("shock_value")))
-    return c.select("scenario_id", *HOME, *CAUSE, "contribution",
-                    _share(F.col("contribution"), ["scenario_id", *HOME]).alias("share_pct"), "total_impact")
+    found = c.select("scenario_id", *HOME, *CAUSE, "contribution",
+                     _share(F.col("contribution"), ["scenario_id", *HOME]).alias("share_pct"), "total_impact")
+    none = (h_val.join(found.select("scenario_id", *HOME).distinct(), ["scenario_id", *HOME], "left_anti")
+            .select("scenario_id", *HOME, F.lit(None).cast("string").alias("cause_region"), F.lit(None).cast("string").alias("cause_sector"),
+                    F.lit(0.0).alias("contribution"), F.lit(0.0).alias("share_pct"),
+                    F.when(F.col("total_impact") >= MIN_IMPACT, F.col("total_impact")).otherwise(0.0).alias("total_impact")))
+    return found.unionByName(none)
 
 
 def attribute_portfolio(dx: DataFrame, shocks: DataFrame, positions: DataFrame, infl: DataFrame | None) -> DataFrame:
@@ -116,7 +120,7 @@ def rollup_causes(causes: DataFrame, level: str, regions: DataFrame, keys: list[
         item = F.col("cause_sector")
     else:
         item = F.concat_ws(" - ", nm, F.col("cause_sector"))
-    return named.groupBy(*keys, item.alias("item")).agg(F.sum("share_pct").alias("value"))
+    return named.where(F.col("cause_region").isNotNull()).groupBy(*keys, item.alias("item")).agg(F.sum("share_pct").alias("value"))
 
 
 def top_contributors(rolled: DataFrame, keys: list[str], k: int = 3) -> DataFrame:

@@ -100,11 +100,11 @@ def extension_total(F_flows: DataFrame, units: DataFrame, labels: DataFrame,
             .select(*LABEL, F.coalesce(F.col("value"), F.lit(0.0)).alias("value")))
 
 
-def gross_output(A: DataFrame, Y: DataFrame, terms: int = 40) -> DataFrame:
+def gross_output(A: DataFrame, Y: DataFrame, tol: float = 1e-16) -> DataFrame:
     """M6: ``x = L·y`` by the geometric series on A (column orientation)."""
     systems = linalg.oriented(A, "column", "A")
     seed = Y.select(F.lit("A").alias("system"), F.lit("x").alias("run_id"), *LABEL, "value")
-    return linalg.series_solve(systems, seed, terms=terms).select(*LABEL, "value")
+    return linalg.series_solve(systems, seed, tol=tol).select(*LABEL, "value")
 
 
 def production_history(x_by_year: DataFrame, wide: bool = False) -> DataFrame:

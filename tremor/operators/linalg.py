@@ -11,12 +11,13 @@ does a partial (map-side) sum before the shuffle, so a round moves at most
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small, cut_lineage
+from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small, cut_lineage, ensure_checkpoint_dir
 
 PRODUCER = ("producer_region", "producer_sector")
 CONSUMER = ("consumer_region", "consumer_sector")
@@ -113,12 +114,16 @@ def residual(matrix: DataFrame, vector: DataFrame, keys: Sequence[str] = ()) ->
     )
 
 
-def series_solve(systems: DataFrame, seed: DataFrame, terms: int = 40,
+class NotConvergent(ValueError):
+    """The geometric series of a system does not settle."""
+
+
+def series_solve(systems: DataFrame, seed: DataFrame, terms: int | None = None,
                  mask: DataFrame | None = None, checkpoint_every: int = 10,
-                 tol: float | None = None,
-                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                 keys: Sequence[str] = ("system", "run_id")) -> DataFrame:
-    """Geometric series ``Σ_{k<terms} Mᵏ b`` for many right-hand sides in one plan.
+                 tol: float = 1e-16, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                 keys: Sequence[str] = ("system", "run_id"), max_rounds: int = 5000) -> DataFrame:
+    """Geometric series ``Σ_k Mᵏ b`` for many right-hand sides in one plan, summed until
+    it has converged.
 
     ``systems``: ``(system, src_region, src_sector, dst_region, dst_sector, value)``,
     several matrices told apart by ``system`` (see :func:`oriented`).
@@ -129,24 +134,31 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int = 40,
     is the same as using the sub-matrix ``M_nn``, but keeps one shared matrix for
     all runs.
 
+    The loop ends when, in every run, the bound of what is left out (last term times
+    ``ρ / (1 − ρ)``, with ρ the rate at which terms fell since the check before) is at
+    most ``tol`` of the largest sum. It raises :class:`NotConvergent` if terms stop
+    falling or ``max_rounds`` is reached. With ``terms`` a caller asks for a partial sum:
+    the loop then ends after so many terms at the latest, and does not raise for that.
+
     Inside the loop runs and labels are dense integers: the state is
     ``(run, key, term, acc)`` with ``key = system·2³² + label``, so each round is one
     join on a single long (broadcast when the matrix is small enough, else a
     shuffle) and one aggregation on two longs with a map-side partial sum; the state
-    never grows beyond runs × labels rows. Lineage is cut in the shared checkpoint
-    folder every ``checkpoint_every`` rounds. With ``tol`` the loop also stops once
-    the largest term is below ``tol`` times the largest partial sum.
+    never grows beyond runs × labels rows. The loop runs in a session of its own, on
+    tables in the shared checkpoint folder, so its static planning does not touch the
+    caller's settings; every ``checkpoint_every`` rounds the state is written there.
     """
     keys = list(keys)
     spark = seed.sparkSession
-    # Inputs are evaluated once; everything below reads these cuts. Unions of many
-    # small branches are narrowed (no shuffle) to the cluster's parallelism.
-    width = spark.sparkContext.defaultParallelism
-    narrow = lambda df: df.coalesce(width) if df.rdd.getNumPartitions() > width else df
-    seed = cut_lineage(narrow(seed.select(*keys, *LABEL, F.col("value").cast("double").alias("value"))))
-    systems = cut_lineage(narrow(systems))
+    cores = spark.sparkContext.defaultParallelism
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/series-{uuid.uuid4().hex}"
+    loop = spark.newSession()
+    # Seeds and systems are unions of many small branches: evaluated once, at a width
+    # that fits the cluster.
+    seed = cut_lineage(seed.select(*keys, *LABEL, F.col("value").cast("double").alias("value")).repartition(cores, *LABEL))
+    systems = cut_lineage(systems.repartition(cores, "src_region", "src_sector"))
     if mask is not None:
-        mask = cut_lineage(narrow(mask.select(*keys, *LABEL).distinct()))
+        mask = cut_lineage(mask.select(*keys, *LABEL).distinct())
     # Dictionaries: systems (a handful), labels (bounded by the economy), runs.
     # System and label numbers are deterministic (ordered windows over a handful of
     # systems and the label dimension), so they need no cut; run numbers are not.
@@ -167,6 +179,10 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int = 40,
         l2 = lb.select(F.col("region").alias(region), F.col("sector").alias(sector), F.col("lab_id").alias(f"{name}_lab"))
         return df.join(l2, [region, sector]).withColumn(name, F.shiftleft(F.col("sys_id"), 32) + F.col(f"{name}_lab"))
 
+    def kept(df, name):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return loop.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     m = systems.join(sb, "system")
     m = code(code(m, "src_region", "src_sector", "src"), "dst_region", "dst_sector", "dst")
     real = m.select("src", "dst", F.col("value").cast("double").alias("value"), F.lit(False).alias("carry"))
@@ -174,64 +190,77 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int = 40,
              .select(F.col("k").alias("src"), F.col("k").alias("dst"), F.lit(1.0).alias("value"), F.lit(True).alias("carry")))
 
     def encode_runs(df):
-        out = code(df.join(rb, keys).join(sb, "system"), "region", "sector", "key")
-        return out
+        return code(df.join(rb, keys).join(sb, "system"), "region", "sector", "key")
 
     seed_i = encode_runs(seed).select("run", "key", F.col("value").alias("term"))
     ident = ident.union(seed_i.select(F.col("key").alias("src"), F.col("key").alias("dst"), F.lit(1.0).alias("value"),
                                       F.lit(True).alias("carry"))).distinct()
-    stepper = cut_lineage(real.unionByName(ident))
+    stepper = kept(real.unionByName(ident), "matrix")
     n_step = stepper.count()
-    mst = F.broadcast(stepper) if n_step <= broadcast_rows else stepper
-    mk = None
-    if mask is not None:
-        mk = broadcast_if_small(cut_lineage(encode_runs(mask).select("run", "key")), broadcast_rows)
-
-    def apply_mask(df: DataFrame) -> DataFrame:
-        return df.join(mk, ["run", "key"], "left_anti") if mk is not None else df
-
-    state = cut_lineage(apply_mask(seed_i.groupBy("run", "key").agg(F.sum("term").alias("term"))
-                                   .withColumn("acc", F.lit(0.0))))
     # Size the loop's shuffle from the work of a round (state rows × average
     # out-degree), and plan it statically: the state is keyed uniformly by
     # (run, label), so run-time re-planning has nothing to fix here.
     degree = max(1.0, n_step / max(1, n_labels))
     products = n_runs * n_labels * degree
-    cores = spark.sparkContext.defaultParallelism
     parts = int(max(1, min(100_000, max(math.ceil(products / ROWS_PER_TASK),
                                         min(cores, math.ceil(products / MIN_ROWS_PER_TASK))))))
-    saved = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    try:
-        state = _iterate(state, mst, apply_mask, terms, checkpoint_every, tol)
-    finally:
-        for k, v in saved.items():
-            spark.conf.set(k, v)
-    out = (state.select("run", "key", (F.col("acc") + F.col("term")).alias("value"))
+    loop.conf.set("spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    loop.conf.set("spark.sql.adaptive.enabled", "false")
+    loop.conf.set("spark.sql.shuffle.partitions", str(parts))
+    # A large matrix is exchanged once per lineage segment; the exchange is reused there.
+    mst = F.broadcast(stepper) if n_step <= broadcast_rows else stepper
+    mk = None
+    if mask is not None:
+        mk = broadcast_if_small(kept(encode_runs(mask).select("run", "key"), "mask"), broadcast_rows)
+
+    def apply_mask(df: DataFrame) -> DataFrame:
+        return df.join(mk, ["run", "key"], "left_anti") if mk is not None else df
+
+    first = seed_i.groupBy("run", "key").agg(F.sum("term").alias("term")).withColumn("acc", F.lit(0.0))
+    state = apply_mask(kept(first, "state0"))
+    name, schema = _iterate(state, mst, apply_mask, kept, tol, max_rounds, checkpoint_every, terms)
+    done = spark.read.schema(schema).parquet(f"{folder}/{name}")
+    out = (done.select("run", "key", (F.col("acc") + F.col("term")).alias("value"))
            .join(rb, "run")
            .withColumn("lab_id", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)))
            .join(lb, "lab_id"))
     return out.select(*keys, *LABEL, "value")
 
 
-def _iterate(state, m, apply_mask, terms, checkpoint_every, tol):
-    for k in range(1, terms):
-        state = apply_mask(
-            state.alias("s").join(m.alias("m"), F.col("s.key") == F.col("m.src"))
-            .groupBy(F.col("s.run").alias("run"), F.col("m.dst").alias("key"))
-            .agg(
-                F.sum(F.when(~F.col("m.carry"), F.col("s.term") * F.col("m.value")).otherwise(0.0)).alias("term"),
-                F.sum(F.when(F.col("m.carry"), F.col("s.acc") + F.col("s.term")).otherwise(0.0)).alias("acc"),
+def _iterate(state, m, apply_mask, kept, tol, max_rounds, every, terms):
+    """(name, schema) of the table that holds the final state."""
+    k, last, flat = 1, None, 0
+    while True:
+        upto = k + every if terms is None else min(k + every, terms)
+        while k < upto:
+            state = apply_mask(
+                state.alias("s").join(m.alias("m"), F.col("s.key") == F.col("m.src"))
+                .groupBy(F.col("s.run").alias("run"), F.col("m.dst").alias("key"))
+                .agg(
+                    F.sum(F.when(~F.col("m.carry"), F.col("s.term") * F.col("m.value")).otherwise(0.0)).alias("term"),
+                    F.sum(F.when(F.col("m.carry"), F.col("s.acc") + F.col("s.term")).otherwise(0.0)).alias("acc"),
+                )
             )
-        )
-        if k % checkpoint_every == 0 or k == terms - 1:
-            state = cut_lineage(state)
-            if tol is not None:
-                top = state.agg(F.max(F.abs("term")).alias("t"), F.max(F.abs("acc")).alias("a")).first()
-                if top["t"] is None or top["t"] <= tol * max(top["a"] or 0.0, 1e-300):
-                    break
-    return state
+            k += 1
+        name = f"state{k}"
+        state = kept(state, name)
+        if terms is not None and k >= terms:
+            return name, state.schema
+        # Per run, the last term against the largest sum; one scalar reaches the driver.
+        share = (state.groupBy("run").agg(F.max(F.abs("term")).alias("t"), F.max(F.abs(F.col("acc") + F.col("term"))).alias("a"))
+                 .agg(F.max(F.when(F.col("t") > 0, F.col("t") / F.col("a")))).first()[0])
+        if not share:
+            return name, state.schema
+        if last is not None:
+            rate = (share / last) ** (1 / every)
+            if rate < 1 and share * rate / (1 - rate) <= tol:
+                return name, state.schema
+            flat = flat + 1 if rate >= 1 else 0
+            if flat == 3 or not math.isfinite(share):
+                raise NotConvergent(f"the terms of the series do not fall (share {share:.3g} after {k} terms)")
+        if k >= max_rounds:
+            raise NotConvergent(f"no convergence to {tol:g} in {max_rounds} terms (share {share:.3g})")
+        last = share
 
 
 def identity(labels: DataFrame) -> DataFrame:
@@ -247,16 +276,31 @@ def _add(*ms: DataFrame) -> DataFrame:
     return out.groupBy(*PRODUCER, *CONSUMER).agg(F.sum("value").alias("value"))
 
 
-def power_series(matrix: DataFrame, labels: DataFrame, terms: int = 40) -> DataFrame:
-    """Full ``Σ_{k<terms} Mᵏ`` (M8/M9: Leontief or Ghosh inverse) by binary doubling:
-    ``S_2n = S_n + Mⁿ·S_n`` and ``S_n+1 = I + M·S_n``, about 2·log2(terms) matrix
-    products instead of ``terms`` rounds over every unit vector. Each product is a
-    join on the inner label and a grouped sum; dense at most labels² cells, so this
-    is for label counts where the full inverse is wanted at all (real economies ship
-    it precomputed; reports need only the rows or columns of their homes)."""
+def power_series(matrix: DataFrame, labels: DataFrame, terms: int | None = None, tol: float = 1e-16,
+                 max_doublings: int = 24) -> DataFrame:
+    """Full ``Σ_k Mᵏ`` (M8/M9: Leontief or Ghosh inverse) by binary doubling,
+    ``S_2n = S_n + Mⁿ·S_n``: two matrix products double the number of terms.
+
+    Doubling goes on until the norm of ``Mⁿ`` (largest absolute column sum) shows that
+    the remainder is below ``tol``; :class:`NotConvergent` if the norm grows without
+    bound or ``max_doublings`` do not suffice. ``terms`` sums exactly so many terms
+    (``S_n+1 = I + M·S_n`` for the odd steps). Each product is a join on the inner label
+    and a grouped sum; dense at most labels² cells, so this is for label counts where the
+    full inverse is wanted at all (reports need only the rows or columns of their homes)."""
     eye = cut_lineage(identity(labels))
     m = cut_lineage(matrix.select(*PRODUCER, *CONSUMER, F.col("value").cast("double").alias("value")))
-    s, p, n = eye, m, 1  # S_n and Mⁿ
+    if terms is None:
+        s, p = eye, m  # S_n and Mⁿ
+        for _ in range(max_doublings):
+            norm = column_sums(p.withColumn("value", F.abs("value"))).agg(F.max("value")).first()[0] or 0.0
+            if not math.isfinite(norm) or norm > 1e12:
+                raise NotConvergent(f"the powers of the matrix grow (norm {norm:.3g})")
+            s = cut_lineage(_add(s, matmul(p, s)))
+            if norm <= 0.5 and norm * norm <= tol:  # the terms left out are at most norm² / (1 − norm) of S
+                return s
+            p = cut_lineage(matmul(p, p))
+        raise NotConvergent(f"no convergence to {tol:g} in {max_doublings} doublings")
+    s, p, n = eye, m, 1
     bits = bin(terms)[3:]
     for i, bit in enumerate(bits):
         last = i == len(bits) - 1

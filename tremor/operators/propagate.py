@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import linalg
 from .economy import Economy
-from .scenario import scenario_domain, shock_levels
+from .scenario import scenario_domain, shock_levels, validate_shocks
 
 LABEL = ["region", "sector"]
 RUN_KEYS = ["system", "kind", "run_id", "home_region", "home_sector"]
@@ -90,11 +90,11 @@ def inverse_seeds(labels: DataFrame, system: str, kind: str) -> DataFrame:
     return _keyed(unit, system, kind, F.lit(""), F.col("region"), F.col("sector"))
 
 
-def solve_runs(eco: Economy, seeds: DataFrame, masks: DataFrame | None, terms: int = 40,
-               systems: Iterable[str] = SYSTEM_SPECS) -> DataFrame:
+def solve_runs(eco: Economy, seeds: DataFrame, masks: DataFrame | None,
+               systems: Iterable[str] = SYSTEM_SPECS, tol: float = 1e-16) -> DataFrame:
     """One shared loop for all runs; result keyed by :data:`RUN_KEYS` + label."""
     used = list(systems)
-    return linalg.series_solve(systems_table(eco, used), seeds, terms=terms, mask=masks, keys=RUN_KEYS)
+    return linalg.series_solve(systems_table(eco, used), seeds, mask=masks, tol=tol, keys=RUN_KEYS)
 
 
 def assemble_impacts(eco: Economy, shocks: DataFrame, solved: DataFrame,
@@ -122,31 +122,33 @@ def assemble_impacts(eco: Economy, shocks: DataFrame, solved: DataFrame,
     return out
 
 
-def impact(eco: Economy, shocks: DataFrame, method: str = "ghosh", terms: int = 40) -> DataFrame:
+def impact(eco: Economy, shocks: DataFrame, method: str = "ghosh", tol: float = 1e-16) -> DataFrame:
     """P5: Δx of every scenario in ``shocks`` by ``method`` (``ghosh`` default,
     ``leontief`` parity, ``textbook``, ``direct``): ``(scenario_id, region, sector, delta_x)``."""
-    return impacts(eco, shocks, [method], terms).drop("method")
+    return impacts(eco, shocks, [method], tol).drop("method")
 
 
-def impacts(eco: Economy, shocks: DataFrame, methods: Iterable[str], terms: int = 40) -> DataFrame:
-    """Several methods for several scenarios in one loop."""
+def impacts(eco: Economy, shocks: DataFrame, methods: Iterable[str], tol: float = 1e-16) -> DataFrame:
+    """Several methods for several scenarios in one loop (B6). Invalid shocks raise
+    (:func:`scenario.validate_shocks`)."""
+    validate_shocks(shocks, eco.labels)
     methods = list(methods)
     iterative = [m for m in methods if m != "direct"]
     solved = None
     if iterative:
         seeds, masks = impact_seeds(eco, shocks, iterative)
-        solved = solve_runs(eco, seeds, masks, terms, {METHOD_SYSTEM[m] for m in iterative})
+        solved = solve_runs(eco, seeds, masks, {METHOD_SYSTEM[m] for m in iterative}, tol)
     return assemble_impacts(eco, shocks, solved, methods)
 
 
-def leontief_impact(eco: Economy, shocks: DataFrame, variant: str = "parity", terms: int = 40) -> DataFrame:
+def leontief_impact(eco: Economy, shocks: DataFrame, variant: str = "parity", tol: float = 1e-16) -> DataFrame:
     """P1 / P1b."""
-    return impact(eco, shocks, "leontief" if variant == "parity" else "textbook", terms)
+    return impact(eco, shocks, "leontief" if variant == "parity" else "textbook", tol)
 
 
-def ghosh_impact(eco: Economy, shocks: DataFrame, terms: int = 40) -> DataFrame:
+def ghosh_impact(eco: Economy, shocks: DataFrame, tol: float = 1e-16) -> DataFrame:
     """P2."""
-    return impact(eco, shocks, "ghosh", terms)
+    return impact(eco, shocks, "ghosh", tol)
 
 
 def direct_impact(eco: Economy, shocks: DataFrame) -> DataFrame:

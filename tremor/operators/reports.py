@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scenario import scenario_domain
 
 LABEL = ["region", "sector"]
 HOME = ["home_region", "home_sector"]
@@ -108,60 +107,87 @@ def _ranked(df: DataFrame, keys: list[str], value: str, n: int, name: str) -> Da
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
-def _dense(domain: DataFrame, sparse: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return (domain.join(sparse, [*keys, *LABEL], "left")
-            .withColumn(value, F.coalesce(F.col(value), F.lit(0.0))))
+def _padded(groups: DataFrame, labels: DataFrame, sparse: DataFrame, keys: list[str], value: str, n: int, rank: str) -> DataFrame:
+    """The ``n`` largest labels of every group by ``value``, labels without one counting
+    as zero, ties to the smaller label. A zero can only rank if it is among the first
+    ``n`` labels, so no group is crossed with all labels."""
+    first = labels.select(*LABEL).orderBy(*LABEL).limit(n)
+    pad = groups.select(*keys).distinct().join(F.broadcast(first)).withColumn(value, F.lit(0.0))  # n rows a group
+    both = sparse.select(*keys, *LABEL, value).unionByName(pad.select(*keys, *LABEL, value))
+    return _ranked(both.groupBy(*keys, *LABEL).agg(F.max(value).alias(value)), keys, value, n, rank)
+
+
+def _as(df: DataFrame, side: str, keys: list[str]) -> DataFrame:
+    return df.select(*keys, F.col("region").alias(f"{side}_region"), F.col("sector").alias(f"{side}_sector"))
+
+
+def _lost(A: DataFrame, dx: DataFrame, keys: list[str], src: DataFrame | None = None, dst: DataFrame | None = None) -> DataFrame:
+    """``|A_ij · Δx_j|`` from the labels of ``src`` to those of ``dst`` (both keyed by
+    ``keys``, which hold ``scenario_id``; None: all labels). A is filtered to the labels
+    asked for before any scenario is joined to it."""
+    P, C = ["producer_region", "producer_sector"], ["consumer_region", "consumer_sector"]
+    cells = A
+    if src is not None:
+        cells = cells.join(_as(src, "producer", []).distinct(), P, "left_semi")
+    if dst is not None:
+        cells = cells.join(_as(dst, "consumer", []).distinct(), C, "left_semi")
+    if src is not None and dst is not None:
+        pairs = _as(src, "producer", keys).join(_as(dst, "consumer", keys), keys)
+        flows = cells.join(pairs, [*P, *C])
+    elif src is not None:
+        flows = cells.join(_as(src, "producer", keys), P)
+    else:
+        flows = cells.join(_as(dst, "consumer", keys), C)
+    d = dx.select("scenario_id", F.col("region").alias("consumer_region"), F.col("sector").alias("consumer_sector"), "delta_x")
+    return (flows.join(d, ["scenario_id", *C])
+            .select(*keys, *P, *C, F.abs(F.col("value") * F.col("delta_x")).alias("flow")).where(F.col("flow") > 0))
 
 
-def _customers_of_shocks(flows: DataFrame, shocks: DataFrame, domain: DataFrame, n: int) -> DataFrame:
-    s = shocks.select("scenario_id", F.col("region").alias("producer_region"), F.col("sector").alias("producer_sector"))
-    sums = (flows.join(s, ["scenario_id", "producer_region", "producer_sector"])
+def _customers_of_shocks(A: DataFrame, dx: DataFrame, shocks: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    sums = (_lost(A, dx, ["scenario_id"], src=shocks)
             .groupBy("scenario_id", F.col("consumer_region").alias("region"), F.col("consumer_sector").alias("sector"))
             .agg(F.sum("flow").alias("c_flow")))
-    return _ranked(_dense(domain, sums, ["scenario_id"], "c_flow"), ["scenario_id"], "c_flow", n, "c_rank")
+    return _padded(shocks, labels, sums, ["scenario_id"], "c_flow", n, "c_rank")
 
 
 def key_intermediaries(A: DataFrame, dx: DataFrame, shocks: DataFrame, homes: DataFrame,
                        labels: DataFrame, k: int = 5) -> DataFrame:
-    """R10 (nodes): labels among both the 3k largest suppliers to the home and the 3k
-    largest customers of the shocks, in supplier order, shocks and home removed,
-    first k. Rankings run over every label (zeros included), ties to the smaller
+    """R10 (nodes), for any number of homes per scenario: labels among both the 3k
+    largest suppliers to the home and the 3k largest customers of the shocks, in
+    supplier order, shocks and home removed, first k. Ties and zeros go to the smaller
     label. ``(scenario_id, home…, position, region, sector)``."""
-    flows = lost_input_flows(A, dx)
-    domain = scenario_domain(homes, labels)
-    to_home = (flows.join(homes, (flows.scenario_id == homes.scenario_id) & (flows.consumer_region == homes.home_region)
-                          & (flows.consumer_sector == homes.home_sector))
-               .select(flows.scenario_id, F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"),
-                       F.col("flow").alias("s_flow")))
-    sup = _ranked(_dense(domain, to_home, ["scenario_id"], "s_flow"), ["scenario_id"], "s_flow", 3 * k, "s_rank")
-    cus = _customers_of_shocks(flows, shocks, domain, 3 * k)
+    keys = ["scenario_id", *HOME]
+    homes = homes.select(*keys).distinct()
+    at_home = homes.select(*keys, F.col("home_region").alias("region"), F.col("home_sector").alias("sector"))
+    to_home = _lost(A, dx, keys, dst=at_home).select(
+        *keys, F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"), F.col("flow").alias("s_flow"))
+    sup = _padded(homes, labels, to_home, keys, "s_flow", 3 * k, "s_rank")
+    cus = _customers_of_shocks(A, dx, shocks, labels, 3 * k)
     both = (sup.join(cus.select("scenario_id", *LABEL), ["scenario_id", *LABEL])
             .join(shocks.select("scenario_id", *LABEL), ["scenario_id", *LABEL], "left_anti")
-            .join(homes, "scenario_id")
             .where((F.col("region") != F.col("home_region")) | (F.col("sector") != F.col("home_sector"))))
-    w = Window.partitionBy("scenario_id").orderBy("s_rank")
+    w = Window.partitionBy(*keys).orderBy("s_rank")
     return (both.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
-            .select("scenario_id", *HOME, "position", *LABEL))
+            .select(*keys, "position", *LABEL))
 
 
 def impact_paths(A: DataFrame, dx: DataFrame, shocks: DataFrame, homes: DataFrame,
                  labels: DataFrame, k: int = 5, mids: DataFrame | None = None) -> DataFrame:
-    """R10 (edges): shock → intermediary, intermediary → home and shock → home,
-    with lost flow above 1e-6. ``(scenario_id, source…, target…, flow, edge)``.
-    ``mids`` may pass precomputed :func:`key_intermediaries`."""
-    flows = lost_input_flows(A, dx)
+    """R10 (edges): per scenario and home, shock → intermediary, intermediary → home and
+    shock → home, with lost flow above 1e-6. ``(scenario_id, home…, source…, target…,
+    flow, edge)``. ``mids`` may pass precomputed :func:`key_intermediaries`."""
+    keys = ["scenario_id", *HOME]
     if mids is None:
         mids = key_intermediaries(A, dx, shocks, homes, labels, k)
-    mids = mids.select("scenario_id", *LABEL)
-    src = lambda df: df.select("scenario_id", F.col("region").alias("producer_region"), F.col("sector").alias("producer_sector"))
-    dst = lambda df: df.select("scenario_id", F.col("region").alias("consumer_region"), F.col("sector").alias("consumer_sector"))
-    home_dst = homes.select("scenario_id", F.col("home_region").alias("consumer_region"), F.col("home_sector").alias("consumer_sector"))
-    s_m = flows.join(src(shocks), ["scenario_id", "producer_region", "producer_sector"]).join(dst(mids), ["scenario_id", "consumer_region", "consumer_sector"]).withColumn("edge", F.lit("shock_to_intermediate"))
-    m_h = flows.join(src(mids), ["scenario_id", "producer_region", "producer_sector"]).join(home_dst, ["scenario_id", "consumer_region", "consumer_sector"]).withColumn("edge", F.lit("intermediate_to_home"))
-    s_h = flows.join(src(shocks), ["scenario_id", "producer_region", "producer_sector"]).join(home_dst, ["scenario_id", "consumer_region", "consumer_sector"]).withColumn("edge", F.lit("shock_to_home"))
-    cols = ["scenario_id", F.col("producer_region").alias("source_region"), F.col("producer_sector").alias("source_sector"),
-            F.col("consumer_region").alias("target_region"), F.col("consumer_sector").alias("target_sector"), "flow", "edge"]
-    return s_m.select(*cols).unionByName(m_h.select(*cols)).unionByName(s_h.select(*cols)).where(F.col("flow") > MIN_FLOW)
+    homes = homes.select(*keys).distinct()
+    mids = mids.select(*keys, *LABEL)
+    at_home = homes.select(*keys, F.col("home_region").alias("region"), F.col("home_sector").alias("sector"))
+    hit = shocks.select("scenario_id", *LABEL).join(homes, "scenario_id")  # the shocks of each home's scenario
+    cols = [*keys, F.col("producer_region").alias("source_region"), F.col("producer_sector").alias("source_sector"),
+            F.col("consumer_region").alias("target_region"), F.col("consumer_sector").alias("target_sector"), "flow"]
+    edges = [("shock_to_intermediate", hit, mids), ("intermediate_to_home", mids, at_home), ("shock_to_home", hit, at_home)]
+    out = [_lost(A, dx, keys, src, dst).select(*cols, F.lit(name).alias("edge")) for name, src, dst in edges]
+    return out[0].unionByName(out[1]).unionByName(out[2]).where(F.col("flow") > MIN_FLOW)
 
 
 def portfolio_paths(A: DataFrame, dx: DataFrame, shocks: DataFrame, positions: DataFrame,
@@ -171,38 +197,32 @@ def portfolio_paths(A: DataFrame, dx: DataFrame, shocks: DataFrame, positions: D
     one target node ``Total Portfolio``. ``(scenario_id, portfolio_id, source…,
     target_region, target_sector, flow, edge)``; the portfolio node has target
     region ``Total Portfolio`` and a null sector."""
-    flows = lost_input_flows(A, dx)
-    pos = positions.select("scenario_id", "portfolio_id", F.col("region").alias("consumer_region"),
-                           F.col("sector").alias("consumer_sector"), (F.col("weight") / 100.0).alias("w"))
     keys = ["scenario_id", "portfolio_id"]
-    domain = scenario_domain(positions, labels, keys)
-    weighted = (flows.join(pos, ["scenario_id", "consumer_region", "consumer_sector"])
-                .groupBy(*keys, F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"))
-                .agg(F.sum(F.col("flow") * F.col("w")).alias("p_flow")))
-    sup = _ranked(_dense(domain, weighted, keys, "p_flow"), keys, "p_flow", 3 * k, "p_rank")
-    cus = _customers_of_shocks(flows, shocks, scenario_domain(shocks, labels), 3 * k)
+    assets = positions.select(*keys, *LABEL)
+    pos = positions.select(*keys, F.col("region").alias("consumer_region"), F.col("sector").alias("consumer_sector"),
+                           (F.col("weight") / 100.0).alias("w"))
+    weigh = lambda flows: (flows.join(pos, [*keys, "consumer_region", "consumer_sector"])
+                           .groupBy(*keys, F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"))
+                           .agg(F.sum(F.col("flow") * F.col("w")).alias("p_flow")))
+    weighted = weigh(_lost(A, dx, keys, dst=assets))
+    sup = _padded(positions, labels, weighted, keys, "p_flow", 3 * k, "p_rank")
+    cus = _customers_of_shocks(A, dx, shocks, labels, 3 * k)
     mids = (cus.join(sup.select(*keys, *LABEL), ["scenario_id", *LABEL])
             .join(shocks.select("scenario_id", *LABEL), ["scenario_id", *LABEL], "left_anti")
-            .join(positions.select(*keys, *LABEL), [*keys, *LABEL], "left_anti"))
+            .join(assets, [*keys, *LABEL], "left_anti"))
     w = Window.partitionBy(*keys).orderBy("c_rank")
     mids = mids.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
-    sh = shocks.select("scenario_id", F.col("region").alias("producer_region"), F.col("sector").alias("producer_sector"))
-    s_m = (flows.join(sh, ["scenario_id", "producer_region", "producer_sector"])
-           .join(mids.select(*keys, F.col("region").alias("consumer_region"), F.col("sector").alias("consumer_sector")),
-                 ["scenario_id", "consumer_region", "consumer_sector"])
-           .select(*keys, F.col("producer_region").alias("source_region"), F.col("producer_sector").alias("source_sector"),
-                   F.col("consumer_region").alias("target_region"), F.col("consumer_sector").alias("target_sector"),
-                   "flow", F.lit("shock_to_intermediate").alias("edge")))
-    m_p = (mids.join(weighted, [*keys, *LABEL])
-           .select(*keys, F.col("region").alias("source_region"), F.col("sector").alias("source_sector"),
-                   F.lit(PORTFOLIO_NODE).alias("target_region"), F.lit(None).cast("string").alias("target_sector"),
-                   F.col("p_flow").alias("flow"), F.lit("intermediate_to_portfolio").alias("edge")))
-    s_p = (flows.join(sh, ["scenario_id", "producer_region", "producer_sector"])
-           .join(pos, ["scenario_id", "consumer_region", "consumer_sector"])
-           .groupBy(*keys, "producer_region", "producer_sector").agg(F.sum(F.col("flow") * F.col("w")).alias("flow"))
-           .select(*keys, F.col("producer_region").alias("source_region"), F.col("producer_sector").alias("source_sector"),
-                   F.lit(PORTFOLIO_NODE).alias("target_region"), F.lit(None).cast("string").alias("target_sector"),
-                   "flow", F.lit("shock_to_portfolio").alias("edge")))
+    hit = shocks.select("scenario_id", *LABEL).join(positions.select(*keys).distinct(), "scenario_id")
+    source = [F.col("region").alias("source_region"), F.col("sector").alias("source_sector")]
+    node = [F.lit(PORTFOLIO_NODE).alias("target_region"), F.lit(None).cast("string").alias("target_sector")]
+    s_m = _lost(A, dx, keys, hit, mids).select(
+        *keys, F.col("producer_region").alias("source_region"), F.col("producer_sector").alias("source_sector"),
+        F.col("consumer_region").alias("target_region"), F.col("consumer_sector").alias("target_sector"),
+        "flow", F.lit("shock_to_intermediate").alias("edge"))
+    m_p = (mids.select(*keys, *LABEL).join(weighted, [*keys, *LABEL])
+           .select(*keys, *source, *node, F.col("p_flow").alias("flow"), F.lit("intermediate_to_portfolio").alias("edge")))
+    s_p = weigh(_lost(A, dx, keys, hit, assets)).select(
+        *keys, *source, *node, F.col("p_flow").alias("flow"), F.lit("shock_to_portfolio").alias("edge"))
     return s_m.unionByName(m_p).unionByName(s_p).where(F.col("flow") > MIN_FLOW)
 
 

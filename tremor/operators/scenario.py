@@ -79,13 +79,16 @@ def resolve_scenario(specs: DataFrame, custom: DataFrame, materiality: DataFrame
     has_custom = custom.select("scenario_id").distinct()
     rest = specs.join(has_custom, "scenario_id", "left_anti")
     sectors = materiality.select("service", F.col("sector").alias("msector"))
-    eco = (rest.where(F.col("shock_type") == "ecosystem").join(F.broadcast(sectors), "service")
+    service = rest.where(F.col("shock_type") == "ecosystem")
+    eco = (service.join(sectors, "service")
            .select("scenario_id", "region_spec", F.col("msector").alias("sector"), "percent", F.lit(True).alias("eco")))
-    single = (rest.where(F.col("shock_type") != "ecosystem")
+    # A service without data leaves the single pick as it is.
+    unknown = service.join(sectors.select("service").distinct(), "service", "left_anti").where(F.col("sector").isNotNull())
+    single = (rest.where(F.col("shock_type") != "ecosystem").unionByName(unknown.select(*rest.columns))
               .select("scenario_id", "region_spec", "sector", "percent", F.lit(False).alias("eco")))
     expanded = expand_region(eco.unionByName(single), labels, groups)
     known = labels.select(*LABEL, F.lit(True).alias("known"))
-    picked = (expanded.join(F.broadcast(known), LABEL, "left")
+    picked = (expanded.join(known, LABEL, "left")
               .where(~F.col("eco") | F.col("known").isNotNull())
               .select("scenario_id", "region", "sector", (F.col("percent") / 100.0).alias("magnitude")))
     return custom_scenario(custom).unionByName(picked)
@@ -181,11 +184,16 @@ def block_summary(flows: DataFrame, shocks: DataFrame) -> DataFrame:
                 .withColumn("block", F.concat(F.when(F.col("pm") == 1, "M").otherwise("N"),
                                               F.when(F.col("cm") == 1, "M").otherwise("N"))))
     parts = touching.groupBy("scenario_id", "block").agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
-    whole = flows.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("t")).first()
-    nn = (parts.groupBy("scenario_id").agg(F.sum("cells").alias("c"), F.sum("total").alias("s"))
-          .select("scenario_id", F.lit("NN").alias("block"), (F.lit(whole["n"]) - F.col("c")).alias("cells"),
-                  (F.lit(whole["t"] or 0.0) - F.col("s")).alias("total")))
-    return parts.unionByName(nn)
+    whole = flows.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("t"))
+    sums = (shocks.select("scenario_id").distinct().join(parts, "scenario_id", "left").groupBy("scenario_id")
+            .pivot("block", ["MM", "MN", "NM"]).agg(F.first("cells").alias("cells"), F.first("total").alias("total")))
+    sums = sums.join(F.broadcast(whole))  # one row
+    n = lambda b: F.coalesce(F.col(f"{b}_cells"), F.lit(0).cast("long"))
+    t = lambda b: F.coalesce(F.col(f"{b}_total"), F.lit(0.0))
+    named = [F.struct(F.lit(b).alias("block"), n(b).alias("cells"), t(b).alias("total")) for b in ("MM", "MN", "NM")]
+    rest = F.struct(F.lit("NN").alias("block"), (F.col("n") - n("MM") - n("MN") - n("NM")).alias("cells"),
+                    (F.coalesce("t", F.lit(0.0)) - t("MM") - t("MN") - t("NM")).alias("total"))
+    return sums.select("scenario_id", F.explode(F.array(*named, rest)).alias("b")).select("scenario_id", "b.*")
 
 
 def at_labels(vector: DataFrame, targets: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -195,6 +203,36 @@ def at_labels(vector: DataFrame, targets: DataFrame, keys: list[str] | None = No
     return targets.join(vector, on, "left")
 
 
+def rejects(shocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """V1-V3: shock rows that break a rule, once per rule: ``unknown_label`` (not in the
+    economy), ``duplicate`` (label listed more than once in the scenario) or
+    ``bad_magnitude`` (null or outside [0, 1]). ``(scenario_id, region, sector,
+    magnitude, rule)``."""
+    known = labels.select(*LABEL, F.lit(True).alias("known")).distinct()
+    many = F.count(F.lit(1)).over(Window.partitionBy("scenario_id", *LABEL)) > 1
+    m = F.col("magnitude")
+    found = (shocks.select("scenario_id", *LABEL, "magnitude").join(known, LABEL, "left")
+             .withColumn("rules", F.filter(F.array(
+                 F.when(F.col("known").isNull(), "unknown_label"), F.when(many, "duplicate"),
+                 F.when(m.isNull() | F.isnan(m) | (m < 0) | (m > 1), "bad_magnitude")), lambda r: r.isNotNull())))
+    return found.select("scenario_id", *LABEL, "magnitude", F.explode("rules").alias("rule"))
+
+
+def validate_shocks(shocks: DataFrame, labels: DataFrame) -> None:
+    """Raises if any shock breaks V1-V3, with the number of rows per rule (one
+    aggregation; at most three rows reach the driver)."""
+    broken = {r["rule"]: r["n"] for r in rejects(shocks, labels).groupBy("rule").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if broken:
+        raise ValueError("invalid shocks: " + ", ".join(f"{n} {rule}" for rule, n in sorted(broken.items())))
+
+
+def require_labels(targets: DataFrame, labels: DataFrame, what: str) -> None:
+    """V1 for homes and assets: raises if a label is not in the economy."""
+    n = missing_labels(targets, labels).count()
+    if n:
+        raise ValueError(f"{n} {what} not among the labels of the economy")
+
+
 def missing_labels(targets: DataFrame, labels: DataFrame) -> DataFrame:
     """V1: target rows whose label is not in the economy (should be empty)."""
     return targets.join(labels.select(*LABEL), LABEL, "left_anti")

@@ -44,14 +44,14 @@ def search_runs(pairs: DataFrame, magnitude: float) -> DataFrame:
 
 
 def max_impact_scenario(eco: Economy, pairs: DataFrame, magnitude: float = 0.1,
-                        dx: DataFrame | None = None, terms: int = 40) -> DataFrame:
+                        dx: DataFrame | None = None, tol: float = 1e-16) -> DataFrame:
     """For every pair, shock the producer by ``magnitude`` (Leontief parity) and
     measure |Δy| at the consumer; return the pair with the largest positive impact
     (ties to the smaller labels). All producers run in one batched loop; ``dx`` may
     pass precomputed ``(scenario_id, region, sector, delta_x)`` of :func:`search_runs`."""
     shocks = search_runs(pairs, magnitude)
     if dx is None:
-        dx = propagate.leontief_impact(eco, shocks, "parity", terms)
+        dx = propagate.leontief_impact(eco, shocks, "parity", tol)
     dy = propagate.required_demand(eco.A, dx)
     scored = (pairs.select(F.concat_ws("|", "producer_region", "producer_sector").alias("scenario_id"),
                            F.col("producer_region").alias("shock_region"), F.col("producer_sector").alias("shock_sector"),

@@ -68,7 +68,7 @@ def flow_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gross_output(spark, d):
-    """M6: x = L·y by the series (equals X up to truncation)."""
+    """M6: x = L·y by the series (equals X)."""
     return store.gross_output(spark, d).select(*LABEL, r("value", 0).alias("gross_output"))
 
 
@@ -110,6 +110,48 @@ def _inverse_top(m: DataFrame, n: int = 50) -> DataFrame:
         F.col("rank").cast("bigint").alias("rank"), *CELL, coef("value"))
 
 
+@query
+def leontief_inverse(spark, d):
+    """M8: every cell of L = (I − A)⁻¹."""
+    return store.leontief_inverse(spark, d).where("value <> 0").select(*CELL, coef("value"))
+
+
+@query
+def ghosh_inverse(spark, d):
+    """M9: every cell of G = (I − B)⁻¹."""
+    return store.ghosh_inverse(spark, d).where("value <> 0").select(*CELL, coef("value"))
+
+
+@query
+def tight_gross_output(spark, d):
+    """M6 on the tight economy: x = L·y, which takes some hundred terms."""
+    eco = store.tight_economy(spark, d)
+    return econ.gross_output(eco.A, eco.Y).select(*LABEL, money("value", "gross_output"))
+
+
+def _tight(spark, d, method):
+    return store.tight_impacts(spark, d).where(F.col("method") == method).select("scenario_id", *LABEL, money("delta_x"))
+
+
+@query
+def tight_ghosh_impact(spark, d):
+    """P2 on the tight economy."""
+    return _tight(spark, d, "ghosh")
+
+
+@query
+def tight_leontief_impact(spark, d):
+    """P1 on the tight economy."""
+    return _tight(spark, d, "leontief")
+
+
+@query
+def scenario_rejects(spark, d):
+    """V1-V3: shock rows that break a rule, against the labels of the economy."""
+    rows = spark.createDataFrame(fixtures.REJECT_CASES, scn.SHOCKS)
+    return scn.rejects(rows, store.economy(spark, d).labels)
+
+
 @query
 def leontief_inverse_top(spark, d):
     """M8: the 50 largest off-diagonal cells of L = (I − A)⁻¹."""
@@ -208,7 +250,7 @@ def flagship(spark, d):
     from ..operators import propagate
     eco = store.economy(spark, d)
     sc = store.scenarios(spark, d)
-    dx = propagate.ghosh_impact(eco, sc, fixtures.TERMS)
+    dx = propagate.ghosh_impact(eco, sc)
     t = reports.top_impacts(dx, eco.X, sc, eco.regions, fixtures.TOP_N, "percentage")
     return t.select("scenario_id", F.col("rank").cast("bigint").alias("rank"), "region", "country", "sector",
                     money("change"), share("pct_change"))
@@ -248,13 +290,13 @@ def home_attribution_leontief(spark, d):
 
 @query
 def home_attribution_direct(spark, d):
-    """T1-T3, first order: A[shock, home]·|Δx_shock| (direct model's Δx)."""
+    """T1-T3, first order: A[shock, home]·|Δx_shock| of the Ghosh Δx."""
     return _cause_cols(_causes(spark, d, "direct"))
 
 
 @query
 def portfolio_attribution(spark, d):
-    """T4, Ghosh, portfolios p1 and p4 against every scenario."""
+    """T4, Ghosh, the valid portfolios against every scenario."""
     out = att.attribute_portfolio(store.dx(spark, d, "ghosh"), store.scenarios(spark, d), store.positions(spark),
                                   store.influence(spark, d, "ghosh"))
     return out.select("scenario_id", "portfolio_id", "cause_region", "cause_sector", money("contribution"),
@@ -378,9 +420,20 @@ def impact_paths(spark, d):
     return e.select("scenario_id", "source_region", "source_sector", "target_region", "target_sector", money("flow"), "edge")
 
 
+@query
+def impact_paths_homes(spark, d):
+    """R10 with two homes in every scenario."""
+    eco = store.economy(spark, d)
+    first = store.homes(spark)
+    homes = first.unionByName(first.select("scenario_id", F.lit(fixtures.SECOND_HOME[0]).alias("home_region"),
+                                           F.lit(fixtures.SECOND_HOME[1]).alias("home_sector")))
+    e = reports.impact_paths(eco.A, store.dx(spark, d, "ghosh"), store.scenarios(spark, d), homes, eco.labels, fixtures.PATH_K)
+    return e.select("scenario_id", *HOME, "source_region", "source_sector", "target_region", "target_sector", money("flow"), "edge")
+
+
 @query
 def portfolio_paths(spark, d):
-    """R11, Ghosh, portfolios p1 and p4."""
+    """R11, Ghosh, the valid portfolios."""
     eco = store.economy(spark, d)
     e = reports.portfolio_paths(eco.A, store.dx(spark, d, "ghosh"), store.scenarios(spark, d), store.positions(spark),
                                 eco.labels, fixtures.PATH_K)
@@ -640,6 +693,20 @@ def production_history(spark, d):
     return hist.select(*LABEL, "year", F.col("value").alias("gross_output"))
 
 
+@query
+def year_files_round_trip(spark, d):
+    """S2/S5 in the layout ``{base}/{year}/<prefix>X.parquet``: a folder per year, one of
+    them without the file, stacked again."""
+    from ..sources import io
+    eco = store.economy(spark, d)
+    base = _fresh_folder(spark, "years")
+    for y in fixtures.FILE_YEARS:
+        one = eco.history.where(F.col("year") == y).select(*LABEL, F.col("value").alias("GrossOutput"))
+        one.write.parquet(f"{base}/{y}/T_X.parquet")
+    eco.X.write.parquet(f"{base}/2050/T_other.parquet")
+    return io.read_year_files(spark, base, "X", "T_").select(*LABEL, "year", F.col("value").alias("gross_output"))
+
+
 @query
 def economy_round_trip(spark, d):
     """A written long (by year) and wide (square), X as a one-column

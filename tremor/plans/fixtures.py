@@ -7,7 +7,9 @@ data they run against is always the economy derived from the driver tables.
 from __future__ import annotations
 
 HOME = ("NATION_5", "AUTOMOBILE")
-SCENARIO_IDS = ["one", "two", "group", "service", "full", "zero"]
+# A second home, for reports that take several homes of a scenario.
+SECOND_HOME = ("NATION_7", "BUILDING")
+SCENARIO_IDS = ["one", "two", "group", "service", "full", "zero", "fallback"]
 
 # K8 scenario specs: (scenario_id, shock_type, region_spec, sector, service, percent).
 SPECS = [
@@ -17,6 +19,7 @@ SPECS = [
     ("service", "ecosystem", "EUROPE", None, "service_6", 10.0),
     ("full", "sector", "NATION_6", "HOUSEHOLD", None, 100.0),
     ("zero", "sector", "NATION_2", "BUILDING", None, 0.0),
+    ("fallback", "ecosystem", "NATION_4", "MACHINERY", "service_without_data", 25.0),  # keeps its single pick
 ]
 # K4 custom list, percent: (scenario_id, region, sector, percent).
 CUSTOM = [
@@ -31,8 +34,8 @@ PORTFOLIOS = [
     ("p3", "NATION_5", "AUTOMOBILE", 40.0), ("p3", "NATION_7", "BUILDING", 35.0), ("p3", "NATION_9", "MACHINERY", 20.0),
     ("p4", "NATION_1", "BUILDING", 50.0), ("p4", "NATION_5", "AUTOMOBILE", 50.0),
 ]
-# Portfolios valued against every scenario.
-VALUED_PORTFOLIOS = ["p1", "p4"]
+# Portfolios valued against every scenario: those that pass the weight check (K7).
+VALUED_PORTFOLIOS = ["p1", "p2", "p4"]
 
 # Edit logs (K5/K6): (key, seq, op, region, sector, value).
 SCENARIO_EDITS = [
@@ -64,6 +67,15 @@ EDIT_CANDIDATES = [
     ("p4", "NATION_1", "BUILDING", 0.0),     # weight must be positive
 ]
 
+# Shocks that break a rule (V1-V3), and one that breaks none.
+REJECT_CASES = [
+    ("r1", "NATION_1", "BUILDING", 0.2), ("r1", "NATION_99", "BUILDING", 0.2), ("r2", "NATION_3", "FURNITURE", 0.1),
+    ("r2", "NATION_3", "FURNITURE", 0.2), ("r3", "NATION_4", "MACHINERY", 1.7), ("r3", "NATION_5", "MACHINERY", -0.1),
+    ("r3", "NATION_6", "MACHINERY", None), ("r4", "XX", "YY", 2.0), ("r5", "NATION_3", "FURNITURE", 1.0),
+]
+# Years written as folders of their own in the file layout.
+FILE_YEARS = [1996, 1997, 1999]
+
 # Search (B3/B4): listed producer sectors, quantile, shock.
 SEARCH_SECTORS = ["BUILDING", "FURNITURE"]
 SEARCH_QUANTILE = 0.95
@@ -72,6 +84,10 @@ SEARCH_MAGNITUDE = 0.1
 DEFAULT_QUANTILE = 0.9
 DEFAULT_TRIES = 10
 
-TERMS = 40
+# Terms the SQL oracle sums (the engine sums until it has converged).
+ORACLE_TERMS = 120
+TIGHT_ORACLE_TERMS = 700
+# The tight economy: gross output is this multiple of the larger of row and column sum.
+TIGHT_FACTOR = 1.1
 TOP_N = 100
 PATH_K = 5

@@ -1,14 +1,14 @@
 """Plain SQL (DuckDB dialect) for every driver query, run by the driver on the same
 parquet tables to check the Spark results. Built from shared CTE fragments; series
-use ``WITH RECURSIVE`` with an aggregate in the recursive term (40 terms, as the
-Spark loop)."""
+use ``WITH RECURSIVE`` with an aggregate in the recursive term and sum many more terms
+than double precision can tell apart."""
 
 from __future__ import annotations
 
 from . import fixtures
 
 SQL: dict[str, str] = {}
-TERMS = fixtures.TERMS
+TERMS = fixtures.ORACLE_TERMS
 
 
 def _q(s):
@@ -142,7 +142,8 @@ rest AS (SELECT * FROM specs WHERE scenario_id NOT IN (SELECT scenario_id FROM c
 eco_specs AS (SELECT r.scenario_id, r.region_spec, r.percent, m.sector AS msector
               FROM rest r JOIN material_all m ON r.service = m.service WHERE r.shock_type = 'ecosystem'),
 eco_exp AS ({_region_expand('eco_specs')}),
-one_specs AS (SELECT scenario_id, region_spec, sector, percent FROM rest WHERE shock_type <> 'ecosystem'),
+one_specs AS (SELECT scenario_id, region_spec, sector, percent FROM rest WHERE shock_type <> 'ecosystem'
+              OR (sector IS NOT NULL AND service NOT IN (SELECT service FROM material_all))),
 one_exp AS ({_region_expand('one_specs')}),
 shocks AS (
   SELECT scenario_id, region, sector, percent / 100.0 AS magnitude FROM custom
@@ -157,7 +158,7 @@ dom AS (SELECT sc.scenario_id, lb.region, lb.sector FROM (SELECT DISTINCT scenar
 
 
 def series(name: str, seed: str, matrix: str, mask: str | None) -> str:
-    """Recursive CTE ``name(k, run, region, sector, d)`` with 40 terms; ``seed`` has
+    """Recursive CTE ``name(k, run, region, sector, d)`` of many terms; ``seed`` has
     (run, region, sector, d) with masked labels already removed; ``mask`` has
     (run, region, sector)."""
     masked = (f"AND NOT EXISTS (SELECT 1 FROM {mask} mk WHERE mk.run = s.run AND mk.region = m.dst_region "
@@ -365,12 +366,12 @@ def _influence(method: str, targets: str) -> list[str]:
 
 
 def _causes(method: str) -> list[str]:
-    dx = f"dx_{method}"
-    return [*_base(method), "htargets AS (SELECT home_region AS region, home_sector AS sector FROM homes)",
+    model = "ghosh" if method == "direct" else method
+    dx = f"dx_{model}"
+    return [*_base(model), "htargets AS (SELECT home_region AS region, home_sector AS sector FROM homes)",
             *_influence(method, "htargets"), f"""
 hv AS (SELECT h.scenario_id, h.home_region, h.home_sector, abs(d.delta_x) AS total_impact
-       FROM homes h JOIN {dx} d ON d.scenario_id = h.scenario_id AND d.region = h.home_region AND d.sector = h.home_sector
-       WHERE abs(d.delta_x) >= 1e-10),
+       FROM homes h JOIN {dx} d ON d.scenario_id = h.scenario_id AND d.region = h.home_region AND d.sector = h.home_sector),
 sv AS (SELECT s.scenario_id, s.region AS cause_region, s.sector AS cause_sector, abs(d.delta_x) AS shock_value
        FROM (SELECT DISTINCT scenario_id, region, sector FROM shocks) s JOIN {dx} d USING (scenario_id, region, sector)),
 contrib AS (SELECT hv.scenario_id, hv.home_region, hv.home_sector, sv.cause_region, sv.cause_sector,
@@ -378,8 +379,12 @@ contrib AS (SELECT hv.scenario_id, hv.home_region, hv.home_sector, sv.cause_regi
             FROM hv JOIN sv USING (scenario_id)
             LEFT JOIN infl i ON i.home_region = hv.home_region AND i.home_sector = hv.home_sector
                             AND i.region = sv.cause_region AND i.sector = sv.cause_sector
-            WHERE sv.cause_region <> hv.home_region OR sv.cause_sector <> hv.home_sector),
-causes AS (SELECT *, CASE WHEN SUM(contribution) OVER w > 0 THEN contribution / SUM(contribution) OVER w * 100.0 ELSE 0.0 END AS share_pct
+            WHERE hv.total_impact >= 1e-10 AND (sv.cause_region <> hv.home_region OR sv.cause_sector <> hv.home_sector)),
+causes AS (SELECT scenario_id, home_region, home_sector, CAST(NULL AS VARCHAR) AS cause_region, CAST(NULL AS VARCHAR) AS cause_sector, CAST(0.0 AS DOUBLE) AS contribution,
+                  CASE WHEN total_impact >= 1e-10 THEN total_impact ELSE CAST(0.0 AS DOUBLE) END AS total_impact, CAST(0.0 AS DOUBLE) AS share_pct
+           FROM hv WHERE (scenario_id, home_region, home_sector) NOT IN (SELECT scenario_id, home_region, home_sector FROM contrib)
+           UNION ALL
+           SELECT *, CASE WHEN SUM(contribution) OVER w > 0 THEN contribution / SUM(contribution) OVER w * 100.0 ELSE 0.0 END AS share_pct
            FROM contrib WINDOW w AS (PARTITION BY scenario_id, home_region, home_sector))"""]
 
 
@@ -410,7 +415,7 @@ def _rolled(level: str) -> str:
     item = {"country": "COALESCE(g.name, c.cause_region)", "sector": "c.cause_sector",
             "none": "COALESCE(g.name, c.cause_region) || ' - ' || c.cause_sector"}[level]
     return f"""rolled AS (SELECT c.scenario_id, {item} AS item, SUM(c.share_pct) AS value
-       FROM causes c LEFT JOIN regions g ON g.region = c.cause_region GROUP BY ALL)"""
+       FROM causes c LEFT JOIN regions g ON g.region = c.cause_region WHERE c.cause_region IS NOT NULL GROUP BY ALL)"""
 
 
 SQL["causes_by_country"] = with_(*_causes("ghosh"), _rolled("country")) + f"SELECT scenario_id, item, {R('value', 6)} AS value FROM rolled"
@@ -537,6 +542,40 @@ edges AS (
   JOIN homes h ON f.scenario_id = h.scenario_id AND f.consumer_region = h.home_region AND f.consumer_sector = h.home_sector)""") + f"""
 SELECT scenario_id, source_region, source_sector, target_region, target_sector, {R('flow', 2)} AS flow, edge FROM edges WHERE flow > 1e-6"""
 
+# Two homes per scenario: every ranking and edge is per home.
+_HOME2 = values([(sc, *h) for sc in fixtures.SCENARIO_IDS for h in (fixtures.HOME, fixtures.SECOND_HOME)],
+                ["scenario_id", "home_region", "home_sector"])
+SQL["impact_paths_homes"] = with_(*_base("ghosh"), f"""
+h2 AS {_HOME2},
+flows AS (SELECT d.scenario_id, a.producer_region, a.producer_sector, a.consumer_region, a.consumer_sector, abs(a.value * d.delta_x) AS flow
+          FROM A a JOIN dx_ghosh d ON a.consumer_region = d.region AND a.consumer_sector = d.sector WHERE abs(a.value * d.delta_x) > 0),
+sup AS (SELECT * FROM (SELECT h.scenario_id, h.home_region, h.home_sector, lb.region, lb.sector,
+               row_number() OVER (PARTITION BY h.scenario_id, h.home_region, h.home_sector ORDER BY COALESCE(f.flow, 0.0) DESC, lb.region, lb.sector) AS s_rank
+        FROM h2 h CROSS JOIN labels lb LEFT JOIN flows f ON f.scenario_id = h.scenario_id AND f.consumer_region = h.home_region
+             AND f.consumer_sector = h.home_sector AND f.producer_region = lb.region AND f.producer_sector = lb.sector) x WHERE s_rank <= 15),
+sc AS (SELECT f.scenario_id, f.consumer_region AS region, f.consumer_sector AS sector, SUM(f.flow) AS c_flow
+       FROM flows f JOIN shocks s ON f.scenario_id = s.scenario_id AND f.producer_region = s.region AND f.producer_sector = s.sector GROUP BY ALL),
+cus AS (SELECT * FROM (SELECT d.scenario_id, d.region, d.sector,
+               row_number() OVER (PARTITION BY d.scenario_id ORDER BY COALESCE(c.c_flow, 0.0) DESC, d.region, d.sector) AS c_rank
+        FROM dom d LEFT JOIN sc c USING (scenario_id, region, sector)) x WHERE c_rank <= 15),
+mids AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.scenario_id, s.home_region, s.home_sector ORDER BY s.s_rank) AS position
+         FROM sup s JOIN cus c USING (scenario_id, region, sector)
+         WHERE NOT EXISTS (SELECT 1 FROM shocks k WHERE k.scenario_id = s.scenario_id AND k.region = s.region AND k.sector = s.sector)
+           AND (s.region <> s.home_region OR s.sector <> s.home_sector)) x WHERE position <= 5),
+hit AS (SELECT h.*, s.region, s.sector FROM h2 h JOIN shocks s USING (scenario_id)),
+ends AS (SELECT *, home_region AS region, home_sector AS sector FROM h2),
+links AS (
+  SELECT 'shock_to_intermediate' AS edge, a.scenario_id, a.home_region, a.home_sector, a.region AS sr, a.sector AS ss, b.region AS tr, b.sector AS ts
+  FROM hit a JOIN mids b USING (scenario_id, home_region, home_sector)
+  UNION ALL SELECT 'intermediate_to_home', a.scenario_id, a.home_region, a.home_sector, a.region, a.sector, b.region, b.sector
+  FROM mids a JOIN ends b USING (scenario_id, home_region, home_sector)
+  UNION ALL SELECT 'shock_to_home', a.scenario_id, a.home_region, a.home_sector, a.region, a.sector, b.region, b.sector
+  FROM hit a JOIN ends b USING (scenario_id, home_region, home_sector))""") + f"""
+SELECT l.scenario_id, l.home_region, l.home_sector, sr AS source_region, ss AS source_sector, tr AS target_region, ts AS target_sector,
+       {R('f.flow', 2)} AS flow, edge
+FROM links l JOIN flows f ON f.scenario_id = l.scenario_id AND f.producer_region = sr AND f.producer_sector = ss
+     AND f.consumer_region = tr AND f.consumer_sector = ts WHERE f.flow > 1e-6"""
+
 SQL["path_nodes"] = with_(*_paths_common(), """
 nodes AS (SELECT scenario_id, region, sector, MIN(prio) AS prio FROM (
   SELECT scenario_id, region, sector, 0 AS prio FROM shocks
@@ -620,10 +659,13 @@ touch AS (SELECT scenario_id, {CELL}, any_value(value) AS value, MAX(pm) AS pm,
           FROM (SELECT * FROM bp UNION ALL SELECT * FROM bc) t GROUP BY scenario_id, {CELL}),
 parts AS (SELECT scenario_id, (CASE WHEN pm = 1 THEN 'M' ELSE 'N' END) || (CASE WHEN cm = 1 THEN 'M' ELSE 'N' END) AS block,
                  COUNT(*) AS cells, SUM(value) AS total FROM touch GROUP BY ALL),
-whole AS (SELECT COUNT(*) AS n, SUM(value) AS t FROM A)""") + f"""
-SELECT scenario_id, block, cells, {R('total', 10)} AS total FROM parts
+whole AS (SELECT COUNT(*) AS n, SUM(value) AS t FROM A),
+four AS (SELECT s.scenario_id, b.block, COALESCE(p.cells, 0) AS cells, COALESCE(p.total, 0.0) AS total
+         FROM (SELECT DISTINCT scenario_id FROM sl) s CROSS JOIN (VALUES ('MM'), ('MN'), ('NM')) b(block)
+         LEFT JOIN parts p ON p.scenario_id = s.scenario_id AND p.block = b.block)""") + f"""
+SELECT scenario_id, block, cells, {R('total', 10)} AS total FROM four
 UNION ALL
-SELECT p.scenario_id, 'NN', CAST(w.n - SUM(p.cells) AS BIGINT), {R('w.t - SUM(p.total)', 10)} FROM parts p CROSS JOIN whole w GROUP BY p.scenario_id, w.n, w.t"""
+SELECT f.scenario_id, 'NN', CAST(w.n - SUM(f.cells) AS BIGINT), {R('w.t - SUM(f.total)', 10)} FROM four f CROSS JOIN whole w GROUP BY f.scenario_id, w.n, w.t"""
 
 SQL["vector_lookup"] = with_(ECONOMY, PORTFOLIOS) + """
 SELECT p.portfolio_id, p.region, p.sector, x.value AS x, y.value AS y
@@ -746,3 +788,57 @@ pt AS (SELECT c.portfolio_id, c.region, c.sector, c.weight,
        FROM c2 c LEFT JOIN tot t USING (portfolio_id) LEFT JOIN pf p USING (portfolio_id, region, sector))""") + f"""
 SELECT portfolio_id, region, sector, weight, {R('potential_total', 6)} AS potential_total,
        (weight > 0 AND potential_total <= 100.0) AS allowed FROM pt"""
+
+# ---------------------------------------------------------------- a tight economy
+
+# The same flows with little final demand: the series falls slowly.
+TIGHT = ECONOMY.replace("X AS (", "X0 AS (", 1).replace("Y AS (", "Y0 AS (", 1).replace(
+    "Z AS (SELECT", f"""X AS (SELECT region, sector, (value - 1) / 2 * {fixtures.TIGHT_FACTOR!r}::DOUBLE + 1 AS value FROM X0),
+Y AS (SELECT X.region, X.sector, X.value - (X0.value - Y0.value) AS value FROM X JOIN X0 USING (region, sector) JOIN Y0 USING (region, sector)),
+Z AS (SELECT""", 1)
+
+
+def _many_terms(build):
+    """``build()`` with enough terms for the tight economy."""
+    global TERMS
+    TERMS, kept = fixtures.TIGHT_ORACLE_TERMS, TERMS
+    try:
+        return build()
+    finally:
+        TERMS = kept
+
+
+SQL["tight_gross_output"] = _many_terms(lambda: with_(TIGHT, "yseed AS (SELECT 'y' AS run, region, sector, value AS d FROM Y)",
+                                                      series("xit", "yseed", "A_col", None))) + f"""
+SELECT region, sector, {R('value', 2)} AS gross_output FROM xit_sum"""
+for _m in ("ghosh", "leontief"):
+    SQL[f"tight_{_m}_impact"] = _many_terms(lambda: with_(TIGHT, RATINGS, scenarios_cte(), impact_ctes(_m))) + f"""
+SELECT scenario_id, region, sector, {R('delta_x', 2)} AS delta_x FROM dx_{_m}"""
+
+# ---------------------------------------------------------------- validation and layouts
+
+SQL["scenario_rejects"] = with_(ECONOMY, "s AS " + values(fixtures.REJECT_CASES, ["scenario_id", "region", "sector", "magnitude"])) + """
+SELECT scenario_id, region, sector, magnitude, 'unknown_label' AS rule FROM s
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.region = s.region AND l.sector = s.sector)
+UNION ALL
+SELECT scenario_id, region, sector, magnitude, 'duplicate' FROM (
+  SELECT *, count(*) OVER (PARTITION BY scenario_id, region, sector) AS n FROM s) d WHERE n > 1
+UNION ALL
+SELECT scenario_id, region, sector, magnitude, 'bad_magnitude' FROM s WHERE magnitude IS NULL OR magnitude < 0 OR magnitude > 1"""
+
+
+def _inverse_sql(matrix: str, swap: bool) -> str:
+    a, b = ("region", "sector"), ("split_part(run, '|', 1)", "split_part(run, '|', 2)")
+    p, c = (a, b) if swap else (b, a)
+    return with_(ECONOMY, "useed AS (SELECT region || '|' || sector AS run, region, sector, CAST(1.0 AS DOUBLE) AS d FROM labels)",
+                 series("inv", "useed", matrix, None)) + f"""
+SELECT {p[0]} AS producer_region, {p[1]} AS producer_sector, {c[0]} AS consumer_region, {c[1]} AS consumer_sector, {R('value', 10)} AS value
+FROM inv_sum WHERE value <> 0"""
+
+
+SQL["leontief_inverse"] = _inverse_sql("A_row", False)
+SQL["ghosh_inverse"] = _inverse_sql("B_col", True)
+
+SQL["year_files_round_trip"] = with_(ECONOMY, f"""h AS (SELECT producer_region AS region, producer_sector AS sector, year, CAST(SUM(v) AS DOUBLE) AS gross_output
+      FROM lines WHERE year IN ({', '.join(map(str, fixtures.FILE_YEARS))}) GROUP BY ALL)""") + """
+SELECT region, sector, year, gross_output FROM h"""

@@ -9,9 +9,12 @@ one plan, several reports off one Δx" design: the loop runs once for all of the
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import economy as econ
 from ..operators import materiality as mat
 from ..operators import linalg, propagate, search
 from ..operators.scenario import resolve_scenario
@@ -34,6 +37,23 @@ def economy(spark: SparkSession, sf_dir: str):
     return _memo(spark, sf_dir, "economy", lambda: driver_economy.build(spark, sf_dir))
 
 
+def tight_economy(spark: SparkSession, sf_dir: str):
+    """The same flows with little final demand, so that the series falls slowly."""
+    def build():
+        eco = economy(spark, sf_dir)
+        x = eco.X.withColumn("value", (F.col("value") - 1) / 2 * fixtures.TIGHT_FACTOR + 1)
+        both = x.join(eco.X.withColumnRenamed("value", "x0"), LABEL).join(eco.Y.withColumnRenamed("value", "y0"), LABEL)
+        y = both.select(*LABEL, (F.col("value") - (F.col("x0") - F.col("y0"))).alias("value"))
+        x, y = cut_lineage(x), cut_lineage(y)
+        return replace(eco, X=x, Y=y, A=cut_lineage(econ.coefficients(eco.Z, x)), B=cut_lineage(econ.allocation(eco.Z, x)))
+    return _memo(spark, sf_dir, "tight", build)
+
+
+def tight_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo(spark, sf_dir, "tight-impacts", lambda: cut_lineage(propagate.impacts(
+        tight_economy(spark, sf_dir), scenarios(spark, sf_dir), ["ghosh", "leontief"])))
+
+
 def ratings_tables(spark: SparkSession, sf_dir: str):
     def build():
         seg = driver_economy.segments(spark, sf_dir)
@@ -97,8 +117,7 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         s_masks = s_masks.withColumn("kind", F.lit("search"))
         x_seed = propagate._keyed(eco.Y, "A_col", "x", "y")
         all_seeds = seeds.unionByName(s_seeds).unionByName(x_seed)
-        return cut_lineage(propagate.solve_runs(eco, all_seeds, masks.unionByName(s_masks), fixtures.TERMS,
-                                                ["A_col", "B_row"]))
+        return cut_lineage(propagate.solve_runs(eco, all_seeds, masks.unionByName(s_masks), ["A_col", "B_row"]))
     return _memo(spark, sf_dir, "batch", build)
 
 
@@ -115,13 +134,13 @@ def dx(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
 
 
 def leontief_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full L = Σ Aᵏ (40 terms) as a long matrix."""
+    """Full L = Σ Aᵏ as a long matrix."""
     eco = economy(spark, sf_dir)
-    return _memo(spark, sf_dir, "L", lambda: cut_lineage(linalg.power_series(eco.A, eco.labels, fixtures.TERMS)))
+    return _memo(spark, sf_dir, "L", lambda: cut_lineage(linalg.power_series(eco.A, eco.labels)))
 
 
 def ghosh_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full G = Σ Bᵏ (40 terms) as a long matrix. Since B = x̂⁻¹·A·x̂ term by term,
+    """Full G = Σ Bᵏ as a long matrix. Since B = x̂⁻¹·A·x̂ term by term,
     Σ Bᵏ = x̂⁻¹ (Σ Aᵏ) x̂: G_ij = L_ij · x_j / x_i — one join with the output vector
     instead of another series."""
     eco = economy(spark, sf_dir)
@@ -130,15 +149,15 @@ def ghosh_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def influence(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    """(home_region, home_sector, region, sector, value): L[home, label] (row of L)
-    or G[label, home] (column of G)."""
-    if method == "leontief":
-        return leontief_inverse(spark, sf_dir).select(
-            F.col("producer_region").alias("home_region"), F.col("producer_sector").alias("home_sector"),
-            F.col("consumer_region").alias("region"), F.col("consumer_sector").alias("sector"), "value")
-    return ghosh_inverse(spark, sf_dir).select(
-        F.col("consumer_region").alias("home_region"), F.col("consumer_sector").alias("home_sector"),
-        F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"), "value")
+    """(home_region, home_sector, region, sector, value) for the homes and the portfolio
+    assets only: their rows of L, columns of G, or columns of A, by a home-seeded series."""
+    from ..operators import attribution as att
+
+    def build():
+        assets = portfolios(spark).select(F.col("region").alias("home_region"), F.col("sector").alias("home_sector"))
+        targets = homes(spark).select("home_region", "home_sector").unionByName(assets).distinct()
+        return cut_lineage(att.influence(economy(spark, sf_dir), targets, method))
+    return _memo(spark, sf_dir, f"influence-{method}", build)
 
 
 def search_dx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,12 +178,10 @@ def causes(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     from ..operators import attribution as att
 
     def build():
-        eco = economy(spark, sf_dir)
-        if method in ("leontief", "ghosh"):
-            infl = influence(spark, sf_dir, method)
-        else:
-            infl = att.first_order_influence(eco.A, homes(spark))
-        return cut_lineage(att.attribute(dx(spark, sf_dir, method), scenarios(spark, sf_dir), homes(spark), infl))
+        # The first-order shares explain the Ghosh Δx: the direct model moves shocked
+        # labels only.
+        change = dx(spark, sf_dir, "ghosh" if method == "direct" else method)
+        return cut_lineage(att.attribute(change, scenarios(spark, sf_dir), homes(spark), influence(spark, sf_dir, method)))
     return _memo(spark, sf_dir, f"causes-{method}", build)
 
 

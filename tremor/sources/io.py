@@ -10,7 +10,6 @@ frame). Wide files are turned long once at read time.
 from __future__ import annotations
 
 import ast
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +34,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _is_json_array(spark: SparkSession, path: str) -> bool:
+    """Whether the file, or the first data file of the folder, starts with ``[``; read
+    through the file system of the path, wherever that is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    files = sorted((f.getPath().toString(), f.getPath()) for f in fs.listStatus(p)
+                   if f.isFile() and f.getLen() > 0 and not f.getPath().getName().startswith(("_", ".")))
+    for _, file in files[:1]:
+        stream = fs.open(file)
+        try:
+            byte = stream.read()
+            while byte in b" \t\r\n\xef\xbb\xbf":
+                byte = stream.read()
+            return byte == ord("[")
+        finally:
+            stream.close()
+    return False
+
+
 def parse_label(name: str) -> tuple[str, str]:
     """Column name of a wide matrix → (region, sector): a tuple literal
     ``"('AT', 'Cultivation of wheat')"`` or ``"AT|Cultivation of wheat"``."""
@@ -130,6 +149,33 @@ def write_by_year(df: DataFrame, base: str, name: str, mode: str = "overwrite")
      .partitionBy("year").parquet(f"{base}/{name}"))
 
 
+def load_year_files(spark: SparkSession, base: str, year: int, names: Sequence[str], prefix: str = ""):
+    """S2 for the layout ``{base}/{year}/{prefix}{name}.parquet``: square tables come back
+    long, vectors as ``(region, sector, value)``, in the order asked; one name gives the
+    table itself."""
+    out = []
+    for n in names:
+        path = f"{base}/{year}/{prefix}{n}.parquet"
+        wide = set(spark.read.parquet(path).columns) - set(LABEL)
+        out.append(read_vector(spark, path) if wide & {*VECTOR_COLUMNS, "value"} else read_matrix(spark, path, wide=True))
+    return out[0] if len(out) == 1 else tuple(out)
+
+
+def read_year_files(spark: SparkSession, base: str, name: str = "X", prefix: str = "") -> DataFrame:
+    """S5 for folders named by digits: the vector of every year that has the file, tagged
+    with its year; years without it are skipped."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    years = sorted(f.getPath().getName() for f in fs.listStatus(root) if f.isDirectory() and f.getPath().getName().isdigit())
+    out = spark.createDataFrame([], "region string, sector string, value double, year int")
+    for y in years:  # a handful of folders
+        path = f"{base}/{y}/{prefix}{name}.parquet"
+        if _exists(spark, path):
+            out = out.unionByName(read_vector(spark, path).withColumn("year", F.lit(int(y))))
+    return out
+
+
 def read_years(spark: SparkSession, base: str, name: str = "X") -> DataFrame:
     """Every year folder of a vector, tagged with its year by partition
     discovery; years without the file are simply absent."""
@@ -140,20 +186,36 @@ def read_years(spark: SparkSession, base: str, name: str = "X") -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame | None:
-    """Production history; an absent file gives ``None`` ("no data")."""
+    """Production history as ``(region, sector, year, value)``; an absent file gives
+    ``None`` ("no data"). Years may be rows or, as the wide file has them, columns."""
     if not _exists(spark, path):
         return None
-    return spark.read.parquet(path)
+    df = spark.read.parquet(path)
+    years = [c for c in df.columns if c.isdigit()]
+    if not years:
+        return df
+    long = df.unpivot(LABEL, [F.col(f"`{c}`").cast("double").alias(c) for c in years], "year", "value")
+    return long.withColumn("year", F.col("year").cast("int")).where(F.col("value").isNotNull())
+
+
+# Headers of the published files, and the names used here.
+RATING_HEADERS = {"ISIC Section": "isic_section", "ISIC Division": "isic_division", "ISIC Group": "isic_group",
+                  "ISIC Class": "isic_class", "EXIOBASE": "sector"}
+
+
+def _read_strings(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return df.select(*[F.col(f"`{c}`").alias(RATING_HEADERS.get(c.strip(), c)) for c in df.columns])
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """Ratings CSV, every column a string."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """Ratings CSV, every column a string; published headers become our key names."""
+    return _read_strings(spark, path)
 
 
 def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
-    """Crosswalk CSV, every column a string."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """Crosswalk CSV, every column a string; headers as for the ratings."""
+    return _read_strings(spark, path)
 
 
 def write_joined(df: DataFrame, path: str) -> None:
@@ -172,16 +234,15 @@ def read_materiality(spark: SparkSession, path: str) -> DataFrame | None:
     Accepts JSON lines or a single JSON array."""
     if not _exists(spark, path):
         return None
-    multi = os.path.isfile(path) and open(path).read(1) == "["
-    df = spark.read.option("multiLine", multi).schema("service string, sectors array<string>").json(path)
+    df = spark.read.option("multiLine", _is_json_array(spark, path)).schema("service string, sectors array<string>").json(path)
     return df.select("service", F.explode("sectors").alias("sector"))
 
 
 def _read_records(spark: SparkSession, path: str, fields: Sequence[str], key: str, schema: str) -> DataFrame | None:
     fmt = "csv" if path.endswith(".csv") else "json"
     reader = spark.read.schema(schema)
-    multi = os.path.isfile(path) and open(path).read(1) == "["
-    df = reader.option("header", True).csv(path) if fmt == "csv" else reader.option("multiLine", multi).json(path)
+    df = (reader.option("header", True).csv(path) if fmt == "csv"
+          else reader.option("multiLine", _is_json_array(spark, path)).json(path))
     incomplete = df.where(" OR ".join(f"{f} IS NULL" for f in fields)).limit(1).count()
     if incomplete:
         return None  # the whole file is rejected, as the reference does
@@ -199,7 +260,7 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame | None:
 def write_scenarios(shocks: DataFrame, path: str) -> None:
     """Magnitudes written back in percent."""
     (shocks.select("scenario_id", *LABEL, (F.col("magnitude") * 100.0).alias("magnitude"))
-     .coalesce(1).write.mode("overwrite").json(path))
+     .write.mode("overwrite").json(path))
 
 
 def read_portfolios(spark: SparkSession, path: str) -> DataFrame | None:
