@@ -4,7 +4,7 @@ production history, and the label filters used on them (M1-M6, M11, D6-D9)."""
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +24,9 @@ class Economy:
     (producer_region, producer_sector, consumer_region, consumer_sector, value);
     ``X``, ``Y`` vectors (region, sector, value). Optional: ``history``
     (region, sector, year, value), extension flows ``F`` (indicator, region, sector,
-    value) with ``units`` (indicator, unit), ``regions`` (region, name, iso3) and
-    ``groups`` (group_name, region).
+    value) with ``units`` (indicator, unit), ``regions`` (region, name, iso3),
+    ``groups`` (group_name, region) and final demand by category ``demand``
+    (region, sector, category, value).
     """
 
     labels: DataFrame
@@ -39,7 +40,7 @@ class Economy:
     units: DataFrame | None = None
     regions: DataFrame | None = None
     groups: DataFrame | None = None
-    extra: dict = field(default_factory=dict)
+    demand: DataFrame | None = None
 
 
 def _vec_on(df: DataFrame, side: Sequence[str], name: str) -> DataFrame:
@@ -124,8 +125,13 @@ def producers_in(flows: DataFrame, sectors: Sequence[str] | DataFrame) -> DataFr
     return flows.where(F.col("producer_sector").isin(list(sectors)))
 
 
-def exclude_regions(flows: DataFrame, regions: Sequence[str]) -> DataFrame:
-    """Drop rows and columns of the excluded regions."""
+def exclude_regions(flows: DataFrame, regions: DataFrame | Sequence[str]) -> DataFrame:
+    """Drop rows and columns of the excluded regions, a list or a table ``(region)``."""
+    if isinstance(regions, DataFrame):
+        out = flows
+        for side in ("producer_region", "consumer_region"):
+            out = out.join(regions.select(F.col("region").alias(side)), side, "left_anti")
+        return out.select(*flows.columns)
     regs = list(regions)
     return flows.where(~F.col("producer_region").isin(regs) & ~F.col("consumer_region").isin(regs))
 

@@ -246,21 +246,22 @@ def _iterate(state, m, apply_mask, kept, tol, max_rounds, every, terms):
         state = kept(state, name)
         if terms is not None and k >= terms:
             return name, state.schema
-        # Per run, the last term against the largest sum; one scalar reaches the driver.
-        share = (state.groupBy("run").agg(F.max(F.abs("term")).alias("t"), F.max(F.abs(F.col("acc") + F.col("term"))).alias("a"))
-                 .agg(F.max(F.when(F.col("t") > 0, F.col("t") / F.col("a")))).first()[0])
+        # Per run, the last term against the largest sum; two scalars reach the driver.
+        top = (state.groupBy("run").agg(F.max(F.abs("term")).alias("t"), F.max(F.abs(F.col("acc") + F.col("term"))).alias("a"))
+               .agg(F.max(F.when(F.col("t") > 0, F.col("t") / F.col("a"))).alias("share"), F.max("t").alias("t")).first())
+        share = top["share"]
         if not share:
             return name, state.schema
         if last is not None:
-            rate = (share / last) ** (1 / every)
+            rate = max(top["t"] / last["t"], share / last["share"]) ** (1 / every)
             if rate < 1 and share * rate / (1 - rate) <= tol:
                 return name, state.schema
-            flat = flat + 1 if rate >= 1 else 0
-            if flat == 3 or not math.isfinite(share):
+            flat = flat + 1 if rate >= 1 - 1e-9 else 0
+            if flat == 3 or not math.isfinite(top["t"]):
                 raise NotConvergent(f"the terms of the series do not fall (share {share:.3g} after {k} terms)")
         if k >= max_rounds:
             raise NotConvergent(f"no convergence to {tol:g} in {max_rounds} terms (share {share:.3g})")
-        last = share
+        last = top
 
 
 def identity(labels: DataFrame) -> DataFrame:

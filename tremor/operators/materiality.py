@@ -27,10 +27,6 @@ def service_columns(ratings: DataFrame, sector_col: str = "sector") -> list[str]
     return [c for c in ratings.columns if "isic" not in c.lower() and c != sector_col]
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]):
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def match_ratings(ratings: DataFrame, crosswalk: DataFrame, fallback: str = "all") -> tuple[DataFrame, DataFrame]:
     """Ratings ⟕ crosswalk on the four keys (null keys match null keys);
     if any row is left without a sector, join again on three keys (class ignored,

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import propagate
+from . import attribution, propagate
 from .economy import Economy, cross_border_only, exclude_regions, flows_from_coefficients, producers_in
 
 LABEL = ["region", "sector"]
@@ -16,10 +16,38 @@ LABEL = ["region", "sector"]
 MIN_FLOW = 1e-9
 
 
+def order_statistic(df: DataFrame, col: str, k: int, most: int = 10_000, bins: int = 256) -> float:
+    """The k-th smallest value (from 0) of ``col``, exactly. The values are narrowed to
+    the histogram bin that holds it until at most ``most`` are left or all are equal;
+    only counts per bin, and at last these values, reach the driver."""
+    values = df.select(F.col(col).cast("double").alias("v"))
+    while True:
+        s = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+        if s["lo"] == s["hi"]:
+            return s["lo"]
+        if s["n"] <= most:
+            return sorted(r["v"] for r in values.collect())[k]
+        at = F.least(F.floor((F.col("v") - s["lo"]) / (s["hi"] - s["lo"]) * bins), F.lit(bins - 1))
+        counts = sorted((r["b"], r["n"]) for r in values.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for b, n in counts:
+            if k < n:
+                values = values.where(at == b)
+                break
+            k -= n
+
+
 def quantile_threshold(df: DataFrame, col: str, q: float) -> float | None:
-    """B2: the exact linearly interpolated quantile (``percentile``), one scalar.
-    Inputs are label-sized (≤ labels² cells), so the exact aggregate is bounded."""
-    return df.agg(F.percentile(F.col(col), F.lit(q)).alias("t")).first()["t"]
+    """B2: the exact linearly interpolated quantile, one scalar, from two neighbouring
+    order statistics; no task sees all values."""
+    values = df.where(F.col(col).isNotNull())
+    n = values.count()
+    if not n:
+        return None
+    at = q * (n - 1)
+    low = int(at)
+    a = order_statistic(values, col, low)
+    b = order_statistic(values, col, min(low + 1, n - 1)) if at > low else a
+    return a + (b - a) * (at - low)
 
 
 def above_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
@@ -52,34 +80,47 @@ def max_impact_scenario(eco: Economy, pairs: DataFrame, magnitude: float = 0.1,
     shocks = search_runs(pairs, magnitude)
     if dx is None:
         dx = propagate.leontief_impact(eco, shocks, "parity", tol)
-    dy = propagate.required_demand(eco.A, dx)
-    scored = (pairs.select(F.concat_ws("|", "producer_region", "producer_sector").alias("scenario_id"),
-                           F.col("producer_region").alias("shock_region"), F.col("producer_sector").alias("shock_sector"),
-                           F.col("consumer_region").alias("home_region"), F.col("consumer_sector").alias("home_sector"))
-              .join(dy.select("scenario_id", F.col("region").alias("home_region"), F.col("sector").alias("home_sector"), "delta_y"),
-                    ["scenario_id", "home_region", "home_sector"])
-              .select("shock_region", "shock_sector", "home_region", "home_sector", F.abs("delta_y").alias("impact"))
+    home = ["home_region", "home_sector"]
+    asked = pairs.select(F.concat_ws("|", "producer_region", "producer_sector").alias("scenario_id"),
+                         F.col("producer_region").alias("shock_region"), F.col("producer_sector").alias("shock_sector"),
+                         F.col("consumer_region").alias("home_region"), F.col("consumer_sector").alias("home_sector"))
+    # Δy = Δx − A·Δx at the homes of the pairs: only their rows of A are joined.
+    rows = eco.A.select(F.col("producer_region").alias("home_region"), F.col("producer_sector").alias("home_sector"),
+                        F.col("consumer_region").alias("region"), F.col("consumer_sector").alias("sector"), F.col("value").alias("a"))
+    used = (asked.select("scenario_id", *home).distinct().join(rows, home).join(dx, ["scenario_id", *LABEL])
+            .groupBy("scenario_id", *home).agg(F.sum(F.col("a") * F.col("delta_x")).alias("used")))
+    own = dx.select("scenario_id", F.col("region").alias("home_region"), F.col("sector").alias("home_sector"), "delta_x")
+    scored = (asked.join(own, ["scenario_id", *home]).join(used, ["scenario_id", *home], "left")
+              .select("shock_region", "shock_sector", *home, F.abs(F.col("delta_x") - F.coalesce("used", F.lit(0.0))).alias("impact"))
               .where(F.col("impact") > 0))
     # Distributed top-1 (per-partition best, then a merge), ties to the smaller labels.
     return scored.orderBy(F.col("impact").desc(), "shock_region", "shock_sector", "home_region", "home_sector").limit(1)
 
 
-def default_scenario(eco: Economy, L: DataFrame, sectors: Sequence[str], excluded: Sequence[str],
-                     q: float = 0.9, tries: int = 10) -> DataFrame:
+def default_scenario(eco: Economy, sectors: Sequence[str], excluded: DataFrame | Sequence[str],
+                     q: float = 0.9, tries: int | None = None, L: DataFrame | None = None) -> DataFrame:
     """Among producers of the listed sectors with output above their q-quantile
     and labels with output above the overall q-quantile, regions excluded and
-    same-region cells dropped, inspect the ``tries`` largest positive ``L`` cells and
-    keep the first whose sectors differ. Falls back to the first/second region and
-    sector. ``(home_region, home_sector, shock_region, shock_sector, dependency)``."""
+    same-region cells dropped, the largest positive ``L`` cell whose sectors differ.
+    ``tries`` inspects only so many of the largest cells, as the reference does. Falls
+    back to the first/second region and sector. The rows of L are those of the large
+    producers, by a series seeded with them, unless ``L`` is at hand.
+    ``(home_region, home_sector, shock_region, shock_sector, dependency)``."""
     big_prod = above_quantile(eco.X.where(F.col("sector").isin(list(sectors))), "value", q).select(
         F.col("region").alias("producer_region"), F.col("sector").alias("producer_sector"))
     big_all = above_quantile(eco.X, "value", q).select(
         F.col("region").alias("consumer_region"), F.col("sector").alias("consumer_sector"))
+    if L is None:
+        homes = big_prod.select(F.col("producer_region").alias("home_region"), F.col("producer_sector").alias("home_sector"))
+        L = attribution.influence(eco, homes, "leontief").select(
+            F.col("home_region").alias("producer_region"), F.col("home_sector").alias("producer_sector"),
+            F.col("region").alias("consumer_region"), F.col("sector").alias("consumer_sector"), "value")
     cells = (L.join(big_prod, ["producer_region", "producer_sector"]).join(big_all, ["consumer_region", "consumer_sector"]))
     cells = cross_border_only(exclude_regions(cells, excluded)).where(F.col("value") > 0)
     order = [F.col("value").desc(), "producer_region", "producer_sector", "consumer_region", "consumer_sector"]
-    top = cells.orderBy(*order).limit(tries)  # the `tries` largest cells (distributed top-k)
-    pick = (top.where(F.col("producer_sector") != F.col("consumer_sector")).orderBy(*order).limit(1)
+    if tries is not None:
+        cells = cells.orderBy(*order).limit(tries)  # distributed top-k
+    pick = (cells.where(F.col("producer_sector") != F.col("consumer_sector")).orderBy(*order).limit(1)
             .select(F.col("consumer_region").alias("home_region"), F.col("consumer_sector").alias("home_sector"),
                     F.col("producer_region").alias("shock_region"), F.col("producer_sector").alias("shock_sector"),
                     F.col("value").alias("dependency")))

@@ -74,10 +74,14 @@ def gross_output(spark, d):
 
 @query
 def final_demand(spark, d):
-    """M4: final demand summed over categories (the derived economy has one)."""
-    eco = store.economy(spark, d)
-    by_cat = eco.Y.withColumn("category", F.lit("total"))
-    return econ.final_demand(by_cat).select(*LABEL, F.col("value").alias("final_demand"))
+    """M4: final demand summed over its categories."""
+    return econ.final_demand(store.economy(spark, d).demand).select(*LABEL, money("value", "final_demand"))
+
+
+@query
+def final_demand_categories(spark, d):
+    """M4 before the sum: lines left out of the flows by status, and the balancing item."""
+    return store.economy(spark, d).demand.select(*LABEL, "category", money("value"))
 
 
 @query
@@ -145,6 +149,19 @@ def tight_leontief_impact(spark, d):
     return _tight(spark, d, "leontief")
 
 
+@query
+def label_catalog(spark, d):
+    """Labels seen on either side of the flows, with the regions and sectors they
+    make up."""
+    from ..sources import io
+    labels = io.labels_of(store.economy(spark, d).Z)
+    regions, sectors = econ.label_catalog(labels)
+    kinds = [regions.select(F.lit("region").alias("kind"), F.col("region").alias("name"), F.lit(None).cast("string").alias("sector")),
+             sectors.select(F.lit("sector").alias("kind"), F.lit(None).cast("string").alias("name"), "sector"),
+             labels.select(F.lit("label").alias("kind"), F.col("region").alias("name"), "sector")]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
 @query
 def scenario_rejects(spark, d):
     """V1-V3: shock rows that break a rule, against the labels of the economy."""
@@ -185,7 +202,7 @@ def cross_border_flows(spark, d):
     """Flows from listed producer sectors, regions without ISO3 excluded,
     same-region cells dropped."""
     eco = store.economy(spark, d)
-    excluded = [row.region for row in eco.regions.where(F.col("iso3").isNull()).select("region").collect()]
+    excluded = eco.regions.where(F.col("iso3").isNull()).select("region")
     z = econ.producers_in(eco.Z, fixtures.SEARCH_SECTORS)
     return econ.cross_border_only(econ.exclude_regions(z, excluded)).select(*CELL, F.col("value").alias("flow"))
 
@@ -384,7 +401,8 @@ def headline(spark, d):
 def _history(spark, d, strict):
     eco = store.economy(spark, d)
     dec = "decimal(38,4)"
-    hist = eco.history.withColumn("value", F.col("value").cast(dec))
+    hist = (eco.history.where(F.col("region") != fixtures.NO_HISTORY_REGION)
+            .withColumn("value", F.col("value").cast(dec)))
     x = eco.X.withColumn("value", F.col("value").cast(dec))
     h = reports.shock_history(hist, x, store.scenarios(spark, d), strict)
     return h.select("scenario_id", "year", F.col("history_output").cast("double").alias("history_output"),
@@ -659,9 +677,8 @@ def default_scenario(spark, d):
     """Strongest cross-border dependency of a large producer of the listed
     sectors by L, regions without ISO3 excluded."""
     eco = store.economy(spark, d)
-    excluded = [row.region for row in eco.regions.where(F.col("iso3").isNull()).select("region").collect()]
-    out = search.default_scenario(eco, store.leontief_inverse(spark, d), fixtures.SEARCH_SECTORS, excluded,
-                                  fixtures.DEFAULT_QUANTILE, fixtures.DEFAULT_TRIES)
+    excluded = eco.regions.where(F.col("iso3").isNull()).select("region")
+    out = search.default_scenario(eco, fixtures.SEARCH_SECTORS, excluded, fixtures.DEFAULT_QUANTILE)
     return out.select("home_region", "home_sector", "shock_region", "shock_sector", coef("dependency"))
 
 

@@ -103,6 +103,14 @@ def build(spark: SparkSession, sf_dir: str) -> Economy:
 
     history = (named.groupBy(F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"), "year")
                .agg(F.sum("v").cast("double").alias("value")))
+    # Final demand by category: the lines left out of the flows, by line status, and
+    # what balances them to Y.
+    lines_n = (named.where(F.col("l_returnflag") == "N")
+               .groupBy(F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"), F.col("l_linestatus").alias("category"))
+               .agg(F.sum("v").cast("double").alias("value")))
+    sums = lines_n.groupBy(*LABEL).agg(F.sum("value").alias("s"))
+    balance = (Y.join(sums, LABEL, "left")
+               .select(*LABEL, F.lit("balance").alias("category"), (F.col("value") - F.coalesce("s", F.lit(0.0))).alias("value")))
     F_flows = cut_lineage(named.groupBy(F.concat("l_returnflag", "l_linestatus").alias("indicator"),
                              F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"))
                .agg(F.sum("q").alias("value")))
@@ -127,4 +135,4 @@ def build(spark: SparkSession, sf_dir: str) -> Economy:
     # groups are small plans over tiny files and stay uncut.
     return Economy(labels=labels, Z=Z, X=X, Y=Y, A=A, B=B,
                    history=cut_lineage(history), F=F_flows, units=units,
-                   regions=regions, groups=groups)
+                   regions=regions, groups=groups, demand=cut_lineage(lines_n.unionByName(balance)))

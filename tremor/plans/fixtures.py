@@ -80,9 +80,10 @@ FILE_YEARS = [1996, 1997, 1999]
 SEARCH_SECTORS = ["BUILDING", "FURNITURE"]
 SEARCH_QUANTILE = 0.95
 SEARCH_MAGNITUDE = 0.1
-# Default scenario (B5): quantile of large outputs, cells inspected.
+# Default scenario (B5): quantile of large outputs.
 DEFAULT_QUANTILE = 0.9
-DEFAULT_TRIES = 10
+# A region whose history is left out of the history reports.
+NO_HISTORY_REGION = "NATION_3"
 
 # Terms the SQL oracle sums (the engine sums until it has converged).
 ORACLE_TERMS = 120

@@ -240,7 +240,13 @@ SQL["gross_output"] = with_(ECONOMY, "yseed AS (SELECT 'y' AS run, region, secto
                             series("xit", "yseed", "A_col", None)) + f"""
 SELECT region, sector, {R('value', 0)} AS gross_output FROM xit_sum"""
 
-SQL["final_demand"] = with_(ECONOMY) + "SELECT region, sector, value AS final_demand FROM Y"
+SQL["final_demand"] = with_(ECONOMY) + f"SELECT region, sector, {R('value', 2)} AS final_demand FROM Y"
+SQL["final_demand_categories"] = with_(ECONOMY, """n AS (SELECT producer_region AS region, producer_sector AS sector, ls AS category,
+      CAST(SUM(v) AS DOUBLE) AS value FROM lines WHERE rf = 'N' GROUP BY ALL)""") + f"""
+SELECT region, sector, category, {R('value', 2)} AS value FROM n
+UNION ALL
+SELECT y.region, y.sector, 'balance', {R('y.value - COALESCE(s.t, 0.0)', 2)} FROM Y y
+LEFT JOIN (SELECT region, sector, SUM(value) AS t FROM n GROUP BY ALL) s ON s.region = y.region AND s.sector = y.sector"""
 
 SQL["technical_coefficients"] = with_(ECONOMY) + f"SELECT {CELL}, {R('value', 10)} AS value FROM A"
 SQL["allocation_coefficients"] = with_(ECONOMY) + f"SELECT {CELL}, {R('value', 10)} AS value FROM B"
@@ -481,7 +487,8 @@ FROM specs s LEFT JOIN regions g ON g.region = s.region_spec JOIN ns USING (scen
 def _history_sql(strict: bool) -> str:
     bad = """AND l.scenario_id NOT IN (SELECT s.scenario_id FROM shocks s
              WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.region = s.region AND h.sector = s.sector))""" if strict else ""
-    return with_(*_base(), """hist AS (SELECT producer_region AS region, producer_sector AS sector, year, CAST(SUM(v) AS DOUBLE) AS value FROM lines GROUP BY ALL)""",
+    return with_(*_base(), """hist AS (SELECT producer_region AS region, producer_sector AS sector, year, CAST(SUM(v) AS DOUBLE) AS value FROM lines
+      WHERE producer_region <> """ + _q(fixtures.NO_HISTORY_REGION) + " GROUP BY ALL)",
                  "years AS (SELECT DISTINCT year FROM hist)",
                  """lev AS (SELECT s.scenario_id, SUM(CAST(x.value AS DECIMAL(38,4))) AS base_output,
            SUM(CAST(x.value AS DECIMAL(38,4)) * (1 - s.magnitude)) AS post_shock_output
@@ -744,7 +751,7 @@ cells AS (SELECT l.* FROM lrows l JOIN bigc USING (consumer_region, consumer_sec
           WHERE l.producer_region NOT IN (SELECT region FROM regions WHERE iso3 IS NULL)
             AND l.consumer_region NOT IN (SELECT region FROM regions WHERE iso3 IS NULL)
             AND l.producer_region <> l.consumer_region AND l.value > 0),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY value DESC, {CELL}) AS rn FROM cells) t WHERE rn <= {fixtures.DEFAULT_TRIES}),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY value DESC, {CELL}) AS rn FROM cells) t),
 pick AS (SELECT * FROM top WHERE producer_sector <> consumer_sector ORDER BY rn LIMIT 1),
 r2 AS (SELECT region, row_number() OVER (ORDER BY region) AS i FROM (SELECT DISTINCT region FROM labels) t),
 s2 AS (SELECT sector, row_number() OVER (ORDER BY sector) AS i FROM (SELECT DISTINCT sector FROM labels) t)""") + f"""
@@ -842,3 +849,9 @@ SQL["ghosh_inverse"] = _inverse_sql("B_col", True)
 SQL["year_files_round_trip"] = with_(ECONOMY, f"""h AS (SELECT producer_region AS region, producer_sector AS sector, year, CAST(SUM(v) AS DOUBLE) AS gross_output
       FROM lines WHERE year IN ({', '.join(map(str, fixtures.FILE_YEARS))}) GROUP BY ALL)""") + """
 SELECT region, sector, year, gross_output FROM h"""
+
+SQL["label_catalog"] = with_(ECONOMY, """seen AS (SELECT producer_region AS region, producer_sector AS sector FROM Z
+      UNION SELECT consumer_region, consumer_sector FROM Z)""") + """
+SELECT DISTINCT 'region' AS kind, region AS name, CAST(NULL AS VARCHAR) AS sector FROM seen
+UNION ALL SELECT DISTINCT 'sector', NULL, sector FROM seen
+UNION ALL SELECT 'label', region, sector FROM seen"""
