@@ -60,24 +60,31 @@ def encoder(tokenizer: str, ranks: str | None):
     through ``tokenizers``."""
     key = (tokenizer, ranks)
     if key not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-
-        full = Tokenizer.from_file(_place_of(tokenizer))
-        slow = lambda text: full.encode(text, add_special_tokens=False).ids
-        if ranks is None:
-            _TOKENIZERS[key] = lambda texts: [slow(t) for t in texts]
-        else:
-            import public_tokenizers
-            import tiktoken
-
-            with open(_place_of(ranks), "rb") as lines:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table,
-                                      special_tokens={}).encode_ordinary
-            _TOKENIZERS[key] = lambda texts: [slow(t) if SPECIAL in t else quick(t) for t in texts]
+        _TOKENIZERS[key] = _load(tokenizer, ranks)
     return _TOKENIZERS[key]
 
 
+def _load(tokenizer: str, ranks: str | None):
+    kept: list = []
+
+    def slow(text: str) -> list[int]:
+        if not kept:  # loaded when a text needs it
+            from tokenizers import Tokenizer
+
+            kept.append(Tokenizer.from_file(_place_of(tokenizer)))
+        return kept[0].encode(text, add_special_tokens=False).ids
+
+    if ranks is None:
+        return lambda texts: [slow(t) for t in texts]
+    import public_tokenizers
+    import tiktoken
+
+    with open(_place_of(ranks), "rb") as lines:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    return lambda texts: [slow(t) if SPECIAL in t else quick(t) for t in texts]
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids: one if they fit, else pieces of
     ``capacity`` with the remainder as the first."""
