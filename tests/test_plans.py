@@ -34,29 +34,49 @@ def test_z_filter_pushed_to_scan(spark):
     assert "PushedFilters: [IsNotNull(l_returnflag), Not(EqualTo(l_returnflag,N))]" in plan(li)
 
 
-def test_loop_join_follows_size_check(spark, eco):
+def rounds(spark, eco, monkeypatch, **options):
+    """The plan of one more round after a short run of the loop, and its result."""
     from pyspark.sql import functions as F
     systems = linalg.oriented(eco.A, "column", "A")
     seed = eco.Y.select(F.lit("A").alias("system"), F.lit("x").alias("run_id"), "region", "sector", "value")
-    captured = {}
-    original = linalg._iterate
+    original, plans = linalg._iterate, []
 
-    def spy(state, m, *a, **k):
-        out = original(state, m, *a, **k)
-        captured.setdefault("plans", []).append(plan(state.join(m, state.key == m.src)))
-        return out
+    def spy(state, step, *a, **k):
+        plans.append(plan(step(state)))
+        return original(state, step, *a, **k)
 
-    linalg._iterate = spy
+    monkeypatch.setattr(linalg, "_iterate", spy)
+    out = {(r.region, r.sector): r.value for r in linalg.series_solve(systems, seed, terms=6, **options).collect()}
+    monkeypatch.setattr(linalg, "_iterate", original)
+    return plans[0], out
+
+
+def test_small_matrix_is_broadcast(spark, eco, monkeypatch):
+    shape, _ = rounds(spark, eco, monkeypatch)
+    assert "BroadcastHashJoin" in shape
+
+
+def test_large_matrix_stays_in_place(spark, eco, monkeypatch):
+    """Beyond the row limit a round neither exchanges nor sorts the matrix, whichever
+    side the hash table is built on, and hubs split into parts give the same sums."""
+    _, expect = rounds(spark, eco, monkeypatch)
     auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        linalg.series_solve(systems, seed, terms=3)
-        # Beyond the row limit no hint is placed; with Spark's own size-based
-        # broadcast off too, the round is a shuffle join.
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        linalg.series_solve(systems, seed, terms=3, broadcast_rows=0)
+        for per_task in (linalg.ROWS_PER_TASK, 2):
+            monkeypatch.setattr(linalg, "ROWS_PER_TASK", per_task)
+            shape, out = rounds(spark, eco, monkeypatch, broadcast_rows=0)
+            assert "ShuffledHashJoin" in shape and "Bucketed: true" in shape
+            assert "Sort " not in shape and "SortMergeJoin" not in shape
+            assert shape.count("Exchange hashpartitioning") == 2, shape
+            assert out == pytest.approx(expect)
     finally:
-        linalg._iterate = original
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
-    small, large = captured["plans"]
-    assert "BroadcastHashJoin" in small
-    assert "BroadcastHashJoin" not in large and ("SortMergeJoin" in large or "ShuffledHashJoin" in large)
+
+
+def test_hash_table_on_the_matrix(spark, eco, monkeypatch):
+    _, expect = rounds(spark, eco, monkeypatch)
+    original = linalg._round_placed
+    monkeypatch.setattr(linalg, "_round_placed", lambda state, m, build: original(state, m, "matrix"))
+    _, out = rounds(spark, eco, monkeypatch, broadcast_rows=0)
+    assert out == pytest.approx(expect)

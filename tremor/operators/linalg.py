@@ -26,6 +26,8 @@ LABEL = ("region", "sector")
 # worth spreading over another core.
 ROWS_PER_TASK = 20_000_000
 MIN_ROWS_PER_TASK = 100_000
+# Rows of the build side of the loop's hash join in one task.
+BUILD_ROWS = 2_000_000
 
 
 def _side(orientation: str) -> tuple[tuple[str, str], tuple[str, str]]:
@@ -142,11 +144,12 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int | None = None,
 
     Inside the loop runs and labels are dense integers: the state is
     ``(run, key, term, acc)`` with ``key = system·2³² + label``, so each round is one
-    join on a single long (broadcast when the matrix is small enough, else a
-    shuffle) and one aggregation on two longs with a map-side partial sum; the state
-    never grows beyond runs × labels rows. The loop runs in a session of its own, on
-    tables in the shared checkpoint folder, so its static planning does not touch the
-    caller's settings; every ``checkpoint_every`` rounds the state is written there.
+    join and one aggregation on two longs with a map-side partial sum; the state never
+    grows beyond runs × labels rows. A matrix of at most ``broadcast_rows`` cells is
+    broadcast. A larger one is placed once, see :func:`_place`, and stays where it is.
+    The loop runs in a session of its own, on tables in the shared checkpoint folder, so
+    its static planning does not touch the caller's settings; every
+    ``checkpoint_every`` rounds the state is written there.
     """
     keys = list(keys)
     spark = seed.sparkSession
@@ -207,8 +210,22 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int | None = None,
     loop.conf.set("spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
     loop.conf.set("spark.sql.adaptive.enabled", "false")
     loop.conf.set("spark.sql.shuffle.partitions", str(parts))
-    # A large matrix is exchanged once per lineage segment; the exchange is reused there.
-    mst = F.broadcast(stepper) if n_step <= broadcast_rows else stepper
+    first = seed_i.groupBy("run", "key").agg(F.sum("term").alias("term")).withColumn("acc", F.lit(0.0))
+    table = None
+    if n_step <= broadcast_rows:
+        step = lambda state: _round(state, F.broadcast(stepper))
+    else:
+        # The build side of a task's hash join: the matrix or the state, whichever has
+        # fewer rows to a key; parts are added until it is of moderate size.
+        build = "matrix" if n_runs > degree else "state"
+        parts = min(100_000, max(parts, math.ceil(min(n_step, n_runs * n_labels) / BUILD_ROWS)))
+        loop.conf.set("spark.sql.shuffle.partitions", str(parts))
+        fans = kept(stepper.groupBy("src").agg(F.count("*").alias("cells")).select(
+            F.col("src").alias("key"), _fan(F.col("cells"), n_runs).alias("fan")), "fans")
+        table = f"series_{uuid.uuid4().hex}"
+        placed = _place(loop, stepper, fans, parts, table, f"{folder}/placed")
+        first = first.join(loop.read.schema(fans.schema).parquet(f"{folder}/fans"), "key").select("run", "key", "term", "acc", "fan")
+        step = lambda state: _round_placed(state, placed, build)
     mk = None
     if mask is not None:
         mk = broadcast_if_small(kept(encode_runs(mask).select("run", "key"), "mask"), broadcast_rows)
@@ -216,9 +233,12 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int | None = None,
     def apply_mask(df: DataFrame) -> DataFrame:
         return df.join(mk, ["run", "key"], "left_anti") if mk is not None else df
 
-    first = seed_i.groupBy("run", "key").agg(F.sum("term").alias("term")).withColumn("acc", F.lit(0.0))
     state = apply_mask(kept(first, "state0"))
-    name, schema = _iterate(state, mst, apply_mask, kept, tol, max_rounds, checkpoint_every, terms)
+    try:
+        name, schema = _iterate(state, step, apply_mask, kept, tol, max_rounds, checkpoint_every, terms)
+    finally:
+        if table:
+            loop.sql(f"DROP TABLE IF EXISTS {table}")
     done = spark.read.schema(schema).parquet(f"{folder}/{name}")
     out = (done.select("run", "key", (F.col("acc") + F.col("term")).alias("value"))
            .join(rb, "run")
@@ -227,20 +247,55 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int | None = None,
     return out.select(*keys, *LABEL, "value")
 
 
-def _iterate(state, m, apply_mask, kept, tol, max_rounds, every, terms):
+def _fan(cells: Column, runs: int) -> Column:
+    """Parts of a label's cells: a part times the runs is at most the work of a task, so
+    a hub label, or a label under very many runs, is no task's bottleneck."""
+    return F.greatest(F.ceil(cells * F.lit(runs) / F.lit(ROWS_PER_TASK)), F.lit(1)).cast("int")
+
+
+def _place(loop, stepper: DataFrame, fans: DataFrame, parts: int, table: str, path: str) -> DataFrame:
+    """The matrix as a table bucketed by (src, salt), one file a bucket: rounds join it
+    without an exchange and without a sort. ``salt`` deals the cells of a source to the
+    ``fan`` parts of it; ``dst_fan`` is the fan of the target as a source, which the state
+    carries along, so that no round looks it up."""
+    salted = (stepper.join(fans.withColumnRenamed("key", "src"), "src")
+              .join(fans.select(F.col("key").alias("dst"), F.col("fan").alias("dst_fan")), "dst")
+              .withColumn("salt", F.pmod(F.xxhash64("dst"), F.col("fan")).cast("int")))
+    (salted.select("src", "salt", "dst", "value", "carry", "dst_fan").repartition(parts, "src", "salt")
+     .write.format("parquet").bucketBy(parts, "src", "salt").option("path", path).saveAsTable(table))
+    return loop.table(table)
+
+
+def _sums() -> list[Column]:
+    return [F.sum(F.when(~F.col("m.carry"), F.col("s.term") * F.col("m.value")).otherwise(0.0)).alias("term"),
+            F.sum(F.when(F.col("m.carry"), F.col("s.acc") + F.col("s.term")).otherwise(0.0)).alias("acc")]
+
+
+def _round(state: DataFrame, m: DataFrame) -> DataFrame:
+    return (state.alias("s").join(m.alias("m"), F.col("s.key") == F.col("m.src"))
+            .groupBy(F.col("s.run").alias("run"), F.col("m.dst").alias("key")).agg(*_sums()))
+
+
+def _round_placed(state: DataFrame, m: DataFrame, build: str) -> DataFrame:
+    """A round on the placed matrix. Two exchanges: the state to the buckets (runs ×
+    labels rows, times the fan of hubs) and the partial sums by (run, label)."""
+    state = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
+    if build == "matrix":
+        m = m.hint("shuffle_hash")
+    else:
+        state = state.hint("shuffle_hash")
+    on = (F.col("s.key") == F.col("m.src")) & (F.col("s.salt") == F.col("m.salt"))
+    return (state.alias("s").join(m.alias("m"), on)
+            .groupBy(F.col("s.run").alias("run"), F.col("m.dst").alias("key")).agg(*_sums(), F.max("m.dst_fan").alias("fan")))
+
+
+def _iterate(state, step, apply_mask, kept, tol, max_rounds, every, terms):
     """(name, schema) of the table that holds the final state."""
     k, last, flat = 1, None, 0
     while True:
         upto = k + every if terms is None else min(k + every, terms)
         while k < upto:
-            state = apply_mask(
-                state.alias("s").join(m.alias("m"), F.col("s.key") == F.col("m.src"))
-                .groupBy(F.col("s.run").alias("run"), F.col("m.dst").alias("key"))
-                .agg(
-                    F.sum(F.when(~F.col("m.carry"), F.col("s.term") * F.col("m.value")).otherwise(0.0)).alias("term"),
-                    F.sum(F.when(F.col("m.carry"), F.col("s.acc") + F.col("s.term")).otherwise(0.0)).alias("acc"),
-                )
-            )
+            state = apply_mask(step(state))
             k += 1
         name = f"state{k}"
         state = kept(state, name)
