@@ -1,8 +1,7 @@
 """Region lookups and label formatting.
 
 Region dimensions are small tables ``(region, name, iso3)`` and
-``(group_name, region)``; they join by broadcast (their size is the number of
-regions, not the data).
+``(group_name, region)``; they join by broadcast after a check of their size.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 # Region codes, display names and ISO3 codes of the reference's real
 # economy (44 countries and 5 rest-of-world regions; the latter have no ISO3).
 REGION_NAMES = {
@@ -67,7 +68,7 @@ def with_region_name(df: DataFrame, col: str, regions: DataFrame, strict: bool =
     """Display name of ``col``, falling back to the code; D2 (``strict``): null
     when the code is unknown."""
     names = regions.select(F.col("region").alias("__code"), F.col("name").alias("__name"))
-    joined = df.join(F.broadcast(names), df[col] == F.col("__code"), "left")
+    joined = df.join(broadcast_if_small(names), df[col] == F.col("__code"), "left")
     value = F.col("__name") if strict else F.coalesce(F.col("__name"), df[col])
     return joined.withColumn(out, value).drop("__code", "__name")
 
@@ -75,7 +76,7 @@ def with_region_name(df: DataFrame, col: str, regions: DataFrame, strict: bool =
 def with_iso3(df: DataFrame, col: str, regions: DataFrame, out: str = "iso3") -> DataFrame:
     """D3: ISO3 of ``col``; rows of regions without one are dropped (inner join)."""
     codes = regions.where(F.col("iso3").isNotNull()).select(F.col("region").alias("__code"), F.col("iso3").alias(out))
-    return df.join(F.broadcast(codes), df[col] == F.col("__code")).drop("__code")
+    return df.join(broadcast_if_small(codes), df[col] == F.col("__code")).drop("__code")
 
 
 def truncate_label(c: Column | str, n: int = LABEL_MAX) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .economy import Economy
 from . import propagate
 
@@ -112,7 +113,7 @@ def attribute_portfolio(dx: DataFrame, shocks: DataFrame, positions: DataFrame,
 def rollup_causes(causes: DataFrame, level: str, regions: DataFrame, keys: list[str]) -> DataFrame:
     """T5: shares regrouped by ``country`` (display name, falling back to the code),
     by ``sector``, or not at all (``none``: "name - sector"). ``(keys…, item, value)``."""
-    named = causes.join(F.broadcast(regions.select(F.col("region").alias("cause_region"), "name")), "cause_region", "left")
+    named = causes.join(broadcast_if_small(regions.select(F.col("region").alias("cause_region"), "name")), "cause_region", "left")
     nm = F.coalesce(F.col("name"), F.col("cause_region"))
     if level == "country":
         item = nm
@@ -145,7 +146,7 @@ def country_contributions(causes: DataFrame, regions: DataFrame, keys: list[str]
     sums = causes.groupBy(*keys, "cause_region").agg(F.sum("share_pct").alias("share_pct"))
     reg = regions.where(F.col("iso3").isNotNull()).select(F.col("region").alias("cause_region"), "iso3",
                                                             F.coalesce("name", "region").alias("name"))
-    return sums.join(F.broadcast(reg), "cause_region")
+    return sums.join(broadcast_if_small(reg), "cause_region")
 
 
 def signed_contributions(contrib: DataFrame, keys: list[str], item_cols: list[str],

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from . import linalg
 
 LABEL = ["region", "sector"]
@@ -95,7 +96,7 @@ def extension_total(F_flows: DataFrame, units: DataFrame, labels: DataFrame,
                     patterns: Sequence[str] = ("ha", "km2")) -> DataFrame:
     """M5: per label, the sum over indicators whose unit matches; 0 where none."""
     keep = units.where(unit_matches("unit", patterns)).select("indicator")
-    sums = (F_flows.join(F.broadcast(keep), "indicator", "left_semi")
+    sums = (F_flows.join(broadcast_if_small(keep), "indicator", "left_semi")
             .groupBy(*LABEL).agg(F.sum("value").alias("value")))
     return (labels.select(*LABEL).join(sums, LABEL, "left")
             .select(*LABEL, F.coalesce(F.col("value"), F.lit(0.0)).alias("value")))
@@ -120,7 +121,7 @@ def production_history(x_by_year: DataFrame, wide: bool = False) -> DataFrame:
 def producers_in(flows: DataFrame, sectors: Sequence[str] | DataFrame) -> DataFrame:
     """Rows whose producer sector is listed."""
     if isinstance(sectors, DataFrame):
-        return flows.join(F.broadcast(sectors.select(F.col("sector").alias("producer_sector")).distinct()),
+        return flows.join(broadcast_if_small(sectors.select(F.col("sector").alias("producer_sector")).distinct()),
                           "producer_sector", "left_semi")
     return flows.where(F.col("producer_sector").isin(list(sectors)))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 
 LABEL = ["region", "sector"]
 HOME = ["home_region", "home_sector"]
@@ -39,7 +40,7 @@ def portfolio_breakdown(X: DataFrame, dx: DataFrame, positions: DataFrame, regio
     """Per asset: display region (D1), sector, weight, absolute and relative change."""
     names = regions.select("region", "name")
     return (positions.join(_x(X), LABEL).join(dx, ["scenario_id", *LABEL])
-            .join(F.broadcast(names), "region", "left")
+            .join(broadcast_if_small(names), "region", "left")
             .select("scenario_id", "portfolio_id", "region", F.coalesce("name", "region").alias("region_name"), "sector",
                     "weight", F.col("delta_x").alias("abs_change"), pct(F.col("delta_x"), F.col("x")).alias("rel_change")))
 
@@ -69,7 +70,7 @@ def top_impacts(dx: DataFrame, X: DataFrame, shocks: DataFrame, regions: DataFra
     w = Window.partitionBy("scenario_id").orderBy(key.desc(), "region", "sector")
     top = base.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     names = regions.select("region", F.col("name").alias("country"))
-    return (top.join(F.broadcast(names), "region", "left")
+    return (top.join(broadcast_if_small(names), "region", "left")
             .select("scenario_id", "rank", "region", "country", "sector", F.col("delta_x").alias("change"), "pct_change"))
 
 
@@ -83,7 +84,7 @@ def shock_history(history: DataFrame, X: DataFrame, shocks: DataFrame, strict: b
               .agg(F.sum("x").alias("base_output"), F.sum(F.col("x") * (1 - F.col("magnitude"))).alias("post_shock_output")))
     hist = (s.join(history.select(*LABEL, "year", F.col("value").alias("h")), LABEL)
             .groupBy("scenario_id", "year").agg(F.sum("h").alias("h")))
-    grid = levels.crossJoin(F.broadcast(years))  # every scenario over the history's years
+    grid = levels.crossJoin(broadcast_if_small(years))  # every scenario over the history's years
     out = (grid.join(hist, ["scenario_id", "year"], "left")
            .select("scenario_id", "year", F.coalesce("h", F.lit(0.0)).alias("history_output"), "base_output", "post_shock_output"))
     if strict:
@@ -235,7 +236,7 @@ def path_nodes(shocks: DataFrame, intermediaries: DataFrame, homes: DataFrame, r
     m = intermediaries.select("scenario_id", *LABEL, F.lit(2).alias("prio"))
     nodes = (s.unionByName(h).unionByName(m).groupBy("scenario_id", *LABEL).agg(F.min("prio").alias("prio")))
     names = regions.select("region", "name")
-    return (nodes.join(F.broadcast(names), "region", "left")
+    return (nodes.join(broadcast_if_small(names), "region", "left")
             .select("scenario_id", *LABEL,
                     F.when(F.col("prio") == 0, "shock").when(F.col("prio") == 1, "home").otherwise("intermediate").alias("role"),
                     F.concat_ws(" - ", F.coalesce("name", "region"), "sector").alias("display_name")))
@@ -249,8 +250,8 @@ def headline(specs: DataFrame, shocks: DataFrame, change: DataFrame, regions: Da
     n = shocks.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n_shocks"))
     gnames = groups.select(F.col("group_name").alias("g")).distinct()
     names = regions.select(F.col("region").alias("r"), "name")
-    lab = (specs.join(F.broadcast(gnames), F.col("region_spec") == F.col("g"), "left")
-           .join(F.broadcast(names), F.col("region_spec") == F.col("r"), "left")
+    lab = (specs.join(broadcast_if_small(gnames), F.col("region_spec") == F.col("g"), "left")
+           .join(broadcast_if_small(names), F.col("region_spec") == F.col("r"), "left")
            .select("scenario_id",
                    F.when(F.col("region_spec") == "All", "All Regions")
                    .when(F.col("g").isNotNull(), F.col("g"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 LABEL = ["region", "sector"]
 SHOCKS = "scenario_id string, region string, sector string, magnitude double"
 PORTFOLIO = "portfolio_id string, region string, sector string, weight double"
@@ -24,7 +26,7 @@ FULL_WEIGHT = 100.0
 def valid_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """Group members limited to regions present; an emptied group disappears."""
     present = labels.select("region").distinct()
-    return groups.join(F.broadcast(present), "region", "left_semi").select("group_name", "region")
+    return groups.join(present, "region", "left_semi").select("group_name", "region")
 
 
 def expand_region(specs: DataFrame, labels: DataFrame, groups: DataFrame,
@@ -35,11 +37,11 @@ def expand_region(specs: DataFrame, labels: DataFrame, groups: DataFrame,
     regions = labels.select("region").distinct()
     vg = valid_groups(groups, labels)
     names = vg.select("group_name").distinct()
-    all_rows = specs.where(F.col(spec_col) == "All").drop("region").crossJoin(F.broadcast(regions))
+    all_rows = specs.where(F.col(spec_col) == "All").drop("region").crossJoin(broadcast_if_small(regions))
     grp_rows = (specs.where(F.col(spec_col) != "All").drop("region")
-                .join(F.broadcast(vg), F.col(spec_col) == F.col("group_name")).drop("group_name"))
+                .join(vg, F.col(spec_col) == F.col("group_name")).drop("group_name"))
     one_rows = (specs.where(F.col(spec_col) != "All")
-                .join(F.broadcast(names), F.col(spec_col) == F.col("group_name"), "left_anti")
+                .join(names, F.col(spec_col) == F.col("group_name"), "left_anti")
                 .withColumn("region", F.col(spec_col)))
     return all_rows.unionByName(grp_rows).unionByName(one_rows)
 
@@ -56,7 +58,7 @@ def service_shock(specs: DataFrame, materiality: DataFrame, labels: DataFrame,
     of the service in every region of the spec; labels absent from the economy are
     dropped (inner join to the labels)."""
     sectors = materiality.select("service", "sector")
-    with_sectors = specs.join(F.broadcast(sectors), "service")
+    with_sectors = specs.join(sectors, "service")
     expanded = expand_region(with_sectors, labels, groups)
     return (expanded.join(labels.select(*LABEL), LABEL)
             .select("scenario_id", "region", "sector", (F.col("percent") / 100.0).alias("magnitude")))
@@ -144,7 +146,7 @@ def scenario_domain(shocks: DataFrame, labels: DataFrame, key: str | list[str] =
     """Every label for every scenario: the dense output domain of a scenario's
     vectors (size = scenarios × labels = the size of the result itself)."""
     keys = [key] if isinstance(key, str) else list(key)
-    return shocks.select(*keys).distinct().crossJoin(F.broadcast(labels.select(*LABEL)))
+    return shocks.select(*keys).distinct().crossJoin(broadcast_if_small(labels.select(*LABEL)))
 
 
 def partition_labels(labels: DataFrame, shocks: DataFrame) -> DataFrame:
