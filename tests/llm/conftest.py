@@ -24,7 +24,8 @@ HARD = [(1, "one two three four", "en", "a", 18, "x"), (2, None, None, None, Non
         (5, "word " * 60_000, "en", "b", 300_000, "z"), (6, "É à ñ ß 漢字 🙂 \x0b\x1c", "fr", "c", 10, None),
         (7, "one two three four", "en", "a", 18, "x"), (7, "another text with id seven", "en", "a", 26, "x"), (8, "123 456 !!", "xx", "c", 10, "")]
 HARD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `text.x` string"
-CLASHES = ("id", "fp", "word", "row", "length", "n", "key", "k1", "gone", "source_key", "range", "h", "t")
+CLASHES = ("id", "fp", "word", "row", "length", "n", "key", "k1", "gone", "source_key", "range", "h", "t", "__id", "__hash", "__text", "__s", "__salt", "__mix",
+           "kept", "code", "segments", "turns", "lines", "size")
 
 
 @pytest.fixture(scope="session")

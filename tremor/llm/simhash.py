@@ -293,13 +293,14 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = scratch.keep(found.groupBy("root").agg(F.min(rank).alias("first")).select("root", "first"), "first")
     kept = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.text_hash") == F.col("text_hash"))
     marked = found.join(first, "root").groupBy("id", "text_hash").agg(F.max(kept).alias("kept"), F.count("*").alias("rows"))
+    i, t, k = (free_name(docs, x) for x in ("id", "text_hash", "kept"))
     marked = scratch.keep(marked.where("not kept or rows > 1").select(
-        F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "kept"), "marked")
-    same = col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(col(text_col).cast("string")) == F.col("__hash"))
-    out = docs.join(marked.drop("kept"), same, "left_anti")
-    again = marked.where("kept")
+        F.col("id").alias(i), F.col("text_hash").alias(t), F.col("kept").alias(k)), "marked")
+    same = col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(col(text_col).cast("string")) == F.col(t))
+    out = docs.join(marked.drop(k), same, "left_anti")
+    again = marked.where(F.col(k))
     if not again.isEmpty():  # kept rows that are repeated: one each
-        repeated = docs.join(again.drop("kept"), same, "left_semi")
+        repeated = docs.join(again.drop(k), same, "left_semi")
         h = free_name(docs, "hash")
         out = out.unionByName(repeated.withColumn(h, F.xxhash64(col(text_col).cast("string"))).dropDuplicates([id_col, h]).drop(h))
     return out
