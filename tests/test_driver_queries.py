@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tremor.plans import catalog, oracle
+from tremor.plans import catalog, oracle, store
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -54,6 +54,28 @@ def test_matches_oracle(spark, con, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["shock_history", "shock_history_strict"])
+def test_history_of_every_region_counts(spark, con, name, monkeypatch):
+    """The reports sum the shocked labels over all lines, whatever the region; a label
+    without a line is a real gap, which drops its scenario from the strict report."""
+    shocks = [tuple(r) for r in store.scenarios(spark, SF).select("scenario_id", "region", "sector").collect()]
+    history = con.execute(oracle.with_(oracle.ECONOMY) + """
+        SELECT producer_region, producer_sector, year, CAST(SUM(v) AS DOUBLE) FROM lines GROUP BY ALL""").fetchall()
+    has = {h[:2] for h in history}
+    gaps = {s for s, *label in shocks if tuple(label) not in has}
+    assert ("two", "NATION_3", "FURNITURE") in shocks and "NATION_3" in {r for r, _ in has} and gaps
+    want = {(s, y): 0.0 for s in {s for s, *_ in shocks} - (gaps if name == "shock_history_strict" else set()) for y in {h[2] for h in history}}
+    for region, sector, year, value in history:
+        for s, *label in shocks:
+            if label == [region, sector] and (s, year) in want:
+                want[s, year] += value
+    read, report = [], catalog.reports.shock_history
+    monkeypatch.setattr(catalog.reports, "shock_history", lambda hist, *a: read.append(hist) or report(hist, *a))
+    got = {(r["scenario_id"], r["year"]): r["history_output"] for r in entry.queries()[name](spark, SF).collect()}
+    assert got == pytest.approx(want)
+    assert {tuple(r) for r in read[0].select("region", "sector", "year").collect()} == {h[:3] for h in history}
+
+
 def test_every_oracle_binds(con):
     """Every oracle statement parses and binds against the driver's views."""
     bad = {}

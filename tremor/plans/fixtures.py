@@ -82,7 +82,7 @@ SEARCH_QUANTILE = 0.95
 SEARCH_MAGNITUDE = 0.1
 # Default scenario (B5): quantile of large outputs.
 DEFAULT_QUANTILE = 0.9
-# A region whose history is left out of the history reports.
+# A region that the SQL of R7/R8 leaves out; the queries read the whole history.
 NO_HISTORY_REGION = "NATION_3"
 
 # Terms the SQL oracle sums (the engine sums until it has converged).
