@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tremor.plans import catalog, oracle, store
+from tremor.plans import catalog, fixtures, oracle, store
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -85,3 +85,11 @@ def test_every_oracle_binds(con):
         except Exception as e:  # noqa: BLE001
             bad[name] = str(e)[:200]
     assert not bad, bad
+
+
+def test_year_files_hold_every_year(spark, con):
+    want = con.execute(oracle.with_(oracle.ECONOMY) + """
+        SELECT producer_region, producer_sector, year, CAST(SUM(v) AS DOUBLE) FROM lines GROUP BY ALL""").fetchall()
+    got = entry.queries()["year_files_round_trip"](spark, SF).select("region", "sector", "year", "gross_output").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert {r["year"] for r in got} > set(fixtures.FILE_YEARS) and 2050 not in {r["year"] for r in got}

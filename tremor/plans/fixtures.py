@@ -73,7 +73,7 @@ REJECT_CASES = [
     ("r2", "NATION_3", "FURNITURE", 0.2), ("r3", "NATION_4", "MACHINERY", 1.7), ("r3", "NATION_5", "MACHINERY", -0.1),
     ("r3", "NATION_6", "MACHINERY", None), ("r4", "XX", "YY", 2.0), ("r5", "NATION_3", "FURNITURE", 1.0),
 ]
-# Years written as folders of their own in the file layout.
+# Years that the SQL of the file layout keeps; the query writes a folder for every year.
 FILE_YEARS = [1996, 1997, 1999]
 
 # Search (B3/B4): listed producer sectors, quantile, shock.
