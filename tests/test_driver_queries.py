@@ -93,3 +93,12 @@ def test_year_files_hold_every_year(spark, con):
     got = entry.queries()["year_files_round_trip"](spark, SF).select("region", "sector", "year", "gross_output").collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert {r["year"] for r in got} > set(fixtures.FILE_YEARS) and 2050 not in {r["year"] for r in got}
+
+
+def test_every_valid_portfolio_is_valued(spark, monkeypatch):
+    more = [("p5", "NATION_2", "BUILDING", 70.0), ("p5", "NATION_3", "FURNITURE", 30.0), ("p6", "NATION_2", "BUILDING", 90.0)]
+    listed = [(s, *p) for s in fixtures.SCENARIO_IDS for p in fixtures.PORTFOLIOS if p[0] in fixtures.VALUED_PORTFOLIOS]
+    assert sorted(tuple(r) for r in store.positions(spark).collect()) == sorted(listed)
+    monkeypatch.setattr(fixtures, "PORTFOLIOS", fixtures.PORTFOLIOS + more)
+    got = sorted(tuple(r) for r in store.positions(spark).collect())
+    assert got == sorted(listed + [(s, *p) for s in fixtures.SCENARIO_IDS for p in more[:2]])

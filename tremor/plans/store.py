@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import economy as econ
 from ..operators import materiality as mat
 from ..operators import linalg, propagate, search
-from ..operators.scenario import resolve_scenario
+from ..operators.scenario import resolve_scenario, validate_portfolio
 from ..session import cut_lineage, ensure_checkpoint_dir
 from . import driver_economy, fixtures, ratings_fixture
 
@@ -95,9 +95,13 @@ def portfolios(spark: SparkSession) -> DataFrame:
 
 
 def positions(spark: SparkSession) -> DataFrame:
-    """Valued portfolios against every scenario: (scenario_id, portfolio_id, region, sector, weight)."""
-    rows = [(s, *p) for s in fixtures.SCENARIO_IDS for p in fixtures.PORTFOLIOS if p[0] in fixtures.VALUED_PORTFOLIOS]
-    return spark.createDataFrame(rows, "scenario_id string, portfolio_id string, region string, sector string, weight double")
+    """Portfolios that pass the weight check (K7) against every scenario: (scenario_id,
+    portfolio_id, region, sector, weight)."""
+    held = portfolios(spark)
+    valid = validate_portfolio(held).where("is_valid")
+    ids = spark.createDataFrame([(s,) for s in fixtures.SCENARIO_IDS], "scenario_id string")
+    return (held.join(valid, "portfolio_id", "left_semi").crossJoin(F.broadcast(ids))
+            .select("scenario_id", "portfolio_id", *LABEL, "weight"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
