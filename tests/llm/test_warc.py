@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import os
 
 import pytest
@@ -94,6 +95,24 @@ def test_record_inside_a_bad_record_is_not_taken():
     assert read(bytes(outer) + PARTS[2]) == (["2"], [(0, len(outer))])
 
 
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("k", [0, 2, 4])
+@pytest.mark.parametrize("old, new", [
+    (b"sha1:", b"sha1:X"),                                  # wrong digest
+    (b"OK\r\nContent-Length: ", b"OK\r\nContent-Length# "),  # malformed HTTP header line
+    (b"\r\n\r\npayload", b"\r\n..payload"),                # unfinished HTTP header
+])
+def test_bad_record_in_a_whole_frame(packed, k, old, new):
+    """The frame of the bad record is the gap, wherever it lies in the file."""
+    parts = [p.replace(old, new, 1) if i == k else p for i, p in enumerate(PARTS)]
+    assert parts[k] != PARTS[k]
+    parts = [warc._gzip(p) for p in parts] if packed else parts
+    rows = list(itertools.islice(warc.salvage(b"".join(parts)), 20))
+    at = [sum(map(len, parts[:i])) for i in range(6)]
+    assert [(r["kind"], r["offset"], r["length"]) for r in rows] == [
+        ("gap" if i == k else "record", at[i], at[i + 1] - at[i]) for i in range(5)]
+
+
 def test_wrong_length_and_header():
     wrong = PARTS[1].replace(b"Content-Length: ", b"Content-Length: 9", 1)
     assert read(PARTS[0] + wrong + PARTS[2])[0] == ["0", "2"]

@@ -174,7 +174,10 @@ def _at(data: bytes, pos: int) -> tuple[int, dict | None]:
         end, content = _member(data, pos)
         if not content.strip(b"\r\n"):
             return end, None
-        stop, fields = _record(content, 0)
+        try:
+            stop, fields = _record(content, 0)
+        except ValueError as bad:  # its offsets are of the content; the member is framed by its own end
+            raise ValueError(str(bad.args[0]), end) from None
         if content[stop:].strip(b"\r\n"):
             raise ValueError("more than a record in a gzip member", end)
         return end, fields
