@@ -73,8 +73,6 @@ REJECT_CASES = [
     ("r2", "NATION_3", "FURNITURE", 0.2), ("r3", "NATION_4", "MACHINERY", 1.7), ("r3", "NATION_5", "MACHINERY", -0.1),
     ("r3", "NATION_6", "MACHINERY", None), ("r4", "XX", "YY", 2.0), ("r5", "NATION_3", "FURNITURE", 1.0),
 ]
-# Years that the SQL of the file layout keeps; the query writes a folder for every year.
-FILE_YEARS = [1996, 1997, 1999]
 
 # Search (B3/B4): listed producer sectors, quantile, shock.
 SEARCH_SECTORS = ["BUILDING", "FURNITURE"]
@@ -82,8 +80,6 @@ SEARCH_QUANTILE = 0.95
 SEARCH_MAGNITUDE = 0.1
 # Default scenario (B5): quantile of large outputs.
 DEFAULT_QUANTILE = 0.9
-# A region that the SQL of R7/R8 leaves out; the queries read the whole history.
-NO_HISTORY_REGION = "NATION_3"
 
 # Terms the SQL oracle sums (the engine sums until it has converged).
 ORACLE_TERMS = 120

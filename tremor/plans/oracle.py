@@ -487,8 +487,7 @@ FROM specs s LEFT JOIN regions g ON g.region = s.region_spec JOIN ns USING (scen
 def _history_sql(strict: bool) -> str:
     bad = """AND l.scenario_id NOT IN (SELECT s.scenario_id FROM shocks s
              WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.region = s.region AND h.sector = s.sector))""" if strict else ""
-    return with_(*_base(), """hist AS (SELECT producer_region AS region, producer_sector AS sector, year, CAST(SUM(v) AS DOUBLE) AS value FROM lines
-      WHERE producer_region <> """ + _q(fixtures.NO_HISTORY_REGION) + " GROUP BY ALL)",
+    return with_(*_base(), """hist AS (SELECT producer_region AS region, producer_sector AS sector, year, CAST(SUM(v) AS DOUBLE) AS value FROM lines GROUP BY ALL)""",
                  "years AS (SELECT DISTINCT year FROM hist)",
                  """lev AS (SELECT s.scenario_id, SUM(CAST(x.value AS DECIMAL(38,4))) AS base_output,
            SUM(CAST(x.value AS DECIMAL(38,4)) * (1 - s.magnitude)) AS post_shock_output
@@ -846,8 +845,8 @@ FROM inv_sum WHERE value <> 0"""
 SQL["leontief_inverse"] = _inverse_sql("A_row", False)
 SQL["ghosh_inverse"] = _inverse_sql("B_col", True)
 
-SQL["year_files_round_trip"] = with_(ECONOMY, f"""h AS (SELECT producer_region AS region, producer_sector AS sector, year, CAST(SUM(v) AS DOUBLE) AS gross_output
-      FROM lines WHERE year IN ({', '.join(map(str, fixtures.FILE_YEARS))}) GROUP BY ALL)""") + """
+SQL["year_files_round_trip"] = with_(ECONOMY, """h AS (SELECT producer_region AS region, producer_sector AS sector, year, CAST(SUM(v) AS DOUBLE) AS gross_output
+      FROM lines GROUP BY ALL)""") + """
 SELECT region, sector, year, gross_output FROM h"""
 
 SQL["label_catalog"] = with_(ECONOMY, """seen AS (SELECT producer_region AS region, producer_sector AS sector FROM Z
