@@ -6,7 +6,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hamming, langid, lineruns, mixing, packing, repetition, sharding, simhash, warc
+from . import (chat, hamming, langid, licenses, lineruns, mixing, packing, repetition, resample, sharding, shallot, simhash,
+               warc)
 from .common import Scratch
 
 QUERIES: dict = {}
@@ -103,12 +104,55 @@ def op10_mixing(spark, d):
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "source", "epoch", "block", "place")
 
 
+@query
+def op11_shallot(spark, d):
+    """Cluster and squared distance of every vector, with the inertias and its centroid."""
+    rows = shallot.cluster(table(spark, d, "embeddings")).rows
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query
+def op12_resampling(spark, d):
+    """Weight, score and rank of every document, drawn towards the benchmark texts."""
+    rows = resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return rows.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_licenses(spark, d):
+    """License phrases and verified license texts of every document."""
+    rows = licenses.scan(table(spark, d, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 @query
 def pipeline(spark, d):
     """The corpus pipeline over all documents."""
     return corpus_pipeline.run(spark, d)
 
 
+def _cluster_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Lloyd rounds by comparing every vector with every centroid."""
+    parts = [f"""kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+             FROM embeddings WHERE len(embedding) = {dims} AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM kept
+             QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        # Distance and centroid number as one integer, so ties go to the smaller number.
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT row, min(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(kept.v, c{r}.v)])::HUGEINT
+                     * {k} + c) AS best FROM kept CROSS JOIN c{r} GROUP BY row)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (SELECT best % {k} AS c, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n
+                         FROM a{r} JOIN kept USING (row), (SELECT unnest(range(1, {dims + 1})) AS i) GROUP BY ALL)""")
+            parts.append(f"""m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c)""")
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return "WITH " + ",\n".join(parts) + f"""
+        SELECT vec_id, (best % {k})::INTEGER AS cluster, (best // {k})::BIGINT AS distance,
+               (sum(best // {k}) OVER (PARTITION BY best % {k}))::BIGINT AS cluster_inertia,
+               (sum(best // {k}) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN kept USING (row) JOIN c{rounds} ON c = best % {k}"""
+
+
 SQL = {
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op3_warc": """
@@ -150,6 +194,7 @@ SQL = {
         SELECT query_id, vec_id, distance, rank FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM pairs)
         WHERE rank <= 10""",
+    "op11_shallot": _cluster_sql(),
     "op9_chat": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
