@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy: its threads can hang beside a forked JVM
+
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))

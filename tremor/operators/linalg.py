@@ -14,10 +14,13 @@ import math
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small, cut_lineage, ensure_checkpoint_dir
+from . import tiles
 
 PRODUCER = ("producer_region", "producer_sector")
 CONSUMER = ("consumer_region", "consumer_sector")
@@ -82,19 +85,10 @@ def vecmat(vector: DataFrame, matrix: DataFrame, keys: Sequence[str] = ()) -> Da
 
 
 def matmul(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``L · R`` on long tables: join left.consumer = right.producer, sum by the outer labels."""
-    joined = left.alias("l").join(
-        right.alias("r"),
-        (F.col("l.consumer_region") == F.col("r.producer_region"))
-        & (F.col("l.consumer_sector") == F.col("r.producer_sector")),
-    )
-    return (
-        joined.groupBy(F.col("l.producer_region").alias("producer_region"),
-                       F.col("l.producer_sector").alias("producer_sector"),
-                       F.col("r.consumer_region").alias("consumer_region"),
-                       F.col("r.consumer_sector").alias("consumer_sector"))
-        .agg(F.sum(F.col("l.value") * F.col("r.value")).alias("value"))
-    )
+    """``L · R`` of long tables by dense tiles (:mod:`tiles`): the non-zero cells."""
+    left, right = cut_lineage(left), cut_lineage(right)
+    grid = tiles.grid_of(cut_lineage(tiles.labels_of(left, right)))
+    return tiles.to_cells(tiles.multiply(tiles.to_tiles(left, grid), tiles.to_tiles(right, grid), grid), grid)
 
 
 def transpose(matrix: DataFrame) -> DataFrame:
@@ -136,7 +130,12 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int | None = None,
     is the same as using the sub-matrix ``M_nn``, but keeps one shared matrix for
     all runs.
 
-    The loop ends when, in every run, the bound of what is left out (last term times
+    If a norm of every system is below one (:func:`contracts`), the sum is found by Krylov
+    cycles, see :func:`_krylov`: never more rounds than the plain series needs to the same
+    residual, and a small part of them where it falls slowly. Otherwise, and for partial
+    sums, the terms are summed.
+
+    The plain loop ends when, in every run, the bound of what is left out (last term times
     ``ρ / (1 − ρ)``, with ρ the rate at which terms fell since the check before) is at
     most ``tol`` of the largest sum. It raises :class:`NotConvergent` if terms stop
     falling or ``max_rounds`` is reached. With ``terms`` a caller asks for a partial sum:
@@ -188,6 +187,7 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int | None = None,
 
     m = systems.join(sb, "system")
     m = code(code(m, "src_region", "src_sector", "src"), "dst_region", "dst_sector", "dst")
+    krylov = terms is None and contracts(m)
     real = m.select("src", "dst", F.col("value").cast("double").alias("value"), F.lit(False).alias("carry"))
     ident = (real.select(F.col("src").alias("k")).union(real.select(F.col("dst").alias("k"))).distinct()
              .select(F.col("k").alias("src"), F.col("k").alias("dst"), F.lit(1.0).alias("value"), F.lit(True).alias("carry")))
@@ -213,7 +213,7 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int | None = None,
     first = seed_i.groupBy("run", "key").agg(F.sum("term").alias("term")).withColumn("acc", F.lit(0.0))
     table = None
     if n_step <= broadcast_rows:
-        step = lambda state: _round(state, F.broadcast(stepper))
+        step = lambda state, sums=None: _round(state, F.broadcast(stepper), sums)
     else:
         # The build side of a task's hash join: the matrix or the state, whichever has
         # fewer rows to a key; parts are added until it is of moderate size.
@@ -225,7 +225,7 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int | None = None,
         table = f"series_{uuid.uuid4().hex}"
         placed = _place(loop, stepper, fans, parts, table, f"{folder}/placed")
         first = first.join(loop.read.schema(fans.schema).parquet(f"{folder}/fans"), "key").select("run", "key", "term", "acc", "fan")
-        step = lambda state: _round_placed(state, placed, build)
+        step = lambda state, sums=None: _round_placed(state, placed, build, *([sums] if sums else []))
     mk = None
     if mask is not None:
         mk = broadcast_if_small(kept(encode_runs(mask).select("run", "key"), "mask"), broadcast_rows)
@@ -235,11 +235,18 @@ def series_solve(systems: DataFrame, seed: DataFrame, terms: int | None = None,
 
     state = apply_mask(kept(first, "state0"))
     try:
-        name, schema = _iterate(state, step, apply_mask, kept, tol, max_rounds, checkpoint_every, terms)
+        if krylov:
+            small = F.broadcast if n_runs <= broadcast_rows else (lambda df: df)
+            tables = _krylov(state, step, apply_mask, kept, tol, max_rounds, small)
+        else:
+            tables = [_iterate(state, step, apply_mask, kept, tol, max_rounds, checkpoint_every, terms)]
     finally:
         if table:
             loop.sql(f"DROP TABLE IF EXISTS {table}")
-    done = spark.read.schema(schema).parquet(f"{folder}/{name}")
+    done = None
+    for name, schema in tables:
+        part = spark.read.schema(schema).parquet(f"{folder}/{name}").select("run", "key", "term", "acc")
+        done = part if done is None else done.unionByName(part)
     out = (done.select("run", "key", (F.col("acc") + F.col("term")).alias("value"))
            .join(rb, "run")
            .withColumn("lab_id", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -271,12 +278,12 @@ def _sums() -> list[Column]:
             F.sum(F.when(F.col("m.carry"), F.col("s.acc") + F.col("s.term")).otherwise(0.0)).alias("acc")]
 
 
-def _round(state: DataFrame, m: DataFrame) -> DataFrame:
+def _round(state: DataFrame, m: DataFrame, sums: list[Column] | None = None) -> DataFrame:
     return (state.alias("s").join(m.alias("m"), F.col("s.key") == F.col("m.src"))
-            .groupBy(F.col("s.run").alias("run"), F.col("m.dst").alias("key")).agg(*_sums()))
+            .groupBy(F.col("s.run").alias("run"), F.col("m.dst").alias("key")).agg(*(sums or _sums())))
 
 
-def _round_placed(state: DataFrame, m: DataFrame, build: str) -> DataFrame:
+def _round_placed(state: DataFrame, m: DataFrame, build: str, sums: list[Column] | None = None) -> DataFrame:
     """A round on the placed matrix. Two exchanges: the state to the buckets (runs ×
     labels rows, times the fan of hubs) and the partial sums by (run, label)."""
     state = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
@@ -286,7 +293,99 @@ def _round_placed(state: DataFrame, m: DataFrame, build: str) -> DataFrame:
         state = state.hint("shuffle_hash")
     on = (F.col("s.key") == F.col("m.src")) & (F.col("s.salt") == F.col("m.salt"))
     return (state.alias("s").join(m.alias("m"), on)
-            .groupBy(F.col("s.run").alias("run"), F.col("m.dst").alias("key")).agg(*_sums(), F.max("m.dst_fan").alias("fan")))
+            .groupBy(F.col("s.run").alias("run"), F.col("m.dst").alias("key")).agg(*(sums or _sums()), F.max("m.dst_fan").alias("fan")))
+
+
+def contracts(coded: DataFrame) -> bool:
+    """Whether every system has a norm below one: its largest column sum or its largest
+    row sum of absolute values. Then so has every system with labels masked out, the
+    series converges, and ``I − M`` is regular. ``coded``: (sys_id, src, dst, value)."""
+    size = F.sum(F.abs(F.col("value").cast("double"))).alias("s")
+    sides = [coded.groupBy("sys_id", c).agg(size).groupBy("sys_id").agg(F.max("s").alias("s")) for c in ("src", "dst")]
+    worst = sides[0].unionByName(sides[1]).groupBy("sys_id").agg(F.min("s").alias("s")).agg(F.max("s")).first()[0]
+    return worst is None or worst < 1.0
+
+
+# Products of the residual in a Krylov cycle.
+BASIS = 6
+
+
+def _krylov(state, step, apply_mask, kept, tol, max_rounds, small):
+    """[(name, schema)] of tables that hold the solution ``acc + term`` of all runs.
+
+    A cycle multiplies the residual ``k0`` of each run ``BASIS`` times, ``k_j = Mʲ k0``, and
+    moves to the combination of ``k_0 … k_(BASIS−1)`` that leaves the smallest residual
+    (a restarted minimal residual method). The plain series is the combination with all
+    coefficients one, so a cycle never does worse than as many terms of it. A run's inner
+    products are one aggregation, its small least-squares problem one row; the update and
+    the new residual come from the same coefficients, so rounding in these does not
+    spoil the sum. Runs that are done leave when they are a quarter of all."""
+    K = [f"k{j}" for j in range(BASIS + 1)]
+    carry = lambda c: F.sum(F.when(F.col("m.carry"), F.col(f"s.{c}")).otherwise(0.0)).alias(c)
+    state = state.withColumnRenamed("term", "k0")
+    tables, rounds, cycle = [], 0, 0
+
+    def finish(part):
+        name = f"solved{cycle}"
+        part = kept(part.select("run", "key", F.col("k0").alias("term"), "acc"), name)
+        tables.append((name, part.schema))
+
+    while True:
+        for j in range(BASIS):
+            new = F.sum(F.when(~F.col("m.carry"), F.col(f"s.{K[j]}") * F.col("m.value")).otherwise(0.0)).alias(K[j + 1])
+            state = apply_mask(step(state, [carry("acc"), *map(carry, K[:j + 1]), new]))
+        rounds += BASIS
+        basis = kept(state, f"basis{cycle}")
+        weights = kept(_coefficients(basis), f"weights{cycle}")
+        c = [F.element_at("c", j + 1) for j in range(BASIS)]
+        acc = sum((c[j] * F.col(K[j]) for j in range(BASIS)), F.col("acc"))
+        left = sum((-c[j] * (F.col(K[j]) - F.col(K[j + 1])) for j in range(BASIS)), F.col("k0"))
+        fan = ["fan"] if "fan" in basis.columns else []
+        state = basis.join(small(weights), "run").select("run", "key", acc.alias("acc"), left.alias("k0"), *fan)
+        sizes = state.groupBy("run").agg(F.max(F.abs("k0")).alias("r"), F.max(F.abs(F.col("acc") + F.col("k0"))).alias("a"))
+        settled = kept(sizes.select("run", (F.col("r") <= F.lit(tol) * F.col("a")).alias("settled")), f"settled{cycle}")
+        n = settled.agg(F.count("*").alias("runs"), F.count_if("settled").alias("settled")).first()
+        if n["runs"] == n["settled"]:
+            finish(state)
+            return tables
+        if 4 * n["settled"] >= n["runs"]:
+            gone = small(settled.where("settled").select("run"))
+            finish(state.join(gone, "run", "left_semi"))
+            state = state.join(gone, "run", "left_anti")
+        if rounds >= max_rounds:
+            raise NotConvergent(f"no convergence to {tol:g} in {max_rounds} rounds")
+        cycle += 1
+
+
+def _coefficients(basis: DataFrame) -> DataFrame:
+    """(run, c): the least-squares coefficients of every run, from its inner products."""
+    diff = [F.col(f"k{j}") - F.col(f"k{j + 1}") for j in range(BASIS)]
+    products = [diff[i] * diff[j] for i in range(BASIS) for j in range(i, BASIS)] + [d * F.col("k0") for d in diff]
+    products += [F.col("k0") * F.col("k0"), F.col(f"k{BASIS}") * F.col(f"k{BASIS}")]
+    sums = basis.groupBy("run").agg(*[F.sum(p).alias(f"p{n}") for n, p in enumerate(products)])
+    sums = sums.select("run", F.array(*[f"p{n}" for n in range(len(products))]).alias("p"))
+
+    def solve(batches):
+        upper = np.triu_indices(BASIS)
+        for rows in batches:
+            out = []
+            for p in rows["p"]:
+                p = np.asarray(p, dtype=np.float64)
+                G = np.zeros((BASIS, BASIS))
+                G[upper] = p[:len(upper[0])]
+                G = G + np.triu(G, 1).T
+                g, start, series = p[len(upper[0]):-2], p[-2], p[-1]
+                scale = np.sqrt(np.diag(G))
+                scale[scale == 0] = 1.0
+                try:
+                    c = np.linalg.pinv(G / np.outer(scale, scale), rcond=1e-13, hermitian=True) @ (g / scale) / scale
+                    good = bool(np.isfinite(c).all()) and c @ G @ c - 2 * g @ c + start <= max(series, 1e-14 * start)
+                except np.linalg.LinAlgError:
+                    good = False
+                out.append((c if good else np.ones(BASIS)).tolist())  # ones: the terms of the series
+            yield pd.DataFrame({"run": rows["run"], "c": out})
+
+    return sums.mapInPandas(solve, "run long, c array<double>")
 
 
 def _iterate(state, step, apply_mask, kept, tol, max_rounds, every, terms):
@@ -325,51 +424,46 @@ def identity(labels: DataFrame) -> DataFrame:
                          F.lit(1.0).alias("value"))
 
 
-def _add(*ms: DataFrame) -> DataFrame:
-    out = ms[0]
-    for m in ms[1:]:
-        out = out.unionByName(m)
-    return out.groupBy(*PRODUCER, *CONSUMER).agg(F.sum("value").alias("value"))
-
-
 def power_series(matrix: DataFrame, labels: DataFrame, terms: int | None = None, tol: float = 1e-16,
-                 max_doublings: int = 24) -> DataFrame:
+                 max_doublings: int = 24, tile: int = tiles.TILE) -> DataFrame:
     """Full ``Σ_k Mᵏ`` (M8/M9: Leontief or Ghosh inverse) by binary doubling,
     ``S_2n = S_n + Mⁿ·S_n``: two matrix products double the number of terms.
 
     Doubling goes on until the norm of ``Mⁿ`` (largest absolute column sum) shows that
     the remainder is below ``tol``; :class:`NotConvergent` if the norm grows without
     bound or ``max_doublings`` do not suffice. ``terms`` sums exactly so many terms
-    (``S_n+1 = I + M·S_n`` for the odd steps). Each product is a join on the inner label
-    and a grouped sum; dense at most labels² cells, so this is for label counts where the
-    full inverse is wanted at all (reports need only the rows or columns of their homes)."""
-    eye = cut_lineage(identity(labels))
+    (``S_n+1 = I + M·S_n`` for the odd steps). All products run on dense tiles
+    (:mod:`tiles`) in groups of bounded size; cells are formed once, at the end."""
     m = cut_lineage(matrix.select(*PRODUCER, *CONSUMER, F.col("value").cast("double").alias("value")))
+    grid = tiles.grid_of(cut_lineage(tiles.labels_of(m).union(labels.select(*LABEL)).distinct()), tile)
+    eye = cut_lineage(tiles.to_tiles(identity(labels), grid))
+    m = cut_lineage(tiles.to_tiles(m, grid))
+    times = lambda a, b, plus=None: cut_lineage(tiles.multiply(a, b, grid, plus))
     if terms is None:
         s, p = eye, m  # S_n and Mⁿ
         for _ in range(max_doublings):
-            norm = column_sums(p.withColumn("value", F.abs("value"))).agg(F.max("value")).first()[0] or 0.0
+            norm = tiles.column_norm(p, grid)
             if not math.isfinite(norm) or norm > 1e12:
                 raise NotConvergent(f"the powers of the matrix grow (norm {norm:.3g})")
-            s = cut_lineage(_add(s, matmul(p, s)))
+            s = times(p, s, s)
             if norm <= 0.5 and norm * norm <= tol:  # the terms left out are at most norm² / (1 − norm) of S
-                return s
-            p = cut_lineage(matmul(p, p))
+                return tiles.to_cells(s, grid)
+            p = times(p, p)
         raise NotConvergent(f"no convergence to {tol:g} in {max_doublings} doublings")
     s, p, n = eye, m, 1
     bits = bin(terms)[3:]
     for i, bit in enumerate(bits):
         last = i == len(bits) - 1
-        s = cut_lineage(_add(s, matmul(p, s)))
+        s = times(p, s, s)
         if not (last and bit == "0"):  # Mⁿ is not needed after the final step
-            p = cut_lineage(matmul(p, p))
+            p = times(p, p)
         n *= 2
         if bit == "1":
-            s = cut_lineage(_add(eye, matmul(m, s)))
+            s = times(m, s, eye)
             if not last:
-                p = cut_lineage(matmul(p, m))
+                p = times(p, m)
             n += 1
-    return s
+    return tiles.to_cells(s, grid)
 
 
 def similarity_scale(matrix: DataFrame, x: DataFrame) -> DataFrame:
