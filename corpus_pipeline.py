@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.llm import langid, lineruns, mixing, packing, simhash
-from tremor.llm.common import Scratch
+from tremor.llm.common import Scratch, col, free_name
 
 # A score below this is no language: natural text of the learned languages scores 0.4
 # and more, even if it is short or half of it is markup.
@@ -22,17 +22,19 @@ MAX_REPEATS = 1.25
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or unlike every learned language, go."""
-    found = langid.identify(docs, carry=True)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    held, lang, score = (free_name(docs, x) for x in ("held_out", "lang_pred", "score"))
+    found = langid.identify(docs, carry=True, results=(held, lang, score))
+    return found.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*map(col, docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs are deleted; a document of which no word is
     left goes, and ``n_chars`` follows the text."""
-    out = lineruns.dedup_lines(docs, min_words=MIN_RUN_WORDS)
-    touched = F.size("deleted_lines") > 0
+    deleted = free_name(docs, "deleted_lines")
+    out = lineruns.dedup_lines(docs, min_words=MIN_RUN_WORDS, lines_name=deleted)
+    touched = F.size(deleted) > 0
     out = out.where(~touched | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return out.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*map(col, docs.columns))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,9 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources are read up to ``MAX_REPEATS`` times; no document is left out."""
-    return mixing.mix(docs, target_entropy=None, max_repeats=MAX_REPEATS).select(*docs.columns)
+    epoch, block, place = (free_name(docs, x) for x in ("epoch", "block", "place"))
+    mixed = mixing.mix(docs, target_entropy=None, max_repeats=MAX_REPEATS, epoch_name=epoch, order_names=(block, place))
+    return mixed.select(*map(col, docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,14 @@ def test_query_equals_brute_force(spark, sf):
     codes = {r["vec_id"]: int.from_bytes(np.packbits(np.array(r["embedding"]) > 0).tobytes(), "big") for r in df.collect()}
     asked = {i: c for i, c in codes.items() if i % 50 == 0}
     assert result(hamming.nearest_by_sign(df)) == brute(codes, asked, 10)
+
+
+def test_vectors_of_other_lengths(spark):
+    rng = np.random.default_rng(9)
+    for dims in (128, 40):
+        x = rng.normal(size=(60, dims))
+        rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(900, [1.0]), (950, None), (951, [])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        codes = {i: sum(int(v > 0) << k for k, v in enumerate(row)) for i, row in enumerate(x)}
+        asked = {i: c for i, c in codes.items() if i % 50 == 0}
+        assert result(hamming.nearest_by_sign(df, bits=8)) == brute(codes, asked, 10)

@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline as pipe
 from pyspark.sql import functions as F
 
-from tremor.llm import langid
+from tremor.llm import langid, queries
 
 from .test_langid import slow_predict, slow_profile
 from .test_lineruns import slow as slow_lines
@@ -61,3 +61,19 @@ def test_run_takes_hard_rows(spark, hard, empty, tmp_path):
         rows = pipe.run(spark, str(base)).collect()
         assert bool(rows) == (name == "hard")
     assert {r["doc_id"] for r in rows} == set()
+
+
+NAMES = ("slot", "shard", "deleted_lines", "epoch", "block", "place", "score", "held_out", "lang_pred", "Rank")
+
+
+def test_documents_with_the_names_of_results(spark, documents, tmp_path):
+    """Queries and stages take tables that have columns called like their results."""
+    few = documents.limit(60).select("*", *[F.lit("own").alias(n) for n in NAMES]).cache()
+    few.write.parquet(f"{tmp_path}/documents.parquet")
+    few.limit(3).select("text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("op2_sharding", "op6_line_dedup", "op10_mixing", "op12_resampling"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).count() >= 60, name
+    for name, stage in pipe.STAGES[:-1]:
+        out = stage(spark, few, str(tmp_path))
+        assert out.columns == few.columns, name
+        assert {tuple(r) for r in out.select(*NAMES).distinct().collect()} == {("own",) * len(NAMES)}, name

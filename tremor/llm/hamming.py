@@ -89,7 +89,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 16) ->
         if active.isEmpty():
             break
         mine = _segments(active.select("q", "limit", F.col("q").alias("code")), segments, bits).select(
-            "q", "limit", "segment", F.col("value").alias("own"))
+            "q", "limit", "segment", F.col("value").alias("own")).repartition("q", "segment")  # a row becomes very many probes
         if comb(bits, radius) <= per_segment:
             # All values at this radius from the own one.
             masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << bits) - 1).cast("long")), lambda x: F.bit_count(x) == radius)
@@ -134,9 +134,20 @@ def _type(df: DataFrame) -> str:
     return df.schema["id"].dataType.simpleString()
 
 
-def nearest_by_sign(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = 64,
+def common_length(vectors: DataFrame, vector_col: str) -> int:
+    """The most frequent length of the vectors (of equally frequent ones the largest), 0
+    if there is none."""
+    sizes = vectors.where(col(vector_col).isNotNull()).groupBy(F.size(col(vector_col)).alias("dims")).agg(F.count("*").alias("n"))
+    top = sizes.where("dims > 0").orderBy(F.desc("n"), F.desc("dims")).first()
+    return top["dims"] if top else 0
+
+
+def nearest_by_sign(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", dims: int | None = None,
                     k: int = 10, bits: int = 16, query: Column | None = None) -> DataFrame:
     """``search`` over the sign codes of a table of vectors; ``query`` selects the rows
-    to ask for (default: ids divisible by 50)."""
+    to ask for (default: ids divisible by 50). ``dims`` is the length of the vectors,
+    by default the one that most of them have; null vectors and vectors of another length
+    have no code and are neither found nor asked."""
+    dims = dims or common_length(vectors, vector_col) or WORD_BITS
     codes = vectors.select(col(id_col).alias("id"), sign_code(col(vector_col), dims).alias("code"))
     return search(codes, codes.where(F.col("id") % 50 == 0 if query is None else query), k, bits)

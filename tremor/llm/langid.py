@@ -131,9 +131,11 @@ class Classifier:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             size: int = 300, per_language: int = 3000, carry: bool = False) -> DataFrame:
+             size: int = 300, per_language: int = 3000, carry: bool = False,
+             results: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
     """Language of every whole text: the id column, ``held_out``, ``lang_pred``, ``score``;
-    with ``carry`` all columns of ``docs`` instead of the id column alone.
+    with ``carry`` all columns of ``docs`` instead of the id column alone. ``results``
+    names the three columns.
 
     Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so
     is everything if there is nothing to learn from; a null id is not held out; repeated
@@ -141,13 +143,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ignored, or with ``carry`` passed through, where one that is called like a result
     column is an error.
     """
-    results = ("held_out", "lang_pred", "score")
     names = docs.columns if carry else [id_col]
-    if clash := {c.lower() for c in names} & set(results):
-        raise ValueError(f"the documents already have {sorted(clash)}")
+    if clash := {c.lower() for c in names} & {r.lower() for r in results}:
+        raise ValueError(f"the documents already have {sorted(clash)}; choose other names")
     model = Classifier(learn(docs, id_col, text_col, lang_col, size, per_language), size)
     # Columns travel under plain names; the text once, also if it is carried.
-    plain = {c: f"c{k}" for k, c in enumerate(dict.fromkeys([*names, text_col]))}
+    plain = {c: f"c{k}" for k, c in enumerate(dict.fromkeys([*names, id_col, text_col]))}
     back = [plain[c] for c in names]
     rows = docs.select(*[col(c).cast("string").alias(p) if c == text_col else col(c).alias(p) for c, p in plain.items()])
 
@@ -162,4 +163,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in back)
     out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
-    return out.select(*[F.col(plain[c]).alias(c) for c in names], held_out(F.col(plain[id_col])).alias("held_out"), "lang_pred", "score")
+    return out.select(*[F.col(plain[c]).alias(c) for c in names], held_out(F.col(plain[id_col])).alias(results[0]),
+                      F.col("lang_pred").alias(results[1]), F.col("score").alias(results[2]))

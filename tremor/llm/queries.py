@@ -32,7 +32,7 @@ def op1_packing(spark, d):
 @query
 def op2_sharding(spark, d):
     """Slot and shard of every document."""
-    return sharding.shard(table(spark, d, "documents"), SHARDS).select("doc_id", "slot", "shard")
+    return sharding.shard(table(spark, d, "documents").select("doc_id", "text"), SHARDS).select("doc_id", "slot", "shard")
 
 
 @query
@@ -61,7 +61,7 @@ def op5_repetition(spark, d):
 @query
 def op6_line_dedup(spark, d):
     """Deleted lines of every document, and a digest of the text that is left."""
-    out = lineruns.dedup_lines(table(spark, d, "documents"))
+    out = lineruns.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.size("deleted_lines").cast("long").alias("n_deleted"),
                       F.array_join(F.col("deleted_lines").cast("array<string>"), ",").alias("deleted"),
                       F.md5(F.col("text")).alias("text_md5"))
@@ -101,7 +101,7 @@ def op9_chat(spark, d):
 @query
 def op10_mixing(spark, d):
     """Every reading of a document in the mix, with its place."""
-    return mixing.mix(table(spark, d, "documents")).select("doc_id", "source", "epoch", "block", "place")
+    return mixing.mix(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "epoch", "block", "place")
 
 
 @query

@@ -33,7 +33,8 @@ from .common import Scratch, col
 
 RUN = 3  # words of the longest feature
 DIGIT_BITS = 11
-BLOCK_ROWS = 1 << 17
+BLOCK_ROWS = 1 << 17   # the most rows of a block
+LEAST_ROWS = 256
 
 
 def features(text: str | None, buckets: int, size: int = asciiwords.PIECE) -> Iterator[tuple[int, np.ndarray]]:
@@ -152,6 +153,12 @@ def counting_pass(rows: DataFrame, key: str, shift: int, bits: int = DIGIT_BITS,
     return placed.withColumn("pos", F.col("offset") + F.col("among")).select(*rows.columns)
 
 
+def block_size(rows: int, tasks: int) -> int:
+    """Several blocks for each task of a shuffle, within the limits: rows that share a
+    digit then spread over all tasks."""
+    return max(LEAST_ROWS, min(BLOCK_ROWS, -(-rows // (4 * tasks))))
+
+
 def radix_sort(scratch: Scratch, rows: DataFrame, keys: Sequence[str], bits: int = DIGIT_BITS,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows(pos, …)`` with ``pos`` the position in ascending order of the long columns
@@ -197,7 +204,8 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     size = scored.where("part is not null").count()
     order = in_draw.select("*", F.bitwise_not("score").alias("down"), F.col("id").isNull().cast("long").alias("no_id"),
                            F.coalesce(F.col("id").cast("long"), F.lit(0).cast("long")).alias("id_key"))
-    done = radix_sort(scratch, scratch.keep(order, "numbered"), ["down", "no_id", "id_key"])
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = radix_sort(scratch, scratch.keep(order, "numbered"), ["down", "no_id", "id_key"], block_rows=block_size(size, tasks))
     drawn = size * percent // 100
     result = ["id", "n_features", "weight", "score"]
     ranked = done.select(*result, F.when(F.col("pos") < drawn, F.col("pos") + 1).cast("long").alias("rank"))
