@@ -45,6 +45,22 @@ def influence(eco: Economy, homes: DataFrame, method: str, tol: float = 1e-16) -
     return solved.select(*HOME, *LABEL, "value")
 
 
+def portfolio_seeds(portfolios: DataFrame, method: str) -> DataFrame:
+    """One seed per portfolio, ``Σ_assets w/100 · e_asset``, as runs of the loop."""
+    system, kind = INFLUENCE_SYSTEM[method]
+    weights = portfolios.groupBy("portfolio_id", *LABEL).agg((F.sum("weight") / 100.0).alias("value"))
+    return propagate._keyed(weights, system, f"portfolio {kind}", F.col("portfolio_id"))
+
+
+def portfolio_influence(eco: Economy, portfolios: DataFrame, method: str, tol: float = 1e-16) -> DataFrame:
+    """Influence of every label on each portfolio, ``(portfolio_id, region, sector,
+    value)``: the weighted sum of its assets' rows of L or columns of G. Both are
+    linear in the home, so the weighted assets are one seed and a portfolio is one run,
+    whatever the number of its assets (adjoint seeding)."""
+    solved = propagate.solve_runs(eco, portfolio_seeds(portfolios, method), None, [INFLUENCE_SYSTEM[method][0]], tol)
+    return solved.select(F.col("run_id").alias("portfolio_id"), *LABEL, "value")
+
+
 def _share(contribution: Column, keys: list[str]) -> Column:
     total = F.sum(contribution).over(Window.partitionBy(*keys))
     return F.when(total > 0, contribution / total * 100.0).otherwise(F.lit(0.0))
@@ -86,7 +102,8 @@ def attribute_portfolio(dx: DataFrame, shocks: DataFrame, positions: DataFrame,
     """T4: portfolio attribution. ``positions``: ``(scenario_id, portfolio_id, region,
     sector, weight)``. Total = Σ w/100·|Δx_asset|; cause contribution =
     Σ_assets w/100 · influence(asset, cause) · |Δx_cause|; the asset's own label is
-    kept; ``infl = None`` (no Leontief/Ghosh method) gives no causes."""
+    kept; ``infl = None`` (no Leontief/Ghosh method) gives no causes. ``infl`` is per
+    portfolio (:func:`portfolio_influence`), or per home label (:func:`influence`)."""
     pos = positions.select("scenario_id", "portfolio_id", F.col("region").alias("home_region"),
                            F.col("sector").alias("home_sector"), (F.col("weight") / 100.0).alias("w"))
     totals = (pos.join(dx.select("scenario_id", F.col("region").alias("home_region"), F.col("sector").alias("home_sector"), "delta_x"),
@@ -100,11 +117,17 @@ def attribute_portfolio(dx: DataFrame, shocks: DataFrame, positions: DataFrame,
     s_val = (shocks.select("scenario_id", *LABEL).distinct().join(dx, ["scenario_id", *LABEL])
              .select("scenario_id", F.col("region").alias("cause_region"), F.col("sector").alias("cause_sector"),
                      F.abs("delta_x").alias("shock_value")))
-    inf = infl.select(*HOME, F.col("region").alias("cause_region"), F.col("sector").alias("cause_sector"), F.col("value").alias("infl"))
-    contrib = (pos.join(s_val, "scenario_id")  # each asset with the shocks of its scenario
-               .join(inf, [*HOME, *CAUSE], "left")
-               .groupBy("scenario_id", "portfolio_id", *CAUSE)
-               .agg(F.sum(F.col("w") * F.coalesce("infl", F.lit(0.0)) * F.col("shock_value")).alias("contribution")))
+    cause = [F.col("region").alias("cause_region"), F.col("sector").alias("cause_sector"), F.col("value").alias("infl")]
+    if "portfolio_id" in infl.columns:
+        contrib = (totals.select("scenario_id", "portfolio_id").join(s_val, "scenario_id")
+                   .join(infl.select("portfolio_id", *cause), ["portfolio_id", *CAUSE], "left")
+                   .select("scenario_id", "portfolio_id", *CAUSE, (F.coalesce("infl", F.lit(0.0)) * F.col("shock_value")).alias("contribution")))
+    else:
+        inf = infl.select(*HOME, *cause)
+        contrib = (pos.join(s_val, "scenario_id")  # each asset with the shocks of its scenario
+                   .join(inf, [*HOME, *CAUSE], "left")
+                   .groupBy("scenario_id", "portfolio_id", *CAUSE)
+                   .agg(F.sum(F.col("w") * F.coalesce("infl", F.lit(0.0)) * F.col("shock_value")).alias("contribution")))
     return (contrib.join(totals, ["scenario_id", "portfolio_id"])
             .select("scenario_id", "portfolio_id", *CAUSE, "contribution",
                     _share(F.col("contribution"), ["scenario_id", "portfolio_id"]).alias("share_pct"), "total_impact"))

@@ -27,7 +27,8 @@ class Economy:
     (region, sector, year, value), extension flows ``F`` (indicator, region, sector,
     value) with ``units`` (indicator, unit), ``regions`` (region, name, iso3),
     ``groups`` (group_name, region) and final demand by category ``demand``
-    (region, sector, category, value).
+    (region, sector, category, value), and the flows of single years ``yearly``
+    (year, cell, value as exact decimals).
     """
 
     labels: DataFrame
@@ -42,6 +43,7 @@ class Economy:
     regions: DataFrame | None = None
     groups: DataFrame | None = None
     demand: DataFrame | None = None
+    yearly: DataFrame | None = None
 
 
 def _vec_on(df: DataFrame, side: Sequence[str], name: str) -> DataFrame:

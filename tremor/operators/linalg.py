@@ -46,10 +46,12 @@ def _side(orientation: str) -> tuple[tuple[str, str], tuple[str, str]]:
     raise ValueError(f"orientation must be 'row' or 'column', not {orientation!r}")
 
 
-def oriented(matrix: DataFrame, orientation: str, system: Column | str | None = None) -> DataFrame:
-    """Matrix as ``(system, src_region, src_sector, dst_region, dst_sector, value)``."""
+def oriented(matrix: DataFrame, orientation: str, system: Column | str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Matrix as ``(system, src_region, src_sector, dst_region, dst_sector, value)``, with
+    the columns ``by`` before these."""
     src, dst = _side(orientation)
     cols = [
+        *by,
         F.col(src[0]).alias("src_region"), F.col(src[1]).alias("src_sector"),
         F.col(dst[0]).alias("dst_region"), F.col(dst[1]).alias("dst_sector"),
         F.col("value").cast("double").alias("value"),
@@ -60,13 +62,14 @@ def oriented(matrix: DataFrame, orientation: str, system: Column | str | None =
 
 
 def product(matrix: DataFrame, vector: DataFrame, orientation: str,
-            keys: Sequence[str] = ()) -> DataFrame:
-    """One product of a (keyed) vector with a matrix; zero results are dropped."""
-    m = oriented(matrix, orientation)
-    joined = vector.alias("v").join(
-        m.alias("m"),
-        (F.col("v.region") == F.col("m.src_region")) & (F.col("v.sector") == F.col("m.src_sector")),
-    )
+            keys: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """One product of a (keyed) vector with a matrix; zero results are dropped. ``by``
+    names keys that the matrix has too, such as the year."""
+    m = oriented(matrix, orientation, by=by)
+    on = (F.col("v.region") == F.col("m.src_region")) & (F.col("v.sector") == F.col("m.src_sector"))
+    for key in by:
+        on = on & (F.col(f"v.{key}") == F.col(f"m.{key}"))
+    joined = vector.alias("v").join(m.alias("m"), on)
     return (
         joined.groupBy(*[F.col(f"v.{k}").alias(k) for k in keys],
                        F.col("m.dst_region").alias("region"), F.col("m.dst_sector").alias("sector"))

@@ -19,9 +19,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import linalg
 from .economy import Economy
 from .scenario import scenario_domain, shock_levels, validate_shocks
@@ -141,6 +144,82 @@ def impacts(eco: Economy, shocks: DataFrame, methods: Iterable[str], tol: float
     return assemble_impacts(eco, shocks, solved, methods)
 
 
+# The largest shocked set whose system is solved as one dense block.
+MAX_BLOCK = 1000
+
+
+def stored_impacts(eco: Economy, shocks: DataFrame, methods: Iterable[str], L: DataFrame | None = None,
+                   G: DataFrame | None = None, max_block: int = MAX_BLOCK, tol: float = 1e-16) -> DataFrame:
+    """The mixed models from a stored inverse, without a loop: ``(method, scenario_id,
+    region, sector, delta_x)``, as :func:`impacts` gives it.
+
+    With M the shocked set and N the rest, ``(I − A_nn)⁻¹ = L_nn − L_nm L_mm⁻¹ L_mn``, so a
+    scenario takes one dense solve of its |M|×|M| block and a product with rows or
+    columns of the inverse: ``Δx_nᵀ = Δx_mᵀ G_mm⁻¹ G_mn`` (Ghosh), ``Δx_n = L_nm L_mm⁻¹
+    Δx_m`` (textbook), and, with ``u = L·(A_mnᵀ Δx_m)`` for the parity model,
+    ``Δx_n = u_n − L_nm L_mm⁻¹ (u_m + x_m)``. ``L`` serves the Leontief models, ``G`` Ghosh.
+
+    Scenarios whose shocked set is larger than ``max_block`` (a block is one group of at
+    most ``max_block²`` cells) go through the series."""
+    validate_shocks(shocks, eco.labels)
+    methods = list(methods)
+    shocks = cut_lineage(shocks.select("scenario_id", *LABEL, "magnitude"))
+    sizes = cut_lineage(shocks.groupBy("scenario_id").agg((F.count("*") <= max_block).alias("small")))
+    few, many = (shocks.join(sizes.where(F.col("small") == small).select("scenario_id"), "scenario_id", "left_semi") for small in (True, False))
+    out = None
+    if not few.isEmpty():
+        few = cut_lineage(few)
+        solved = None
+        for method in methods:
+            if method != "direct":
+                part = _from_inverse(eco, few, method, G if method == "ghosh" else L).withColumn("kind", F.lit(method))
+                solved = part if solved is None else solved.unionByName(part)
+        out = assemble_impacts(eco, few, solved, methods)
+    if not many.isEmpty():
+        rest = impacts(eco, cut_lineage(many), methods, tol)
+        out = rest if out is None else out.unionByName(rest)
+    return assemble_impacts(eco, shocks, None, ["direct"]).where(F.lit(False)) if out is None else out
+
+
+def _from_inverse(eco: Economy, shocks: DataFrame, method: str, inverse: DataFrame | None) -> DataFrame:
+    """Δx of the free labels, ``(run_id, region, sector, value)``."""
+    if inverse is None:
+        raise ValueError(f"the {method} model needs its stored inverse")
+    key = ["scenario_id"]
+    lv = shock_levels(eco.X, shocks)
+    order = Window.partitionBy("scenario_id").orderBy(*LABEL)  # at most a block of labels
+    members = cut_lineage(lv.select("scenario_id", *LABEL, "x", "delta_x", (F.row_number().over(order) - 1).alias("i")))
+    dx = members.select(*key, *LABEL, F.col("delta_x").alias("value"))
+    free = lambda v: v.join(members.select(*key, *LABEL), [*key, *LABEL], "left_anti")
+    right, u = members.select(*key, "i", F.col("delta_x").alias("value")), None
+    if method == "leontief":
+        u = cut_lineage(linalg.matvec(inverse, free(linalg.vecmat(dx, eco.A, key)), key))
+        right = (members.join(u.withColumnRenamed("value", "u"), [*key, *LABEL], "left")
+                 .select(*key, "i", (F.coalesce("u", F.lit(0.0)) + F.col("x")).alias("value")))
+    side = lambda prefix, name: members.select(*key, F.col("region").alias(f"{prefix}_region"), F.col("sector").alias(f"{prefix}_sector"),
+                                               F.col("i").alias(name))
+    block = (inverse.join(side("producer", "i"), ["producer_region", "producer_sector"])
+             .join(side("consumer", "j"), [*key, "consumer_region", "consumer_sector"]).select(*key, "i", "j", "value"))
+    rows = block.unionByName(right.select(*key, "i", F.lit(-1).alias("j"), "value"))
+    transposed = method == "ghosh"
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        cell = rows["j"] >= 0
+        n = int((~cell).sum())
+        m, b = np.zeros((n, n)), np.zeros(n)
+        m[rows["i"][cell], rows["j"][cell]] = rows["value"][cell]
+        b[rows["i"][~cell]] = rows["value"][~cell]
+        return pd.DataFrame({"scenario_id": key[0], "i": np.arange(n), "value": np.linalg.solve(m.T if transposed else m, b)})
+
+    y = (rows.groupBy(*key).applyInPandas(solve, "scenario_id string, i int, value double")
+         .join(members.select(*key, *LABEL, "i"), [*key, "i"]).select(*key, *LABEL, "value"))
+    y = cut_lineage(y)
+    moved = linalg.vecmat(y, inverse, key) if transposed else linalg.matvec(inverse, y, key)
+    if u is not None:
+        moved = (u.unionByName(moved.withColumn("value", -F.col("value"))).groupBy(*key, *LABEL).agg(F.sum("value").alias("value")))
+    return free(moved).select(F.col("scenario_id").alias("run_id"), *LABEL, "value")
+
+
 def leontief_impact(eco: Economy, shocks: DataFrame, variant: str = "parity", tol: float = 1e-16) -> DataFrame:
     """P1 / P1b."""
     return impact(eco, shocks, "leontief" if variant == "parity" else "textbook", tol)

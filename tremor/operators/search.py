@@ -97,6 +97,11 @@ def max_impact_scenario(eco: Economy, pairs: DataFrame, magnitude: float = 0.1,
     return scored.orderBy(F.col("impact").desc(), "shock_region", "shock_sector", "home_region", "home_sector").limit(1)
 
 
+def large_producers(eco: Economy, sectors: Sequence[str], q: float = 0.9) -> DataFrame:
+    """Producers of the listed sectors with output above their q-quantile."""
+    return above_quantile(eco.X.where(F.col("sector").isin(list(sectors))), "value", q).select(*LABEL)
+
+
 def default_scenario(eco: Economy, sectors: Sequence[str], excluded: DataFrame | Sequence[str],
                      q: float = 0.9, tries: int | None = None, L: DataFrame | None = None) -> DataFrame:
     """Among producers of the listed sectors with output above their q-quantile
@@ -106,7 +111,7 @@ def default_scenario(eco: Economy, sectors: Sequence[str], excluded: DataFrame |
     back to the first/second region and sector. The rows of L are those of the large
     producers, by a series seeded with them, unless ``L`` is at hand.
     ``(home_region, home_sector, shock_region, shock_sector, dependency)``."""
-    big_prod = above_quantile(eco.X.where(F.col("sector").isin(list(sectors))), "value", q).select(
+    big_prod = large_producers(eco, sectors, q).select(
         F.col("region").alias("producer_region"), F.col("sector").alias("producer_sector"))
     big_all = above_quantile(eco.X, "value", q).select(
         F.col("region").alias("consumer_region"), F.col("sector").alias("consumer_sector"))

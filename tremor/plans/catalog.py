@@ -18,6 +18,7 @@ from ..operators import linalg, reports, search
 from ..operators import materiality as mat
 from ..operators import scenario as scn
 from ..operators import propagate as prop
+from ..operators import years as years_op
 from . import fixtures, store
 
 LABEL = ["region", "sector"]
@@ -235,6 +236,31 @@ def leontief_textbook(spark, d):
     return _impact(spark, d, "textbook")
 
 
+def _stored(spark, d, method):
+    eco = store.economy(spark, d)
+    inverse = {"G": store.ghosh_inverse(spark, d)} if method == "ghosh" else {"L": store.leontief_inverse(spark, d)}
+    dx = prop.stored_impacts(eco, store.scenarios(spark, d), [method], **inverse)
+    return dx.select("scenario_id", *LABEL, money("delta_x"))
+
+
+@query
+def ghosh_impact_stored(spark, d):
+    """P2 from the stored inverse: the shocked block solved, one product, no loop."""
+    return _stored(spark, d, "ghosh")
+
+
+@query
+def leontief_impact_stored(spark, d):
+    """P1 from the stored inverse."""
+    return _stored(spark, d, "leontief")
+
+
+@query
+def leontief_textbook_stored(spark, d):
+    """P1b from the stored inverse."""
+    return _stored(spark, d, "textbook")
+
+
 @query
 def required_demand(spark, d):
     """Δy = (I − A)·Δx of the Leontief parity model."""
@@ -315,7 +341,7 @@ def home_attribution_direct(spark, d):
 def portfolio_attribution(spark, d):
     """T4, Ghosh, the valid portfolios against every scenario."""
     out = att.attribute_portfolio(store.dx(spark, d, "ghosh"), store.scenarios(spark, d), store.positions(spark),
-                                  store.influence(spark, d, "ghosh"))
+                                  store.portfolio_influence(spark, d))
     return out.select("scenario_id", "portfolio_id", "cause_region", "cause_sector", money("contribution"),
                       share("share_pct"), money("total_impact"))
 
@@ -677,7 +703,8 @@ def default_scenario(spark, d):
     sectors by L, regions without ISO3 excluded."""
     eco = store.economy(spark, d)
     excluded = eco.regions.where(F.col("iso3").isNull()).select("region")
-    out = search.default_scenario(eco, fixtures.SEARCH_SECTORS, excluded, fixtures.DEFAULT_QUANTILE)
+    out = search.default_scenario(eco, fixtures.SEARCH_SECTORS, excluded, fixtures.DEFAULT_QUANTILE,
+                                  L=store.large_producer_rows(spark, d))
     return out.select("home_region", "home_sector", "shock_region", "shock_sector", coef("dependency"))
 
 
@@ -688,6 +715,21 @@ def scenario_batch(spark, d):
     return s.select("method", "scenario_id", money("total_change"), money("largest_loss"), "labels_moved")
 
 
+@query
+def year_batch(spark, d):
+    """Every year × scenario × method side by side, from one loop."""
+    s = search.scenario_summary(store.year_impacts(spark, d), ["year", "method", "scenario_id"])
+    return s.select("year", "method", "scenario_id", money("total_change"), money("largest_loss"), "labels_moved")
+
+
+@query
+def year_home_impact(spark, d):
+    """R1 of every year, Ghosh."""
+    dx = store.year_impacts(spark, d).where("method = 'ghosh'")
+    h = years_op.home_impact_by_year(store.years(spark, d).X, dx, store.homes(spark))
+    return h.select("year", "scenario_id", *HOME, "before", money("delta_x"), money("after"), share("pct_change"))
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 def _fresh_folder(spark, name: str) -> str:

@@ -17,6 +17,7 @@ from ..operators.economy import Economy, allocation, coefficients
 from ..session import cut_lineage
 
 LABEL = ["region", "sector"]
+CELL = ["producer_region", "producer_sector", "consumer_region", "consumer_sector"]
 
 # Fixed values of the derived economy (stand-ins for the real data's dimensions).
 # Unit of each extension indicator, by return flag.
@@ -84,9 +85,8 @@ def build(spark: SparkSession, sf_dir: str) -> Economy:
     # Regions × sectors. Cut once: nearly every report uses the label domain.
     labels = cut_lineage(nat.select(F.col("n_name").alias("region")).crossJoin(seg.select("sector")))
 
-    z_dec = cut_lineage(named.where(F.col("l_returnflag") != "N")
-                        .groupBy("producer_region", "producer_sector", "consumer_region", "consumer_sector")
-                        .agg(F.sum("v").alias("zdec")))
+    yearly = cut_lineage(named.where(F.col("l_returnflag") != "N").groupBy("year", *CELL).agg(F.sum("v").alias("value")))
+    z_dec = cut_lineage(yearly.groupBy(*CELL).agg(F.sum("value").alias("zdec")))
     rows = z_dec.groupBy(F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector")).agg(F.sum("zdec").alias("rs"))
     cols = z_dec.groupBy(F.col("consumer_region").alias("region"), F.col("consumer_sector").alias("sector")).agg(F.sum("zdec").alias("cs"))
     zero = F.lit(0).cast("decimal(38,4)")
@@ -135,4 +135,16 @@ def build(spark: SparkSession, sf_dir: str) -> Economy:
     # groups are small plans over tiny files and stay uncut.
     return Economy(labels=labels, Z=Z, X=X, Y=Y, A=A, B=B,
                    history=cut_lineage(history), F=F_flows, units=units,
-                   regions=regions, groups=groups, demand=cut_lineage(lines_n.unionByName(balance)))
+                   regions=regions, groups=groups, demand=cut_lineage(lines_n.unionByName(balance)), yearly=yearly)
+
+
+def yearly_output(yearly: DataFrame, labels: DataFrame) -> DataFrame:
+    """X of every year, by the rule of the whole economy: twice the larger of row and
+    column sum, plus one. ``(year, region, sector, value)``, summed in decimals."""
+    side = lambda p, name: yearly.groupBy("year", F.col(f"{p}_region").alias("region"), F.col(f"{p}_sector").alias("sector")).agg(
+        F.sum("value").alias(name))
+    years = yearly.select("year").distinct()  # order years: a handful
+    zero = F.lit(0).cast("decimal(38,4)")
+    return (years.crossJoin(F.broadcast(labels.select(*LABEL)))
+            .join(side("producer", "rs"), ["year", *LABEL], "left").join(side("consumer", "cs"), ["year", *LABEL], "left")
+            .select("year", *LABEL, (F.greatest(F.coalesce("rs", zero), F.coalesce("cs", zero)) * 2 + 1).cast("double").alias("value")))

@@ -854,3 +854,53 @@ SQL["label_catalog"] = with_(ECONOMY, """seen AS (SELECT producer_region AS regi
 SELECT DISTINCT 'region' AS kind, region AS name, CAST(NULL AS VARCHAR) AS sector FROM seen
 UNION ALL SELECT DISTINCT 'sector', NULL, sector FROM seen
 UNION ALL SELECT 'label', region, sector FROM seen"""
+
+
+for _method in ("ghosh_impact", "leontief_impact", "leontief_textbook"):
+    SQL[f"{_method}_stored"] = SQL[_method]
+
+
+# The economies of single years as one: regions and scenarios carry their year, and flows
+# stay within a year.
+YEARS = """
+yz AS (SELECT year, producer_region, producer_sector, consumer_region, consumer_sector, SUM(v) AS z FROM lines WHERE rf <> 'N' GROUP BY ALL),
+yr AS (SELECT year, producer_region AS region, producer_sector AS sector, SUM(z) AS rs FROM yz GROUP BY ALL),
+yc AS (SELECT year, consumer_region AS region, consumer_sector AS sector, SUM(z) AS cs FROM yz GROUP BY ALL),
+yX AS (SELECT y.year || '#' || lb.region AS region, lb.sector,
+              CAST(2 * GREATEST(COALESCE(yr.rs, 0), COALESCE(yc.cs, 0)) + 1 AS DOUBLE) AS value
+       FROM (SELECT DISTINCT year FROM yz) y CROSS JOIN labels lb
+       LEFT JOIN yr ON yr.year = y.year AND yr.region = lb.region AND yr.sector = lb.sector
+       LEFT JOIN yc ON yc.year = y.year AND yc.region = lb.region AND yc.sector = lb.sector),
+ycells AS (SELECT year || '#' || producer_region AS producer_region, producer_sector, year || '#' || consumer_region AS consumer_region,
+                  consumer_sector, CAST(z AS DOUBLE) AS value FROM yz),
+yA AS (SELECT z.producer_region, z.producer_sector, z.consumer_region, z.consumer_sector, z.value / x.value AS value
+       FROM ycells z JOIN yX x ON z.consumer_region = x.region AND z.consumer_sector = x.sector),
+yB AS (SELECT z.producer_region, z.producer_sector, z.consumer_region, z.consumer_sector, z.value / x.value AS value
+       FROM ycells z JOIN yX x ON z.producer_region = x.region AND z.producer_sector = x.sector),
+yA_col AS (SELECT consumer_region AS src_region, consumer_sector AS src_sector, producer_region AS dst_region, producer_sector AS dst_sector, value FROM yA),
+yB_row AS (SELECT producer_region AS src_region, producer_sector AS src_sector, consumer_region AS dst_region, consumer_sector AS dst_sector, value FROM yB),
+ylevels AS (SELECT split_part(x.region, '#', 1) || '#' || s.scenario_id AS scenario_id, x.region, x.sector, x.value AS x,
+                   x.value * (1 - s.magnitude) - x.value AS delta_x
+            FROM shocks s JOIN yX x ON x.region LIKE '%#%' AND split_part(x.region, '#', 2) = s.region AND x.sector = s.sector),
+ydom AS (SELECT sc.scenario_id, x.region, x.sector FROM (SELECT DISTINCT scenario_id FROM ylevels) sc
+         JOIN yX x ON split_part(x.region, '#', 1) = split_part(sc.scenario_id, '#', 1))"""
+
+
+def _year_ctes(method: str) -> str:
+    body = impact_ctes(method, "ylevels", "ylevels", "ydom", f"ydx_{method}")
+    for name in ("A a", "B b", "A_col m", "B_row m"):
+        body = body.replace(f"JOIN {name} ON", f"JOIN y{name} ON")
+    return body
+
+
+_YEAR, _SCENARIO = "CAST(split_part(scenario_id, '#', 1) AS INTEGER)", "split_part(scenario_id, '#', 2)"
+SQL["year_batch"] = with_(ECONOMY, RATINGS, scenarios_cte(), YEARS, _year_ctes("ghosh"), _year_ctes("leontief")) + " UNION ALL ".join(
+    f"""SELECT {_YEAR} AS year, '{m}' AS method, {_SCENARIO} AS scenario_id, {R('SUM(delta_x)', 2)} AS total_change,
+        {R('MIN(delta_x)', 2)} AS largest_loss, COUNT(*) FILTER (WHERE abs(delta_x) > 0) AS labels_moved
+        FROM ydx_{m} GROUP BY scenario_id""" for m in ("ghosh", "leontief"))
+
+SQL["year_home_impact"] = with_(ECONOMY, RATINGS, scenarios_cte(), HOMES, YEARS, _year_ctes("ghosh")) + f"""
+SELECT CAST(split_part(d.scenario_id, '#', 1) AS INTEGER) AS year, h.scenario_id, h.home_region, h.home_sector, x.value AS before,
+       {R('d.delta_x', 2)} AS delta_x, {R('x.value + d.delta_x', 2)} AS after, {R(_pct('d.delta_x', 'x.value'), 6)} AS pct_change
+FROM ydx_ghosh d JOIN yX x USING (region, sector)
+JOIN homes h ON h.scenario_id = split_part(d.scenario_id, '#', 2) AND h.home_region = split_part(d.region, '#', 2) AND h.home_sector = d.sector"""

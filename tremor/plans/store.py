@@ -9,16 +9,20 @@ one plan, several reports off one Δx" design: the loop runs once for all of the
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import attribution as att
 from ..operators import economy as econ
 from ..operators import materiality as mat
 from ..operators import linalg, propagate, search
+from ..operators import years as years_op
 from ..operators.scenario import resolve_scenario, validate_portfolio
 from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources import io
 from . import driver_economy, fixtures, ratings_fixture
 
 _MEMO: dict = {}
@@ -121,7 +125,13 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         s_masks = s_masks.withColumn("kind", F.lit("search"))
         x_seed = propagate._keyed(eco.Y, "A_col", "x", "y")
         all_seeds = seeds.unionByName(s_seeds).unionByName(x_seed)
-        return cut_lineage(propagate.solve_runs(eco, all_seeds, masks.unionByName(s_masks), ["A_col", "B_row"]))
+        # Influences on the home, the portfolios and the large producers: runs like others.
+        home = homes(spark).select(F.col("home_region").alias("region"), F.col("home_sector").alias("sector")).distinct()
+        rows_of_L = home.unionByName(search.large_producers(eco, fixtures.SEARCH_SECTORS, fixtures.DEFAULT_QUANTILE)).distinct()
+        for more in (propagate.inverse_seeds(rows_of_L, "A_row", "L"), propagate.inverse_seeds(home, "B_col", "G"),
+                     att.portfolio_seeds(portfolios(spark), "ghosh")):
+            all_seeds = all_seeds.unionByName(more)
+        return cut_lineage(propagate.solve_runs(eco, all_seeds, masks.unionByName(s_masks)))
     return _memo(spark, sf_dir, "batch", build)
 
 
@@ -153,15 +163,43 @@ def ghosh_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def influence(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    """(home_region, home_sector, region, sector, value) for the homes and the portfolio
-    assets only: their rows of L, columns of G, or columns of A, by a home-seeded series."""
-    from ..operators import attribution as att
+    """(home_region, home_sector, region, sector, value): the home's row of L or column
+    of G out of the batch, or column of A."""
+    home = homes(spark).select("home_region", "home_sector").distinct()
+    if method not in att.INFLUENCE_SYSTEM:
+        return att.first_order_influence(economy(spark, sf_dir).A, home)
+    found = batch(spark, sf_dir).where(F.col("kind") == att.INFLUENCE_SYSTEM[method][1])
+    return found.join(F.broadcast(home), ["home_region", "home_sector"], "left_semi").select("home_region", "home_sector", *LABEL, "value")
 
+
+def portfolio_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(portfolio_id, region, sector, value), Ghosh, out of the batch."""
+    return batch(spark, sf_dir).where("kind = 'portfolio G'").select(F.col("run_id").alias("portfolio_id"), *LABEL, "value")
+
+
+def large_producer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of L of the large producers, long, out of the batch."""
+    return batch(spark, sf_dir).where("kind = 'L'").select(
+        F.col("home_region").alias("producer_region"), F.col("home_sector").alias("producer_sector"),
+        F.col("region").alias("consumer_region"), F.col("sector").alias("consumer_sector"), "value")
+
+
+def years(spark: SparkSession, sf_dir: str) -> years_op.YearEconomies:
+    """The economies of all order years, in year folders."""
     def build():
-        assets = portfolios(spark).select(F.col("region").alias("home_region"), F.col("sector").alias("home_sector"))
-        targets = homes(spark).select("home_region", "home_sector").unionByName(assets).distinct()
-        return cut_lineage(att.influence(economy(spark, sf_dir), targets, method))
-    return _memo(spark, sf_dir, f"influence-{method}", build)
+        eco = economy(spark, sf_dir)
+        X = cut_lineage(driver_economy.yearly_output(eco.yearly, eco.labels))
+        A, B = years_op.coefficients_by_year(eco.yearly.withColumn("value", F.col("value").cast("double")), X)
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/years-{uuid.uuid4().hex}"
+        for name, df in (("A", A), ("B", B), ("X", X)):
+            io.write_by_year(df, base, name)
+        return years_op.YearEconomies(eco.labels, *(io.read_years(spark, base, name) for name in "ABX"))
+    return _memo(spark, sf_dir, "years", build)
+
+
+def year_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo(spark, sf_dir, "year-impacts", lambda: cut_lineage(years_op.impacts_by_year(
+        years(spark, sf_dir), scenarios(spark, sf_dir), ["ghosh", "leontief"])))
 
 
 def search_dx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,8 +217,6 @@ def gross_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def causes(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     """T1-T3 causes of the home for every scenario (shared by the roll-up reports)."""
-    from ..operators import attribution as att
-
     def build():
         # The first-order shares explain the Ghosh Δx: the direct model moves shocked
         # labels only.
