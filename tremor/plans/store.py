@@ -193,7 +193,7 @@ def years(spark: SparkSession, sf_dir: str) -> years_op.YearEconomies:
         base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/years-{uuid.uuid4().hex}"
         for name, df in (("A", A), ("B", B), ("X", X)):
             io.write_by_year(df, base, name)
-        return years_op.YearEconomies(eco.labels, *(io.read_years(spark, base, name) for name in "ABX"))
+        return years_op.YearEconomies(eco.labels, *(spark.read.parquet(f"{base}/{name}").withColumn("year", F.col("year").cast("int")) for name in "ABX"))
     return _memo(spark, sf_dir, "years", build)
 
 
