@@ -10,16 +10,25 @@ frame). Wide files are turned long once at read time.
 from __future__ import annotations
 
 import ast
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import yaml_records
 
 LABEL = ["region", "sector"]
 CELL = ["producer_region", "producer_sector", "consumer_region", "consumer_sector"]
 # Wide files up to this many value columns are turned long with ``unpivot``; wider
-# ones go through an array and ``posexplode`` against a column dimension.
+# ones are read in slices of ``SLICE_COLUMNS`` columns, each a pruned scan of its own.
 UNPIVOT_MAX_COLUMNS = 500
+SLICE_COLUMNS = 256
+# Rows of a wide file laid out at a time (64 rows of 8,000 columns are 4 MB).
+WIDE_ROWS = 64
 # Separator of a flattened two-level column name when it is not a tuple literal.
 LABEL_SEPARATOR = "|"
 VECTOR_COLUMNS = {"GrossOutput": "X", "FinalDemand": "Y", "LandUse": "E"}
@@ -69,33 +78,89 @@ def label_column(region: str, sector: str) -> str:
     return f"{region}{LABEL_SEPARATOR}{sector}"
 
 
+def _slice_cells(wide: DataFrame, index: Sequence[str], cols: Sequence[str], first: int, drop_zeros: bool) -> DataFrame:
+    """(producer_region, producer_sector, pos, value) of the columns ``cols``, the first
+    of which has position ``first``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = np.empty((batch.num_rows, len(cols)))
+            for j in range(len(cols)):
+                block[:, j] = batch.column(j + 2).to_numpy(zero_copy_only=False)
+            missing = np.isnan(block)
+            if missing.any():  # only a null is a missing cell, a stored NaN stays
+                for j in np.flatnonzero(missing.any(axis=0)):
+                    missing[:, j] = batch.column(int(j) + 2).is_null().to_numpy(zero_copy_only=False)
+            row, at = np.nonzero(~missing & (block != 0) if drop_zeros else np.ones(block.shape, dtype=bool))
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at + first).astype(np.int32)),
+                 pa.array(block[row, at], mask=missing[row, at])], names=["producer_region", "producer_sector", "pos", "value"])
+
+    part = wide.select(F.col(f"`{index[0]}`").cast("string").alias("r"), F.col(f"`{index[1]}`").cast("string").alias("s"),
+                       *[F.col(_quoted(c)).cast("double").alias(f"c{j}") for j, c in enumerate(cols)])
+    return part.mapInArrow(run, "producer_region string, producer_sector string, pos int, value double")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def wide_to_long(wide: DataFrame, index: Sequence[str] = LABEL, drop_zeros: bool = True) -> DataFrame:
-    """Wide square matrix → long cells; zero (and null) cells dropped."""
+    """Wide square matrix → long cells; zero (and null) cells dropped.
+
+    A file of real width (some 8,000 columns) is read in slices: each slice is a scan
+    of its columns alone, whose Arrow columns become cells in numpy before they are rows,
+    so no task or projection ever holds a whole row and the slices run side by side."""
     spark = wide.sparkSession
     value_cols = [c for c in wide.columns if c not in index]
-    base = wide.select(F.col(index[0]).alias("producer_region"), F.col(index[1]).alias("producer_sector"),
-                       *[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(value_cols)])
     dim = spark.createDataFrame([(i, *parse_label(c)) for i, c in enumerate(value_cols)],
                                 "pos int, consumer_region string, consumer_sector string")
     if len(value_cols) <= UNPIVOT_MAX_COLUMNS:
+        base = wide.select(F.col(index[0]).alias("producer_region"), F.col(index[1]).alias("producer_sector"),
+                           *[F.col(_quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(value_cols)])
         long = base.unpivot(["producer_region", "producer_sector"], [f"c{i}" for i in range(len(value_cols))], "col", "value")
         long = long.withColumn("pos", F.substring("col", 2, 10).cast("int")).drop("col")
     else:
-        long = base.select("producer_region", "producer_sector",
-                           F.posexplode(F.array(*[f"c{i}" for i in range(len(value_cols))])).alias("pos", "value"))
-    out = long.join(F.broadcast(dim), "pos").select(*CELL, "value")
+        long = reduce(DataFrame.union, [
+            _slice_cells(wide, index, value_cols[lo:lo + SLICE_COLUMNS], lo, drop_zeros) for lo in range(0, len(value_cols), SLICE_COLUMNS)])
+    out = long.join(F.broadcast(dim), "pos").select(*CELL, "value")  # one row per column of the header
     return out.where(F.col("value").isNotNull() & (F.col("value") != 0)) if drop_zeros else out
 
 
-def long_to_wide(long: DataFrame, labels: DataFrame) -> DataFrame:
-    """Inverse of :func:`wide_to_long` (for writing a square file); the column list
-    comes from the label dimension, so the pivot does not scan the data for it."""
-    cols = [label_column(r.region, r.sector) for r in labels.select(*LABEL).orderBy(*LABEL).collect()]
-    keyed = long.withColumn("col", F.concat_ws(LABEL_SEPARATOR, "consumer_region", "consumer_sector"))
-    wide = (keyed.groupBy(F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"))
-            .pivot("col", cols).agg(F.first("value")))
-    full = labels.select(*LABEL).join(wide, LABEL, "left")
-    return full.fillna(0.0, subset=cols)
+def long_to_wide(long: DataFrame, labels: DataFrame, producers: DataFrame | None = None) -> DataFrame:
+    """Inverse of :func:`wide_to_long` (for writing a square file, or one with the rows of
+    ``producers`` alone, as rectangular tables have them). The labels name the
+    columns, so they reach the driver (some 8,000 in a real economy). Up to
+    ``UNPIVOT_MAX_COLUMNS`` columns are pivoted; beyond, each producer's cells are gathered
+    as (column, value) pairs, at most one per label, and laid out as Arrow columns."""
+    names = [(r.region, r.sector) for r in labels.select(*LABEL).distinct().orderBy(*LABEL).collect()]
+    cols = [label_column(*n) for n in names]
+    listed = (labels if producers is None else producers).select(*LABEL).distinct()
+    if len(cols) <= UNPIVOT_MAX_COLUMNS:
+        keyed = long.withColumn("col", F.concat_ws(LABEL_SEPARATOR, "consumer_region", "consumer_sector"))
+        wide = (keyed.groupBy(F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"))
+                .pivot("col", cols).agg(F.first("value")))
+        full = listed.join(wide, LABEL, "left")
+        return full.fillna(0.0, subset=cols)
+    dim = labels.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(names)], "pos int, consumer_region string, consumer_sector string")
+    rows = (long.join(F.broadcast(dim), ["consumer_region", "consumer_sector"])
+            .groupBy(F.col("producer_region").alias("region"), F.col("producer_sector").alias("sector"))
+            .agg(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("value"))).alias("cells")))
+    full = listed.join(rows, LABEL, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, WIDE_ROWS):
+                batch = whole.slice(lo, WIDE_ROWS)
+                cells = batch.column("cells")
+                sizes = cells.value_lengths().fill_null(0).to_numpy()
+                flat = cells.flatten()
+                block = np.zeros((len(cols), batch.num_rows))
+                block[flat.field("pos").to_numpy(), np.repeat(np.arange(batch.num_rows), sizes)] = flat.field("value").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in block]], names=[*LABEL, *cols])
+
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in LABEL] + [T.StructField(c, T.DoubleType()) for c in cols])
+    return full.mapInArrow(run, schema)
 
 
 def read_matrix(spark: SparkSession, path: str, year: int | None = None, wide: bool = False) -> DataFrame:
@@ -238,7 +303,18 @@ def read_materiality(spark: SparkSession, path: str) -> DataFrame | None:
     return df.select("service", F.explode("sectors").alias("sector"))
 
 
+def _is_yaml(path: str) -> bool:
+    return path.rstrip("/").endswith(yaml_records.SUFFIXES)
+
+
 def _read_records(spark: SparkSession, path: str, fields: Sequence[str], key: str, schema: str) -> DataFrame | None:
+    if _is_yaml(path):
+        # An uploaded file is one scenario or portfolio and need not name it: its own name does.
+        records, rejected = yaml_records.read(spark, path, schema, fields)
+        if not rejected.isEmpty():
+            return None
+        named = F.regexp_replace(F.element_at(F.split(yaml_records.FILE, "/"), -1), r"\.ya?ml$", "")
+        return records.withColumn(key, F.coalesce(key, named)).drop(yaml_records.FILE)
     fmt = "csv" if path.endswith(".csv") else "json"
     reader = spark.read.schema(schema)
     df = (reader.option("header", True).csv(path) if fmt == "csv"
@@ -249,26 +325,34 @@ def _read_records(spark: SparkSession, path: str, fields: Sequence[str], key: st
     return df
 
 
+def _write_records(df: DataFrame, path: str, fmt: str) -> None:
+    if _is_yaml(path):
+        yaml_records.write(df, path)
+    elif fmt == "csv":
+        df.write.mode("overwrite").option("header", True).csv(path)
+    else:
+        df.write.mode("overwrite").json(path)
+
+
 def read_scenarios(spark: SparkSession, path: str) -> DataFrame | None:
-    """Records ``scenario_id, region, sector, magnitude`` (percent); None if any
-    record lacks a required field."""
+    """Records ``scenario_id, region, sector, magnitude`` (percent), as JSON, CSV or
+    YAML by the end of the path; None if any record lacks a required field."""
     df = _read_records(spark, path, SHOCK_FIELDS, "scenario_id",
                        "scenario_id string, region string, sector string, magnitude double")
     return None if df is None else df.select("scenario_id", *LABEL, (F.col("magnitude") / 100.0).alias("magnitude"))
 
 
 def write_scenarios(shocks: DataFrame, path: str) -> None:
-    """Magnitudes written back in percent."""
-    (shocks.select("scenario_id", *LABEL, (F.col("magnitude") * 100.0).alias("magnitude"))
-     .write.mode("overwrite").json(path))
+    """Magnitudes written back in percent; YAML for a path that ends so, else JSON."""
+    _write_records(shocks.select("scenario_id", *LABEL, (F.col("magnitude") * 100.0).alias("magnitude")), path, "json")
 
 
 def read_portfolios(spark: SparkSession, path: str) -> DataFrame | None:
-    """Records ``portfolio_id, region, sector, weight`` (percent)."""
+    """Records ``portfolio_id, region, sector, weight`` (percent); formats as for scenarios."""
     return _read_records(spark, path, PORTFOLIO_FIELDS, "portfolio_id",
                          "portfolio_id string, region string, sector string, weight double")
 
 
 def write_portfolios(pf: DataFrame, path: str) -> None:
-    """S12."""
-    pf.select("portfolio_id", *LABEL, "weight").write.mode("overwrite").option("header", True).csv(path)
+    """YAML for a path that ends so, else CSV."""
+    _write_records(pf.select("portfolio_id", *LABEL, "weight"), path, "csv")
