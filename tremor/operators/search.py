@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, cut_lineage
 from . import attribution, propagate
 from .economy import Economy, cross_border_only, exclude_regions, flows_from_coefficients, producers_in
 
@@ -16,38 +17,100 @@ LABEL = ["region", "sector"]
 MIN_FLOW = 1e-9
 
 
-def order_statistic(df: DataFrame, col: str, k: int, most: int = 10_000, bins: int = 256) -> float:
-    """The k-th smallest value (from 0) of ``col``, exactly. The values are narrowed to
-    the histogram bin that holds it until at most ``most`` are left or all are equal;
-    only counts per bin, and at last these values, reach the driver."""
-    values = df.select(F.col(col).cast("double").alias("v"))
-    while True:
-        s = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        if s["lo"] == s["hi"]:
-            return s["lo"]
-        if s["n"] <= most:
-            return sorted(r["v"] for r in values.collect())[k]
-        at = F.least(F.floor((F.col("v") - s["lo"]) / (s["hi"] - s["lo"]) * bins), F.lit(bins - 1))
-        counts = sorted((r["b"], r["n"]) for r in values.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-        for b, n in counts:
-            if k < n:
-                values = values.where(at == b)
-                break
-            k -= n
+# Entries of the quantile sketch: splitters err by at most the 10,000th part of the rows.
+SKETCH = 10_000
+# Distinct values between two splitters that one group may sort.
+MOST_BETWEEN = 1_000_000
+
+
+def quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (), sketch: int = SKETCH,
+              most: int = MOST_BETWEEN) -> DataFrame:
+    """B2: exact linearly interpolated quantiles, all of ``qs`` in all groups of ``by`` at
+    once: ``(*by, q, value)``. Nulls do not count; a group without values has no row.
+
+    Two scans: a sketch per group names two splitters around each wanted rank; then the
+    values below the lower one are counted and those between them counted by value, and
+    the wanted ranks are read off the running counts. Groups too large for that (more than
+    ``most`` values between splitters) are narrowed by further sketches between the
+    splitters first, one scan each. A sketch only saves work: should a rank lie outside its
+    splitters, they are moved out to the ends of its group."""
+    values = df.select(*by, F.col(col).cast("double").alias("v")).where("v is not null")
+    keys = [*by, "q"]
+    # Splitters for the ranks of q: the sketch's error on both sides, twice over.
+    margin, wanted = 2.0 / sketch, sorted(set(map(float, qs)))
+    probes = [min(max(q + d, 0.0), 1.0) for q in wanted for d in (-margin, margin)]
+    ends = cut_lineage(values.groupBy(*by).agg(
+        F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("largest"),
+        F.percentile_approx("v", probes, sketch).alias("s")).where("n > 0"))
+    at = F.col("q") * (F.col("n") - 1)
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col("s")[2 * i].alias("lo"), F.col("s")[2 * i + 1].alias("hi"))
+                               for i, q in enumerate(wanted)]))
+    targets = (ends.withColumn("t", each).select(*by, "n", "least", "largest", "t.*")
+               .withColumn("low", F.floor(at)).withColumn("high", F.least(F.floor(at) + 1, F.col("n") - 1)).withColumn("part", at - F.floor(at)))
+    # At the ends of the scale, and where two ranks could straddle a splitter, the group's own.
+    targets = targets.withColumn("lo", F.when(F.col("q") <= margin, F.col("least")).otherwise(F.col("lo"))).withColumn(
+        "hi", F.when(F.col("q") >= 1 - margin, F.col("largest")).otherwise(F.col("hi")))
+    targets = _narrowed(values, cut_lineage(targets), by, sketch, most)
+    done, missed = _read_off(values, targets, by)
+    out = done
+    if not missed.isEmpty():
+        again, _ = _read_off(values, missed.withColumn("lo", F.col("least")).withColumn("hi", F.col("largest")), by)
+        out = out.unionByName(again)
+    return out.select(*keys, "value")
+
+
+def _within(values: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each value next to the targets of its group."""
+    small = broadcast_if_small(targets)
+    return values.join(small, [*by]) if by else values.crossJoin(small)  # without groups: one row per quantile
+
+
+def _narrowed(values: DataFrame, targets: DataFrame, by: Sequence[str], sketch: int, most: int) -> DataFrame:
+    """Targets whose splitters have at most ``most`` values between them, by the sketches'
+    error bound; a stretch of equal values is never too large."""
+    keys, size = [*by, "q"], F.col("n") * (6.0 / sketch)
+    targets = targets.withColumn("size", size)
+    while not targets.where((F.col("size") > most) & (F.col("lo") < F.col("hi"))).isEmpty():
+        large = targets.where((F.col("size") > most) & (F.col("lo") < F.col("hi")))
+        inside = _within(values, large.select(*keys, "lo", "hi"), by).where(F.col("v") <= F.col("hi"))
+        inner = F.when(F.col("v") >= F.col("lo"), F.col("v"))
+        found = inside.groupBy(*keys).agg(F.count(F.when(inner.isNull(), 1)).alias("below"), F.count(inner).alias("m"),
+                                          F.percentile_approx(inner, [i / 1000 for i in range(1001)], sketch).alias("s"))
+        share = lambda rank: (rank - F.col("below")) / F.greatest(F.col("m"), F.lit(1)) * 1000
+        step = 2000 / sketch + 1  # in thousandths: the error and the width of a step
+        pick = lambda i: F.element_at("s", F.least(F.greatest(i, F.lit(0)), F.lit(1000)).cast("int") + 1)
+        closer = (large.join(found, keys).where("m > 0")
+                  .withColumn("lo2", pick(F.floor(share(F.col("low")) - step))).withColumn("hi2", pick(F.ceil(share(F.col("high")) + step)))
+                  .select(*keys, F.greatest("lo", "lo2").alias("lo2"), F.least("hi", "hi2").alias("hi2"),
+                          (F.col("m") * (2 * step + 2) / 1000).alias("size2")))
+        targets = cut_lineage(targets.join(closer, keys, "left").select(
+            *[c for c in targets.columns if c not in ("lo", "hi", "size")], F.coalesce("lo2", "lo").alias("lo"),
+            F.coalesce("hi2", "hi").alias("hi"), F.when(F.col("size2") < F.col("size"), F.col("size2")).when(F.col("size") > most, F.lit(0.0))
+            .otherwise(F.col("size")).alias("size")))
+    return targets.drop("size")
+
+
+def _read_off(values: DataFrame, targets: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(targets with their ``value``, targets whose ranks lie outside their splitters)."""
+    keys = [*by, "q"]
+    counted = (_within(values, targets.select(*keys, "lo", "hi"), by).where(F.col("v") <= F.col("hi"))
+               .groupBy(*keys, F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("m")))
+    upto = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("upto", F.sum("m").over(upto)).join(broadcast_if_small(targets.select(*keys, "low", "high", "part")), keys)
+    a = F.min(F.struct(F.col("upto"), F.col("v").alias("at"))).alias("hit")
+    ends = []
+    for name in ("low", "high"):
+        ends.append(ranked.where(F.col("upto") > F.col(name)).groupBy(*keys).agg(a).select(*keys, F.col("hit.at").alias(name + "_v")))
+    both = cut_lineage(targets.join(ends[0], keys, "left").join(ends[1], keys, "left").withColumn(
+        "value", F.when(F.col("part") > 0, F.col("low_v") + (F.col("high_v") - F.col("low_v")) * F.col("part")).otherwise(F.col("low_v"))))
+    hit = F.col("low_v").isNotNull() & F.col("high_v").isNotNull()
+    return both.where(hit).select(*keys, "value"), both.where(~hit).select(*targets.columns)
 
 
 def quantile_threshold(df: DataFrame, col: str, q: float) -> float | None:
-    """B2: the exact linearly interpolated quantile, one scalar, from two neighbouring
-    order statistics; no task sees all values."""
-    values = df.where(F.col(col).isNotNull())
-    n = values.count()
-    if not n:
-        return None
-    at = q * (n - 1)
-    low = int(at)
-    a = order_statistic(values, col, low)
-    b = order_statistic(values, col, min(low + 1, n - 1)) if at > low else a
-    return a + (b - a) * (at - low)
+    """B2: the exact linearly interpolated quantile as one scalar; None without values."""
+    row = quantiles(df, col, [q]).first()
+    return None if row is None else row["value"]
 
 
 def above_quantile(df: DataFrame, col: str, q: float) -> DataFrame:

@@ -96,8 +96,8 @@ def _slice_cells(wide: DataFrame, index: Sequence[str], cols: Sequence[str], fir
                 [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at + first).astype(np.int32)),
                  pa.array(block[row, at], mask=missing[row, at])], names=["producer_region", "producer_sector", "pos", "value"])
 
-    part = wide.select(F.col(f"`{index[0]}`").cast("string").alias("r"), F.col(f"`{index[1]}`").cast("string").alias("s"),
-                       *[F.col(_quoted(c)).cast("double").alias(f"c{j}") for j, c in enumerate(cols)])
+    # As text: a Column object per column costs more than the scan.
+    part = wide.selectExpr(*[f"CAST({_quoted(c)} AS STRING)" for c in index], *[f"CAST({_quoted(c)} AS DOUBLE) AS c{j}" for j, c in enumerate(cols)])
     return part.mapInArrow(run, "producer_region string, producer_sector string, pos int, value double")
 
 
@@ -105,12 +105,14 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def wide_to_long(wide: DataFrame, index: Sequence[str] = LABEL, drop_zeros: bool = True) -> DataFrame:
+def wide_to_long(wide: DataFrame, index: Sequence[str] = LABEL, drop_zeros: bool = True, path: str | None = None) -> DataFrame:
     """Wide square matrix → long cells; zero (and null) cells dropped.
 
     A file of real width (some 8,000 columns) is read in slices: each slice is a scan
     of its columns alone, whose Arrow columns become cells in numpy before they are rows,
-    so no task or projection ever holds a whole row and the slices run side by side."""
+    so no task or projection ever holds a whole row and the slices run side by side.
+    With the ``path`` of the Parquet file at hand each slice is declared by its own
+    schema; otherwise every slice is planned from all columns (seconds a slice)."""
     spark = wide.sparkSession
     value_cols = [c for c in wide.columns if c not in index]
     dim = spark.createDataFrame([(i, *parse_label(c)) for i, c in enumerate(value_cols)],
@@ -121,8 +123,12 @@ def wide_to_long(wide: DataFrame, index: Sequence[str] = LABEL, drop_zeros: bool
         long = base.unpivot(["producer_region", "producer_sector"], [f"c{i}" for i in range(len(value_cols))], "col", "value")
         long = long.withColumn("pos", F.substring("col", 2, 10).cast("int")).drop("col")
     else:
-        long = reduce(DataFrame.union, [
-            _slice_cells(wide, index, value_cols[lo:lo + SLICE_COLUMNS], lo, drop_zeros) for lo in range(0, len(value_cols), SLICE_COLUMNS)])
+        types, slices = {f.name: f for f in wide.schema.fields}, []
+        for lo in range(0, len(value_cols), SLICE_COLUMNS):
+            cols = value_cols[lo:lo + SLICE_COLUMNS]
+            part = wide if path is None else spark.read.schema(T.StructType([types[c] for c in [*index, *cols]])).parquet(path)
+            slices.append(_slice_cells(part, index, cols, lo, drop_zeros))
+        long = reduce(DataFrame.union, slices)
     out = long.join(F.broadcast(dim), "pos").select(*CELL, "value")  # one row per column of the header
     return out.where(F.col("value").isNotNull() & (F.col("value") != 0)) if drop_zeros else out
 
@@ -167,7 +173,7 @@ def read_matrix(spark: SparkSession, path: str, year: int | None = None, wide: b
     """A matrix, long (partitioned by year) or wide."""
     df = spark.read.parquet(path)
     if wide:
-        return wide_to_long(df)
+        return wide_to_long(df, path=path)
     if year is not None and "year" in df.columns:
         df = df.where(F.col("year") == year)
     return df.select(*CELL, "value")
