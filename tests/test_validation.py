@@ -103,12 +103,9 @@ def test_quantile_by_bins_is_exact(spark, q):
     rng = np.random.default_rng(4)
     v = np.concatenate([rng.exponential(size=900) ** 4, np.zeros(300), np.full(50, 7.5), [1e12]])
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
-    whole = search.order_statistic
-    search.order_statistic = lambda d, c, k: whole(d, c, k, most=20, bins=8)
-    try:
-        assert search.quantile_threshold(df, "v", q) == pytest.approx(float(np.quantile(v, q)), rel=1e-12)
-    finally:
-        search.order_statistic = whole
+    for sketch, most in ((search.SKETCH, search.MOST_BETWEEN), (40, 20)):
+        got = search.quantiles(df, "v", [q], sketch=sketch, most=most).first()["value"]
+        assert got == pytest.approx(float(np.quantile(v, q)), rel=1e-12)
     assert search.quantile_threshold(df.limit(0), "v", q) is None
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lookup import with_region_name
 from ..session import broadcast_if_small
 
 LABEL = ["region", "sector"]
@@ -64,6 +65,29 @@ def service_shock(specs: DataFrame, materiality: DataFrame, labels: DataFrame,
             .select("scenario_id", "region", "sector", (F.col("percent") / 100.0).alias("magnitude")))
 
 
+def catalog_options(labels: DataFrame, regions: DataFrame, groups: DataFrame, services: DataFrame,
+                    preferred: str = "Pollination") -> DataFrame:
+    """Everything a user may choose from, ``(kind, value, label, is_default)``: regions by
+    name (the code where there is none), groups with a region of the economy, sectors, and
+    services, of which the preferred one is the default, else the first by name.
+
+    ``regions``: (region, name); ``services``: (service, ...), repeats allowed."""
+    def plain(kind: str, df: DataFrame, value: str, label: str | None = None) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(value).alias("value"), F.col(label or value).alias("label"),
+                         F.lit(False).alias("is_default"))
+
+    named = with_region_name(labels.select("region").distinct(), "region", regions)
+    svc = services.select("service").distinct()
+    # One row, joined without a key: the default is found where the services are.
+    first = svc.agg(F.coalesce(F.max(F.when(F.col("service") == preferred, F.col("service"))), F.min("service")).alias("chosen"))
+    listed = svc.crossJoin(F.broadcast(first)).select(
+        F.lit("service").alias("kind"), F.col("service").alias("value"), F.col("service").alias("label"),
+        (F.col("service") == F.col("chosen")).alias("is_default"))
+    return (plain("region", named, "region", "region_name")
+            .unionByName(plain("group", valid_groups(groups, labels).select("group_name").distinct(), "group_name"))
+            .unionByName(plain("sector", labels.select("sector").distinct(), "sector")).unionByName(listed))
+
+
 def custom_scenario(rows: DataFrame) -> DataFrame:
     """K4: ``(scenario_id, region, sector, percent)`` each with its own magnitude."""
     return rows.select("scenario_id", "region", "sector", (F.col("percent") / 100.0).alias("magnitude"))

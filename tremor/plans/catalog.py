@@ -618,19 +618,7 @@ def catalog_listing(spark, d):
     """Regions with names, groups, sectors, services; default service
     ``Pollination`` if present, else the first."""
     eco = store.economy(spark, d)
-    regs = lookup.with_region_name(eco.labels.select("region").distinct(), "region", eco.regions).select(
-        F.lit("region").alias("kind"), F.col("region").alias("value"), F.col("region_name").alias("label"))
-    grps = scn.valid_groups(eco.groups, eco.labels).select("group_name").distinct().select(
-        F.lit("group").alias("kind"), F.col("group_name").alias("value"), F.col("group_name").alias("label"))
-    secs = eco.labels.select("sector").distinct().select(F.lit("sector").alias("kind"), F.col("sector").alias("value"), F.col("sector").alias("label"))
-    svc = store.material(spark, d).select("service").distinct()
-    # The default service: Pollination if listed, else the first (two scalars).
-    top = svc.agg(F.min("service").alias("first"), F.max(F.when(F.col("service") == "Pollination", 1)).alias("has_p")).first()
-    default = "Pollination" if top["has_p"] == 1 else top["first"]
-    svcs = svc.select(F.lit("service").alias("kind"), F.col("service").alias("value"), F.col("service").alias("label"),
-                      (F.col("service") == F.lit(default)).alias("is_default"))
-    rest = regs.unionByName(grps).unionByName(secs).withColumn("is_default", F.lit(False))
-    return rest.unionByName(svcs)
+    return scn.catalog_options(eco.labels, eco.regions, eco.groups, store.material(spark, d))
 
 
 @query
@@ -820,3 +808,60 @@ def portfolio_round_trip(spark, d):
     io.write_portfolios(store.portfolios(spark), path)
     back = io.read_portfolios(spark, path)
     return back.join(eco.X, LABEL).select("portfolio_id", *LABEL, "weight", F.col("value").alias("x"))
+
+
+@query
+def history_round_trip(spark, d):
+    """The production history written with years as rows and with years as
+    columns; both files read back next to each other."""
+    from ..sources import io
+    eco = store.economy(spark, d)
+    base = _fresh_folder(spark, "history")
+    econ.production_history(eco.history).write.parquet(f"{base}/long")
+    econ.production_history(eco.history, wide=True).write.parquet(f"{base}/wide")
+    key = [*LABEL, "year"]
+    rows = io.read_history(spark, f"{base}/long").select(*key, F.col("value").alias("from_rows"))
+    cols = io.read_history(spark, f"{base}/wide").select(*key, F.col("value").alias("from_columns"))
+    return rows.join(cols, key, "full_outer")
+
+
+@query
+def ratings_joined_round_trip(spark, d):
+    """The joined ratings detail through CSV; every matched row read back."""
+    from ..sources import io
+    r, x = store.ratings_tables(spark, d)
+    joined, _ = mat.match_ratings(r, x, "all")
+    path = _fresh_folder(spark, "joined")
+    io.write_joined(joined, path)
+    back = io.read_ratings(spark, path)
+    return back.where("sector is not null").select("isic_section", "isic_division", "isic_group", "isic_class", "sector")
+
+
+@query
+def scenario_yaml_round_trip(spark, d):
+    """The scenario table as YAML records, valued at the economy's output."""
+    from ..sources import io
+    eco = store.economy(spark, d)
+    path = _fresh_folder(spark, "scenarios") + ".yaml"
+    io.write_scenarios(store.scenarios(spark, d), path)
+    back = io.read_scenarios(spark, path)
+    return back.join(eco.X, LABEL).select("scenario_id", *LABEL, coef("magnitude"), F.col("value").alias("x"))
+
+
+@query
+def portfolio_yaml_round_trip(spark, d):
+    """Portfolios as YAML records, valued at the economy's output."""
+    from ..sources import io
+    eco = store.economy(spark, d)
+    path = _fresh_folder(spark, "portfolios") + ".yaml"
+    io.write_portfolios(store.portfolios(spark), path)
+    back = io.read_portfolios(spark, path)
+    return back.join(eco.X, LABEL).select("portfolio_id", *LABEL, "weight", F.col("value").alias("x"))
+
+
+@query
+def flow_quantiles(spark, d):
+    """B2: quantiles of the flows of every producer region, all at once."""
+    eco = store.economy(spark, d)
+    out = search.quantiles(eco.Z, "value", fixtures.FLOW_QUANTILES, ["producer_region"])
+    return out.select("producer_region", "q", money("value"))

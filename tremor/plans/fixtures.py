@@ -88,3 +88,5 @@ TIGHT_ORACLE_TERMS = 700
 TIGHT_FACTOR = 1.1
 TOP_N = 100
 PATH_K = 5
+# Fractions of the flow quantiles.
+FLOW_QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]

@@ -904,3 +904,14 @@ SELECT CAST(split_part(d.scenario_id, '#', 1) AS INTEGER) AS year, h.scenario_id
        {R('d.delta_x', 2)} AS delta_x, {R('x.value + d.delta_x', 2)} AS after, {R(_pct('d.delta_x', 'x.value'), 6)} AS pct_change
 FROM ydx_ghosh d JOIN yX x USING (region, sector)
 JOIN homes h ON h.scenario_id = split_part(d.scenario_id, '#', 2) AND h.home_region = split_part(d.region, '#', 2) AND h.home_sector = d.sector"""
+
+
+SQL["scenario_yaml_round_trip"] = SQL["scenario_round_trip"]
+SQL["portfolio_yaml_round_trip"] = SQL["portfolio_round_trip"]
+SQL["ratings_joined_round_trip"] = SQL["ratings_match"]
+SQL["history_round_trip"] = with_(ECONOMY) + """
+SELECT producer_region AS region, producer_sector AS sector, year, CAST(SUM(v) AS DOUBLE) AS from_rows,
+       CAST(SUM(v) AS DOUBLE) AS from_columns FROM lines GROUP BY ALL"""
+SQL["flow_quantiles"] = with_(ECONOMY) + " UNION ALL ".join(f"""
+SELECT producer_region, CAST({q} AS DOUBLE) AS q, {R(f'quantile_cont(value, {q})', 2)} AS value FROM Z GROUP BY producer_region"""
+    for q in fixtures.FLOW_QUANTILES)
