@@ -2,6 +2,8 @@ import base64
 import hashlib
 import itertools
 import os
+import time
+import tracemalloc
 
 import pytest
 
@@ -124,3 +126,28 @@ def test_damaged_file_on_disk(spark, tmp_path):
     (tmp_path / "d" / "x.warc").write_bytes(PARTS[0] + b"???" + PARTS[1])
     rows = warc.read_archives(spark, str(tmp_path / "d")).collect()
     assert [r["kind"] for r in sorted(rows, key=lambda r: r["offset"])] == ["record", "gap", "record"]
+
+
+def test_search_after_failures_is_linear():
+    """Bad version lines, whole headers without a length, false gzip members: the good
+    records behind them come back, and eight times the damage costs about eight times as much."""
+    good = b"".join(record(k, b"x" * 20000) for k in range(100))
+    for bad in (b"WARC/1.1\r\n", b"xWARC/1.0\r\nno field\r\n", b"WARC/1.1\r\nWARC-Type: x\r\n\r\n", b"\x1f\x8b\x08junk"):
+        spent = []
+        for n in (2000, 16000):
+            t = time.perf_counter()
+            found = list(warc.salvage(bad * n + b"\r\n" + good))
+            spent.append(time.perf_counter() - t)
+            assert [r["kind"] for r in found] == ["gap"] + ["record"] * 100
+        assert spent[1] < 24 * spent[0] + 0.5 and spent[1] < 5
+
+
+def test_large_member_is_quarantined():
+    bomb, parts = warc._gzip(b"\0" * (8 << 20)), [warc._gzip(p) for p in PARTS]
+    tracemalloc.start()
+    rows = list(warc.salvage(parts[0] + bomb + parts[1], member_bytes=1 << 20))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["kind"] for r in rows] == ["record", "gap", "record"] and rows[1]["length"] == len(bomb)
+    assert "over" in rows[1]["reason"] and peak < 4 << 20
+    assert [r["kind"] for r in warc.salvage(parts[0] + bomb[:-9])] == ["record", "gap"]

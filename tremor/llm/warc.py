@@ -28,6 +28,10 @@ RECORD_SCHEMA = ("kind string, file string, offset long, length long, reason str
                  "target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary")
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
+MAGIC, BLANK = re.compile(re.escape(MEMBER)), re.compile(re.escape(END))
+# Compressed bytes read at a time, and the largest content of a member.
+STEP = 1 << 16
+MEMBER_BYTES = 256 << 20
 
 
 def base32_sha1(data: Column) -> Column:
@@ -101,9 +105,29 @@ def _gzip(data: bytes) -> bytes:
 
 # ---------------------------------------------------------------- the reader
 
-def _fields(head: bytes) -> dict[str, str]:
+class _Ahead:
+    """The next place of a pattern at or after a position that only grows: each byte of
+    the data is searched once, however many positions are asked for."""
+
+    def __init__(self, data: bytes, pattern: re.Pattern):
+        self.data, self.pattern, self.asked, self.found = data, pattern, 0, -1
+
+    def __call__(self, pos: int) -> int:
+        """Where it starts; the length of the data if it is not there."""
+        if pos < self.asked or self.found < pos:
+            hit = self.pattern.search(self.data, pos)
+            self.asked, self.found = pos, hit.start() if hit else len(self.data)
+        return self.found
+
+
+def _fields(data: bytes, at: int, end: int) -> dict[str, str]:
+    """Header fields of the lines after the first one in ``data[at:end]``."""
     out = {}
-    for line in head.split(b"\r\n")[1:]:
+    at = data.find(b"\r\n", at, end)
+    while at >= 0:
+        stop = data.find(b"\r\n", at + 2, end)
+        line = data[at + 2:end if stop < 0 else stop]
+        at = stop
         key, sep, value = line.partition(b":")
         if not sep:
             raise ValueError("malformed header line")
@@ -111,15 +135,16 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def _record(data: bytes, pos: int) -> tuple[int, dict]:
+def _record(data: bytes, pos: int, blank: _Ahead) -> tuple[int, dict]:
     """(end, fields) of the record at ``pos``; ValueError says which check failed. The
-    error's second argument, if any, is where the framing of the bad record ends."""
+    error's second argument, if any, is where the framing of the bad record ends.
+    ``blank`` finds the blank line that ends a header."""
     if not VERSION.match(data, pos):
         raise ValueError("no version line")
-    head_end = data.find(END, pos)
-    if head_end < 0:
+    head_end = blank(pos)
+    if head_end == len(data):
         raise ValueError("unfinished header")
-    fields = _fields(data[pos:head_end])
+    fields = _fields(data, pos, head_end)
     length = fields.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         raise ValueError("no content length")
@@ -140,7 +165,7 @@ def _record(data: bytes, pos: int) -> tuple[int, dict]:
             raise ValueError("unfinished http header", *([end] if framed else []))
         payload = memoryview(data)[cut + len(END):start + int(length)]
         try:
-            http = _fields(data[start:cut])
+            http = _fields(data, start, cut)
         except ValueError as bad:
             raise ValueError(str(bad), *([end] if framed else [])) from None
     digest = fields.get("warc-payload-digest", "")
@@ -155,39 +180,60 @@ def _record(data: bytes, pos: int) -> tuple[int, dict]:
         "payload_bytes": int(size) if size.isdigit() else None, "payload": None if kind == "revisit" else bytes(payload)}
 
 
-def _member(data: bytes, pos: int) -> tuple[int, bytes]:
-    """(end, content) of the gzip member at ``pos``; ValueError if it is damaged."""
-    unpack = zlib.decompressobj(31)
-    try:
-        content = unpack.decompress(memoryview(data)[pos:])
-    except zlib.error as bad:
-        raise ValueError(f"bad gzip member: {bad}") from None
-    if not unpack.eof:
-        raise ValueError("truncated gzip member")
-    return len(data) - len(unpack.unused_data), content
-
-
-def _at(data: bytes, pos: int) -> tuple[int, dict | None]:
+def _member(data: bytes, pos: int, most: int) -> tuple[int, bytes]:
+    """(end, content) of the gzip member at ``pos``; ValueError if it is damaged, or framed
+    by its end if the content has over ``most`` bytes. Inflated in steps, so that neither a
+    bomb nor the rest of the file is held."""
+    unpack, at, parts, size = zlib.decompressobj(31), pos, [], 0
+    view = memoryview(data)
+    while not unpack.eof:
+        step = unpack.unconsumed_tail
+        if not step:
+            if at >= len(data):
+                raise ValueError("truncated gzip member")
+            step = view[at:at + STEP]
+            at += len(step)
+        try:
+            part = unpack.decompress(step, STEP * 16)
+        except zlib.error as bad:
+            raise ValueError(f"bad gzip member: {bad}") from None
+        size += len(part)
+        if size <= most:
+            parts.append(part)
+        else:
+            parts.clear()
+    end = at - len(unpack.unused_data)
+    if size > most:
+        raise ValueError(f"gzip member of over {most} bytes", end)
+    return end, b"".join(parts)
+
+
+def _at(data: bytes, pos: int, blank: _Ahead, most: int) -> tuple[int, dict | None]:
     """(end, fields) of what starts at ``pos``: a plain record, or a gzip member with
     one record. Fields are None for a member of blank lines only."""
     if data.startswith(MEMBER, pos):
-        end, content = _member(data, pos)
+        end, content = _member(data, pos, most)
         if not content.strip(b"\r\n"):
             return end, None
         try:
-            stop, fields = _record(content, 0)
+            stop, fields = _record(content, 0, _Ahead(content, BLANK))
         except ValueError as bad:  # its offsets are of the content; the member is framed by its own end
             raise ValueError(str(bad.args[0]), end) from None
         if content[stop:].strip(b"\r\n"):
             raise ValueError("more than a record in a gzip member", end)
         return end, fields
-    return _record(data, pos)
+    return _record(data, pos, blank)
 
 
-def salvage(data: bytes) -> Iterator[dict]:
+def salvage(data: bytes, member_bytes: int = MEMBER_BYTES) -> Iterator[dict]:
     """Records and gaps of one archive, in order, as dicts of ``RECORD_SCHEMA`` without
-    the file. Every byte belongs to a record, a gap or blank lines between records."""
+    the file. Every byte belongs to a record, a gap or blank lines between records.
+
+    A gzip member whose content has over ``member_bytes`` bytes is quarantined. The search
+    after a failure keeps the next version line, member and blank line it has seen, so
+    damage costs time in proportion to the file, not to failures times the file."""
     pos, gap, reason = 0, None, ""
+    version, member, blank = _Ahead(data, VERSION), _Ahead(data, MAGIC), _Ahead(data, BLANK)
 
     def quarantined(end):
         return {"kind": "gap", "offset": gap, "length": end - gap, "reason": reason}
@@ -197,16 +243,14 @@ def salvage(data: bytes) -> Iterator[dict]:
             pos += 1
             continue
         try:
-            end, fields = _at(data, pos)
+            end, fields = _at(data, pos, blank, member_bytes)
         except ValueError as bad:
             if gap is None:
                 gap, reason = pos, str(bad.args[0])
             if len(bad.args) > 1:  # framed: what lies inside is not a record of its own
                 pos = bad.args[1]
             else:
-                after = VERSION.search(data, pos + 1)
-                later = [x for x in (after.start() if after else -1, data.find(MEMBER, pos + 1)) if x >= 0]
-                pos = min(later, default=len(data))
+                pos = min(version(pos + 1), member(pos + 1))
             continue
         if gap is not None:
             yield quarantined(pos)
