@@ -12,6 +12,25 @@ def inside(words, n):
     return {i + j for i in range(len(words) - n + 1) if grams[tuple(words[i:i + n])] > 1 for j in range(n)}
 
 
+def later(words, n):
+    """Positions inside n-grams that start at an earlier position too."""
+    seen, found = set(), set()
+    for i in range(len(words) - n + 1):
+        gram = tuple(words[i:i + n])
+        found |= set(range(i, i + n)) if gram in seen else set()
+        seen.add(gram)
+    return found
+
+
+def frame(lines):
+    """Positions of the words of the last copy of the opening lines, if it is short."""
+    sizes = [len(WORD.findall(x)) for x in lines]
+    at = max((j for j in range(1, len(lines)) if lines[j] == lines[0]), default=len(lines))
+    k = max((k for k in range(1, at + 1) if at + k <= len(lines) and lines[at:at + k] == lines[:k]), default=0)
+    found = range(sum(sizes[:at]), sum(sizes[:at + k]))
+    return set(found) if len(found) <= rep.FRAME_WORDS else set()
+
+
 def slow(text):
     text = text or ""
     w = WORD.findall(text)
@@ -25,7 +44,8 @@ def slow(text):
         seen.add(x)
     repeat = len(inside(w, 3))
     failed = len(w) < 50 or 100 * repeat > 50 * len(w)
-    bad = dup_chars > rep.LINE_LIMIT * max(chars, 1)
+    closing = frame(lines)
+    bad = dup_chars - sum(len(w[i]) for i in closing) > rep.LINE_LIMIT * max(chars, 1)
     for n, limit in rep.TOP_LIMITS.items():
         grams = Counter(tuple(w[i:i + n]) for i in range(len(w) - n + 1))
         top = max(grams.values(), default=0)
@@ -33,7 +53,7 @@ def slow(text):
             most = max(top * sum(map(len, g)) for g, c in grams.items() if c == top)
             bad |= most > limit * max(chars, 1)
     for n, limit in rep.DUP_LIMITS.items():
-        bad |= sum(len(w[i]) for i in inside(w, n)) > limit * max(chars, 1)
+        bad |= sum(len(w[i]) for i in later(w, n) if i not in closing) > limit * max(chars, 1)
     return (len(w), chars, len(re.findall(r"[#*$%&|<>]", text)), dup, repeat, dup_chars, failed, not failed and not bad)
 
 
@@ -60,6 +80,37 @@ def test_repeated_texts_are_rejected_and_clean_ones_kept(spark):
     assert got == {k: kept for k, _, kept in cases}
 
 
+def planted(share, first, n=400):
+    """``n`` words of which this share lies in later copies of passages of 12 to 25 words."""
+    words, copies = [f"u{first}x{k}" for k in range(n - round(share * n))], round(share * n)
+    out, at = list(words), 0
+    while copies:
+        use = min(copies, 25 if copies > 37 or copies <= 25 else copies - 12)
+        out += words[at:at + use]
+        copies -= use
+        at += use
+    return " ".join(out)
+
+
+def test_limits_act_at_the_stated_coverage(spark):
+    """Later copies of 5 % leave a text alone; 15, 25 and 35 % do not. The repeated base
+    windows stay under their own limit until 25 %, so the verdict is the method's."""
+    cases = [(1, planted(0.05, 1), True), (2, planted(0.15, 2), False), (3, planted(0.25, 3), False), (4, planted(0.35, 4), False)]
+    rows = {r["doc_id"]: r for r in rep.repetition(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")).collect()}
+    assert {k: rows[k]["kept"] for k in rows} == {k: kept for k, _, kept in cases}
+    assert [rows[k]["base_failed"] for k in (1, 2, 3)] == [False] * 3
+
+
+def test_short_frames_do_not_count(spark):
+    body = "\n".join(" ".join(f"v{k}x{j}" for j in range(12)) for k in range(5))
+    header = "home products about this site\ncontact us\n"
+    long = "\n".join(" ".join(f"h{k}x{j}" for j in range(9)) for k in range(3)) + "\n"
+    df = spark.createDataFrame([(1, header + body + "\n" + header), (2, long + body + "\n" + long),
+                                (3, header + body + "\n" + header * 4), (4, header + body + "\n" + header + "a last line")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in rep.repetition(df).collect()}
+    assert {k: (r["kept"], r["frame_chars"] > 0) for k, r in rows.items()} == {1: (True, True), 2: (False, False), 3: (False, True), 4: (True, True)}
+
+
 def test_hard_rows(hard, empty):
     rows = rep.repetition(hard).collect()
     want = sorted(str((r["doc_id"], *slow(r["text"]))) for r in hard.collect())

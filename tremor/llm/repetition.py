@@ -1,15 +1,17 @@
 """Repetition coverage: how much of a text lies in n-grams or lines that repeat.
 
 Word n-grams of several lengths are hashed with a rolling polynomial over word
-numbers, for all texts of a batch at once, and the characters inside duplicated
+numbers, for all texts of a batch at once, and the characters inside later copies of
 n-grams are counted once per text. A text is rejected if these characters, or those of
-repeated lines, exceed a share of its word characters.
+repeated lines, exceed a share of its word characters. A short frame, the last copy of the
+lines that open the text, does not count.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +21,19 @@ from pyspark.sql import functions as F
 from .common import col
 
 # Shares of the word characters, by n-gram length: the most frequent n-gram for short
-# ones, all duplicated n-grams (first copies included) for long ones; and for repeated
-# lines (first copies left out). The limits for long n-grams leave room for a clean
-# short text that opens and closes with the same boilerplate line.
+# ones, later copies of any n-gram for long ones; and for later copies of lines.
 TOP_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
-DUP_LIMITS = {5: 0.45, 6: 0.44, 7: 0.43, 8: 0.42, 9: 0.41, 10: 0.40}
-LINE_LIMIT = 0.30
+DUP_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+LINE_LIMIT = 0.15
+# One copy of the opening lines is boilerplate, up to this many words.
+FRAME_WORDS = 20
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WORD = re.compile("[^\x20\x09-\x0D]+")
 SYMBOL = re.compile("[#*$%&|<>]")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-          "dup_line_chars long, top_chars array<long>, dup_chars array<long>, base_failed boolean, kept boolean")
+          "dup_line_chars long, frame_chars long, top_chars array<long>, dup_chars array<long>, base_failed boolean, kept boolean")
 
 
 def _duplicates(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,6 +42,31 @@ def _duplicates(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, count[group]
 
 
+def _later(names: np.ndarray) -> np.ndarray:
+    """Which entries equal an earlier one."""
+    _, group = np.unique(names, return_inverse=True)
+    first = np.empty(len(names), dtype=np.int64)
+    at = np.arange(len(names))
+    first[group[::-1]] = at[::-1]  # of equal groups the smallest position is written last
+    return at != first[group]
+
+
+def _frame(lines: list[str]) -> tuple[int, int]:
+    """The last copy of the opening lines, all that follow alike: (words from its start
+    to the end of the text, its words); none if it has over ``FRAME_WORDS`` words."""
+    at = next((j for j in range(len(lines) - 1, 0, -1) if lines[j] == lines[0]), None)
+    if at is None:
+        return 0, 0
+    words = 0
+    for line, opening in zip(lines[at:], lines[:at]):
+        if line != opening:
+            break
+        words += sum(1 for _ in islice(WORD.finditer(line), FRAME_WORDS + 1))
+        if words > FRAME_WORDS:
+            return 0, 0
+    return sum(len(WORD.findall(line)) for line in lines[at:]), words
+
+
 def _covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
     """Which of ``total`` words lie in the windows of ``n`` words at ``starts``."""
     steps = np.zeros(total + 1, dtype=np.int64)
@@ -51,7 +78,7 @@ def _covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
 def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     """Counts per text; see the column names of ``SCHEMA``."""
     number: dict[str, int] = {}
-    ids, lengths, words_of, symbols, dup_lines, dup_line_chars = [], [], [], [], [], []
+    ids, lengths, words_of, symbols, dup_lines, dup_line_chars, frames = [], [], [], [], [], [], []
     for text in texts:
         text = text or ""
         words = WORD.findall(text)
@@ -60,12 +87,13 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
         words_of.append(len(words))
         symbols.append(len(SYMBOL.findall(text)))
         seen, again, chars = set(), 0, 0
-        for line in text.split("\n"):
-            if WORD.search(line):
-                if line in seen:
-                    again += 1
-                    chars += sum(map(len, WORD.findall(line)))
-                seen.add(line)
+        lines = [line for line in text.split("\n") if WORD.search(line)]
+        for line in lines:
+            if line in seen:
+                again += 1
+                chars += sum(map(len, WORD.findall(line)))
+            seen.add(line)
+        frames.append(_frame(lines))
         dup_lines.append(again)
         dup_line_chars.append(chars)
     n_words = np.array(words_of, dtype=np.int64)
@@ -76,6 +104,9 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     prefix = np.concatenate([[0], np.cumsum(chars)])
     word = np.array(ids, dtype=np.uint64)
     at = np.arange(total)
+    back, long = np.array(frames, dtype=np.int64).reshape(m, 2).T
+    since = at - (end_of - np.repeat(back, n_words))
+    frame = (since >= 0) & (since < np.repeat(long, n_words))
 
     def windows(n: int) -> np.ndarray:
         return np.flatnonzero(at + n <= end_of)
@@ -109,8 +140,9 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
         if not len(starts):
             (top if n in TOP_LIMITS else dup)[n] = np.zeros(m, dtype=np.int64)
             continue
-        group, count = _duplicates(hashed[starts] ^ own[starts])
+        names = hashed[starts] ^ own[starts]
         if n in TOP_LIMITS:
+            group, count = _duplicates(names)
             # Characters of the most frequent n-gram (the longest among the most frequent).
             span = prefix[starts + n] - prefix[starts]
             twice = count > 1
@@ -121,10 +153,11 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
             np.maximum.at(best, text_of[starts[lead]], count[lead] * span[lead])
             top[n] = best
         else:
-            dup[n] = per_text(_covered(starts[count > 1], n, total), chars)
+            dup[n] = per_text(_covered(starts[_later(names)], n, total) & ~frame, chars)
     return {"n_words": n_words, "word_chars": per_text(np.ones(total, dtype=bool), chars),
             "n_symbols": np.array(symbols, dtype=np.int64), "n_dup_lines": np.array(dup_lines, dtype=np.int64),
             "n_repeat_words": repeat, "dup_line_chars": np.array(dup_line_chars, dtype=np.int64),
+            "frame_chars": per_text(frame, chars),
             "top_chars": np.stack([top[n] for n in TOP_LIMITS], axis=1),
             "dup_chars": np.stack([dup[n] for n in DUP_LIMITS], axis=1)}
 
@@ -133,7 +166,7 @@ def verdict(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(base_failed, kept) from the counts."""
     failed = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEAT_PERCENT * x["n_words"])
     size = np.maximum(x["word_chars"], 1)
-    bad = x["dup_line_chars"] > LINE_LIMIT * size
+    bad = x["dup_line_chars"] - x["frame_chars"] > LINE_LIMIT * size
     for name, limits in (("top_chars", TOP_LIMITS), ("dup_chars", DUP_LIMITS)):
         for k, limit in enumerate(limits.values()):
             bad |= x[name][:, k] > limit * size
@@ -145,7 +178,9 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are measured in groups of about ``batch_chars`` characters; a longer text is
     a group of its own. ``top_chars`` and ``dup_chars`` follow the n-gram lengths of
-    ``TOP_LIMITS`` and ``DUP_LIMITS``.
+    ``TOP_LIMITS`` and ``DUP_LIMITS``; ``dup_chars`` counts words inside later copies (an
+    n-gram that starts earlier in the text too) outside the frame, ``frame_chars`` the
+    frame itself.
 
     Defined cases: a null, empty or blank text has zero words and fails the base
     checks; a null id stays null; repeated rows are measured each; an empty table gives
@@ -168,7 +203,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         x = measure(part.column(1).to_pylist())
         failed, kept = verdict(x)
         lists = [pa.array(list(x[n]), pa.list_(pa.int64())) for n in ("top_chars", "dup_chars")]
-        flat = [pa.array(x[n], pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars")]
+        flat = [pa.array(x[n], pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", "frame_chars")]
         names = [id_col, *(f.split()[0] for f in SCHEMA.split(", "))]
         return pa.RecordBatch.from_arrays([part.column(0), *flat, *lists, pa.array(failed), pa.array(kept)], names=names)
 
