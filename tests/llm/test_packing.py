@@ -94,3 +94,54 @@ def test_plan_stays_near_the_bound_and_beats_one_piece_each():
     plan = packing.plan(hist, 1024)
     used = int((plan["sequence"] + plan["count"]).max())
     assert used <= 1.01 * sum(k * n for k, n in hist.items()) / 1024
+
+
+def plain_best_fit(hist, cap):
+    """Sequences of best fit, longest first, one piece at a time."""
+    rooms = []
+    for k in sorted((k for k, n in hist.items() for _ in range(n)), reverse=True):
+        fits = [r for r in rooms if r >= k]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else cap) - k)
+    return len(rooms)
+
+
+def used(plan):
+    return int((plan["sequence"] + plan["count"]).max())
+
+
+def share_in_slots(plan, capacity=1024):
+    large = plan[plan["length"] >= capacity // 8]
+    return (large["count"] * large["in_slot"]).sum() / large["count"].sum()
+
+
+def test_all_documents_of_a_larger_table_go_through_configurations(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    pieces = packing.pieces(docs, "doc_id", "text", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 1024, 2, False)
+    hist = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    plan = packing.plan(hist, 1024)
+    assert used(plan) <= sum(r[0] for r in packing._best_fit([], dict(hist), 1024))  # 9,872; the bound is 9,871
+    assert share_in_slots(plan) >= 0.9
+
+
+@pytest.mark.parametrize("low, high, least", [(1, 1024, 300), (200, 500, 300), (300, 700, 100), (1, 200, 50), (500, 1024, 20)])
+def test_plans_against_plain_best_fit(low, high, least):
+    rng = random.Random(low)
+    hist = {k: rng.randint(1, 2 * least) // 20 for k in range(low, high + 1, 3)}
+    plan = packing.plan(hist, 1024)
+    assert used(plan) <= 1.01 * plain_best_fit(hist, 1024) + 1
+    assert high < 256 or share_in_slots(plan) >= 0.8
+
+
+def test_few_sizes_need_configurations():
+    """Four hard sizes: best fit opens far more sequences than the configurations."""
+    hist = {512: 300, 258: 600, 254: 600, 340: 900, 342: 900}
+    plan = packing.plan(hist, 1024)
+    assert used(plan) <= plain_best_fit(hist, 1024) and used(plan) <= 1.03 * sum(k * n for k, n in hist.items()) / 1024
+
+
+def test_an_unsolved_relaxation_raises():
+    import numpy as np
+    with pytest.raises(RuntimeError):
+        packing.configurations(np.array([600, 400]), np.array([10, 10]), 1024, gap=-1.0)

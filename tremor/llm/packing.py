@@ -11,11 +11,11 @@ entries whatever the number of documents:
 2. the best mix of configurations (multisets of the few rounded sizes that fit one
    sequence) is found by column generation: a small linear program whose pricing step
    is an integer knapsack; its solution is rounded down;
-3. the slots of each configuration are filled with actual pieces of the group, which
-   are at most as long as the slot;
-4. what is left, and all small pieces, go longest first to the sequences with the
-   least room that still fits (best fit); new sequences open only if none does. A
-   last pass takes the worst filled sequences apart and best-fits their pieces again.
+3. actual pieces are substituted in the slots of each configuration: the longest up to
+   the size of the slot, in the last slot the longest that fits; the room that rounding
+   up leaves takes the longest pieces that fit, small ones mostly;
+4. what is left goes longest first to the sequences with the least room that still fits
+   (best fit); new sequences open only if none does.
 
 All steps handle runs of equal sequences at once, so the plan has a few thousand
 rows. Each piece finds its place by its length and its rank among the pieces of that
@@ -26,7 +26,8 @@ from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,22 +150,30 @@ def _knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[flo
     return float(best[capacity]), counts
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
+# Configurations are optimal when no other could lower their number by more than this share.
+GAP = 1e-4
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> list[tuple[np.ndarray, int]]:
     """(pieces per size, number of sequences): the linear relaxation solved by column
-    generation from one-size configurations, rounded down."""
+    generation from one-size configurations, rounded down. The knapsack of the prices
+    bounds what is left to gain; a basis that has not come within ``gap`` of the optimum
+    after a thousand exchanges per size raises."""
     n = len(sizes)
     scale = float(demand.max())
     d = demand / scale
     basis = np.diag((capacity // sizes).astype(float))
-    for _ in range(rounds):
+    for _ in range(1000 * (n + 1)):
         x = np.linalg.solve(basis, d)
         dual = np.linalg.solve(basis.T, np.ones(n))
         value, counts = _knapsack(dual, sizes, capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + gap:
             break
         step = np.linalg.solve(basis, counts.astype(float))
         ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(np.argmin(ratio))] = counts
+    else:
+        raise RuntimeError(f"configurations of {n} sizes not within {gap} of the optimum: {value - 1} left")
     x = np.linalg.solve(basis, d) * scale
     return [(basis[:, j].astype(np.int64), int(np.floor(x[j] + 1e-6))) for j in range(n) if x[j] >= 1 - 1e-6]
 
@@ -172,8 +181,9 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
 def _best_fit(runs: list[list], left: dict[int, int], capacity: int) -> list[list]:
     """Best fit, longest first: each piece goes to the sequence with the least room
     that still fits, a new one if none does. ``runs`` are [number of equal sequences,
-    room, lengths in a sequence]; equal sequences are filled together."""
-    runs = [[n, room, list(slots)] for n, room, slots in runs]
+    room, lengths in a sequence, how many of them in slots]; equal sequences are filled
+    together."""
+    runs = [[n, room, list(lengths), slots] for n, room, lengths, slots in runs]
     rooms: list[int] = []
     by_room: dict[int, list[int]] = {}
 
@@ -194,7 +204,7 @@ def _best_fit(runs: list[list], left: dict[int, int], capacity: int) -> list[lis
             if at == len(rooms):
                 each = min(capacity // k, n)
                 fit = n // each
-                runs.append([fit, capacity, []])
+                runs.append([fit, capacity, [], 0])
                 i = len(runs) - 1
             else:
                 room = rooms[at]
@@ -205,7 +215,7 @@ def _best_fit(runs: list[list], left: dict[int, int], capacity: int) -> list[lis
                 each = min(room // k, n)
                 fit = min(runs[i][0], n // each)
                 if fit < runs[i][0]:  # only some of these sequences are needed
-                    runs.append([runs[i][0] - fit, room, list(runs[i][2])])
+                    runs.append([runs[i][0] - fit, room, list(runs[i][2]), runs[i][3]])
                     offer(len(runs) - 1)
                     runs[i][0] = fit
             runs[i][2] += [k] * each
@@ -215,78 +225,94 @@ def _best_fit(runs: list[list], left: dict[int, int], capacity: int) -> list[lis
     return runs
 
 
-def _grouped(left: dict[int, int], capacity: int, groups: int, small: int) -> list[list]:
-    """Runs that hold the large pieces by linear grouping; takes them out of ``left``."""
+def _grouped(left: dict[int, int], capacity: int, groups: int, small: int) -> list[tuple[list[int], int]]:
+    """Configurations of rounded sizes for the large pieces, by linear grouping: the
+    descending order is cut into stretches of equal count, each rounded up to its longest.
+    (sizes in descending order, number of sequences), those of the longest pieces first."""
     large = sorted((k for k in left if k >= max(small, 1)), reverse=True)
     total = sum(left[k] for k in large)
     if not total:
         return []
-    # Cut the descending order into stretches of equal count.
-    per, members, filled = max(1, -(-total // groups)), [[]], 0
+    per = max(1, -(-total // groups))
+    rounded: dict[int, int] = {}  # stretches with the same largest length are one size
+    size, filled = 0, per
     for k in large:
         n = left[k]
         while n:
             if filled == per:
-                members.append([])
-                filled = 0
+                size, filled = k, 0
             use = min(n, per - filled)
-            members[-1].append([k, use])
+            rounded[size] = rounded.get(size, 0) + use
             filled += use
             n -= use
-    rounded: dict[int, list] = {}  # stretches with the same largest length are one size
-    for group in members:
-        rounded.setdefault(group[0][0], []).extend(group)
     sizes = np.array(sorted(rounded, reverse=True))
-    demand = np.array([sum(n for _, n in rounded[s]) for s in sizes])
+    found = configurations(sizes, np.array([rounded[int(k)] for k in sizes]), capacity)
+    return sorted((([int(k) for k in np.repeat(sizes, counts)], n) for counts, n in found), reverse=True)
+
+
+def _substituted(left: dict[int, int], capacity: int, planned: list[tuple[list[int], int]]) -> list[list]:
+    """Runs of sequences whose slots hold actual pieces; takes them out of ``left``.
+
+    A slot takes the longest piece up to its size, the last slot the longest that fits
+    behind the others. Pieces are shorter than their rounded sizes, so room is left: it
+    takes the longest pieces that fit. A configuration ends early if no piece is left for
+    one of its slots."""
     runs: list[list] = []
-    for counts, n in configurations(sizes, demand, capacity):
-        want = [(rounded[int(sizes[g])], int(counts[g])) for g in np.flatnonzero(counts)]
-        while n > 0 and all(sum(x for _, x in group) >= k for group, k in want):
-            # As many equal sequences as the current length of each size allows.
-            same = max(1, min([n, *(group[0][1] // k for group, k in want)]))
-            slots = []
-            for group, k in want:
-                for _ in range(k):
-                    slots.append(group[0][0])
-                    left[group[0][0]] -= same
-                    group[0][1] -= same
-                    if group[0][1] == 0:
-                        group.pop(0)
-            runs.append([same, capacity - sum(slots), slots])
+    lengths = sorted(k for k, n in left.items() if n)
+
+    def longest(limit: int, used: Counter) -> int:
+        at = bisect_right(lengths, limit) - 1
+        while at >= 0 and left[lengths[at]] == used[lengths[at]]:
+            at -= 1
+        return lengths[at] if at >= 0 else 0
+
+    for sizes, n in planned:
+        while n:
+            held, used, room = [], Counter(), capacity
+            for k in [*sizes[:-1], capacity]:
+                piece = longest(min(k, room), used)
+                if not piece:
+                    break
+                held.append(piece)
+                used[piece] += 1
+                room -= piece
+            if len(held) < len(sizes):
+                break
+            while room and (piece := longest(room, used)):
+                held.append(piece)
+                used[piece] += 1
+                room -= piece
+            same = min(n, *(left[k] // c for k, c in used.items()))  # as many as these lengths allow
+            for k, c in used.items():
+                left[k] -= same * c
+                if not left[k]:
+                    lengths.remove(k)
+            runs.append([same, room, held, len(sizes)])
             n -= same
     return runs
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 192, small: int | None = None) -> pd.DataFrame:
-    """Rows (length, rank_lo, count, sequence, offset): the pieces of ``length`` with
-    rank ``rank_lo + i``, i < count, go to ``sequence + i`` at ``offset``.
+def plan(histogram: dict[int, int], capacity: int, groups: int = 96, small: int | None = None) -> pd.DataFrame:
+    """Rows (length, rank_lo, count, sequence, offset, in_slot): the pieces of ``length``
+    with rank ``rank_lo + i``, i < count, go to ``sequence + i`` at ``offset``, into a slot
+    of a configuration or as best fit.
 
-    ``groups``: number of equal-cardinality groups; ``small``: lengths below it are
-    left to best fit (default: an eighth of the capacity). Rounding up leaves room that
-    the small pieces may not fill; the sequences with more room than a limit are then
-    taken apart and their pieces best-fitted among themselves, with the limit that
-    needs the fewest sequences."""
+    ``groups``: number of equal-cardinality groups; ``small``: lengths below it have no
+    slots (default: an eighth of the capacity). Small pieces fill the room that rounding up
+    left; what then remains, and what the rounded-down configurations did not hold, is
+    best-fitted."""
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
-    runs = _grouped(left, capacity, groups, capacity // 8 if small is None else small)
-    runs = _best_fit(runs, left, capacity)
-    options = [runs]
-    for limit in (0, 1, 2, 4, 8, 16, 32):
-        again: dict[int, int] = {}
-        for n, room, slots in runs:
-            if room > limit:
-                for k in slots:
-                    again[k] = again.get(k, 0) + n
-        options.append([r for r in runs if r[1] <= limit] + _best_fit([], again, capacity))
-    runs = min(options, key=lambda o: sum(n for n, _, _ in o))
+    planned = _grouped(left, capacity, groups, capacity // 8 if small is None else small)
+    runs = _best_fit(_substituted(left, capacity, planned), {k: n for k, n in left.items() if n}, capacity)
     rows, sequence, rank = [], 0, dict.fromkeys(histogram, 0)
-    for n, _, slots in runs:
+    for n, _, held, slots in runs:
         offset = 0
-        for k in slots:
-            rows.append((k, rank[k], n, sequence, offset))
+        for j, k in enumerate(held):
+            rows.append((k, rank[k], n, sequence, offset, j < slots))
             rank[k] += n
             offset += k
         sequence += n
-    return pd.DataFrame(rows, columns=["length", "rank_lo", "count", "sequence", "offset"]).sort_values(
+    return pd.DataFrame(rows, columns=["length", "rank_lo", "count", "sequence", "offset", "in_slot"]).sort_values(
         ["length", "rank_lo"], ignore_index=True)
 
 
@@ -294,7 +320,7 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 192, small: int
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          tokenizer: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken",
-         capacity: int = 1024, end_id: int = 2, groups: int = 192, keep_ids: bool = False,
+         capacity: int = 1024, end_id: int = 2, groups: int = 96, keep_ids: bool = False,
          rows_per_salt: int = 100_000) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
