@@ -240,3 +240,27 @@ def required_demand(A: DataFrame, dx: DataFrame, keys: Iterable[str] = ("scenari
     keys = list(keys)
     v = dx.select(*keys, *LABEL, F.col("delta_x").alias("value"))
     return linalg.residual(A, v, keys).withColumnRenamed("value", "delta_y")
+
+
+def free_demand_change(eco: Economy, shocks: DataFrame, homes: DataFrame, variant: str = "parity") -> DataFrame:
+    """P1 then P3 at homes that are not shocked, in closed form: ``(scenario_id,
+    home_region, home_sector, delta_y)``, 0 where no cell joins a home to a shock.
+
+    The mixed model solves ``(I − A_nn) Δx_n = b``, and at free labels ``Δy_n = Δx_n −
+    A_nn Δx_n − A_nm Δx_m``; so ``Δy_n = b − A_nm Δx_m = A_mnᵀ Δx_m − A_nm (x_m + Δx_m)``
+    (parity), or zero (textbook): rows and columns of A at the shocked labels, no loop.
+    ``homes``: ``(scenario_id, home_region, home_sector)``; shocked ones have no row here,
+    since their Δy does depend on the free labels (:func:`required_demand`)."""
+    validate_shocks(shocks, eco.labels)
+    key, home = ["scenario_id"], ["home_region", "home_sector"]
+    lv = shock_levels(eco.X, shocks)
+    shocked = lv.select(*key, F.col("region").alias("home_region"), F.col("sector").alias("home_sector"))
+    asked = homes.select(*key, *home).distinct().join(shocked, [*key, *home], "left_anti").join(lv.select(*key).distinct(), key, "left_semi")
+    if variant == "textbook":
+        return asked.withColumn("delta_y", F.lit(0.0))
+    lost = linalg.vecmat(lv.select(*key, *LABEL, F.col("delta_x").alias("value")), eco.A, key)
+    unmet = linalg.matvec(eco.A, lv.select(*key, *LABEL, F.col("x_new").alias("value")), key)
+    moved = (lost.unionByName(unmet.withColumn("value", -F.col("value")))
+             .groupBy(*key, F.col("region").alias("home_region"), F.col("sector").alias("home_sector")).agg(F.sum("value").alias("delta_y")))
+    return (asked.join(moved, [*key, *home], "left")
+            .select(*key, *home, F.coalesce("delta_y", F.lit(0.0)).alias("delta_y")))

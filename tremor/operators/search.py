@@ -134,29 +134,32 @@ def search_runs(pairs: DataFrame, magnitude: float) -> DataFrame:
     return prods.select(F.concat_ws("|", "region", "sector").alias("scenario_id"), *LABEL, F.lit(magnitude).alias("magnitude"))
 
 
-def max_impact_scenario(eco: Economy, pairs: DataFrame, magnitude: float = 0.1,
-                        dx: DataFrame | None = None, tol: float = 1e-16) -> DataFrame:
-    """For every pair, shock the producer by ``magnitude`` (Leontief parity) and
-    measure |Δy| at the consumer; return the pair with the largest positive impact
-    (ties to the smaller labels). All producers run in one batched loop; ``dx`` may
-    pass precomputed ``(scenario_id, region, sector, delta_x)`` of :func:`search_runs`."""
-    shocks = search_runs(pairs, magnitude)
-    if dx is None:
-        dx = propagate.leontief_impact(eco, shocks, "parity", tol)
+def pair_impacts(eco: Economy, pairs: DataFrame, magnitude: float = 0.1, tol: float = 1e-16) -> DataFrame:
+    """|Δy| at the consumer of every pair when its producer is shocked by
+    ``magnitude`` (Leontief parity): ``(shock_region, shock_sector, home_region,
+    home_sector, impact)``.
+
+    A home that is not its own shock needs no loop, its Δy follows from two cells of A
+    (:func:`propagate.free_demand_change`): the cost is a join of the pairs with A,
+    whatever their number. Only producers that are their own home are propagated."""
     home = ["home_region", "home_sector"]
     asked = pairs.select(F.concat_ws("|", "producer_region", "producer_sector").alias("scenario_id"),
                          F.col("producer_region").alias("shock_region"), F.col("producer_sector").alias("shock_sector"),
-                         F.col("consumer_region").alias("home_region"), F.col("consumer_sector").alias("home_sector"))
-    # Δy = Δx − A·Δx at the homes of the pairs: only their rows of A are joined.
-    rows = eco.A.select(F.col("producer_region").alias("home_region"), F.col("producer_sector").alias("home_sector"),
-                        F.col("consumer_region").alias("region"), F.col("consumer_sector").alias("sector"), F.col("value").alias("a"))
-    used = (asked.select("scenario_id", *home).distinct().join(rows, home).join(dx, ["scenario_id", *LABEL])
-            .groupBy("scenario_id", *home).agg(F.sum(F.col("a") * F.col("delta_x")).alias("used")))
-    own = dx.select("scenario_id", F.col("region").alias("home_region"), F.col("sector").alias("home_sector"), "delta_x")
-    scored = (asked.join(own, ["scenario_id", *home]).join(used, ["scenario_id", *home], "left")
-              .select("shock_region", "shock_sector", *home, F.abs(F.col("delta_x") - F.coalesce("used", F.lit(0.0))).alias("impact"))
-              .where(F.col("impact") > 0))
-    # Distributed top-1 (per-partition best, then a merge), ties to the smaller labels.
+                         F.col("consumer_region").alias("home_region"), F.col("consumer_sector").alias("home_sector")).distinct()
+    dy = propagate.free_demand_change(eco, search_runs(pairs, magnitude), asked)
+    own = pairs.where((F.col("producer_region") == F.col("consumer_region")) & (F.col("producer_sector") == F.col("consumer_sector")))
+    if not own.isEmpty():
+        dx = propagate.leontief_impact(eco, search_runs(own, magnitude), "parity", tol)
+        at_home = propagate.required_demand(eco.A, dx).select("scenario_id", F.col("region").alias("home_region"), F.col("sector").alias("home_sector"), "delta_y")
+        dy = dy.unionByName(at_home.where(F.concat_ws("|", *home) == F.col("scenario_id")))
+    return asked.join(dy, ["scenario_id", *home]).select("shock_region", "shock_sector", *home, F.abs("delta_y").alias("impact"))
+
+
+def max_impact_scenario(eco: Economy, pairs: DataFrame, magnitude: float = 0.1, tol: float = 1e-16) -> DataFrame:
+    """The pair with the largest positive impact (:func:`pair_impacts`), ties to the
+    smaller labels. No row if no pair has one."""
+    scored = pair_impacts(eco, pairs, magnitude, tol).where(F.col("impact") > 0)
+    # Distributed top-1 (per-partition best, then a merge).
     return scored.orderBy(F.col("impact").desc(), "shock_region", "shock_sector", "home_region", "home_sector").limit(1)
 
 

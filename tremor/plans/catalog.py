@@ -681,7 +681,7 @@ def high_flow_pairs(spark, d):
 def max_impact_scenario(spark, d):
     """The pair whose 10 % producer shock moves the consumer's Δy most."""
     eco = store.economy(spark, d)
-    best = search.max_impact_scenario(eco, store.pairs(spark, d), fixtures.SEARCH_MAGNITUDE, store.search_dx(spark, d))
+    best = search.max_impact_scenario(eco, store.pairs(spark, d), fixtures.SEARCH_MAGNITUDE)
     return best.select("shock_region", "shock_sector", "home_region", "home_sector", money("impact"))
 
 

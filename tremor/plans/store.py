@@ -1,7 +1,7 @@
 """Session-level materialised tables shared by the driver queries.
 
 The economy, the scenario table and one batched propagation (every scenario ×
-method, all rows of L, all columns of G, the search scenarios and x = L·y) are
+method, the rows of L and columns of G asked for, and x = L·y) are
 computed once per (Spark application, data folder) and cut from the lineage in the
 shared checkpoint folder; every report reads them. This is the "many scenarios in
 one plan, several reports off one Δx" design: the loop runs once for all of them.
@@ -119,19 +119,15 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         eco = economy(spark, sf_dir)
         sc = scenarios(spark, sf_dir)
         seeds, masks = propagate.impact_seeds(eco, sc, ["ghosh", "leontief", "textbook"])
-        srch = search.search_runs(pairs(spark, sf_dir), fixtures.SEARCH_MAGNITUDE)
-        s_seeds, s_masks = propagate.impact_seeds(eco, srch, ["leontief"])
-        s_seeds = s_seeds.withColumn("kind", F.lit("search"))
-        s_masks = s_masks.withColumn("kind", F.lit("search"))
         x_seed = propagate._keyed(eco.Y, "A_col", "x", "y")
-        all_seeds = seeds.unionByName(s_seeds).unionByName(x_seed)
+        all_seeds = seeds.unionByName(x_seed)
         # Influences on the home, the portfolios and the large producers: runs like others.
         home = homes(spark).select(F.col("home_region").alias("region"), F.col("home_sector").alias("sector")).distinct()
         rows_of_L = home.unionByName(search.large_producers(eco, fixtures.SEARCH_SECTORS, fixtures.DEFAULT_QUANTILE)).distinct()
         for more in (propagate.inverse_seeds(rows_of_L, "A_row", "L"), propagate.inverse_seeds(home, "B_col", "G"),
                      att.portfolio_seeds(portfolios(spark), "ghosh")):
             all_seeds = all_seeds.unionByName(more)
-        return cut_lineage(propagate.solve_runs(eco, all_seeds, masks.unionByName(s_masks)))
+        return cut_lineage(propagate.solve_runs(eco, all_seeds, masks))
     return _memo(spark, sf_dir, "batch", build)
 
 
@@ -202,15 +198,6 @@ def year_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         years(spark, sf_dir), scenarios(spark, sf_dir), ["ghosh", "leontief"])))
 
 
-def search_dx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build():
-        eco = economy(spark, sf_dir)
-        srch = search.search_runs(pairs(spark, sf_dir), fixtures.SEARCH_MAGNITUDE)
-        solved = batch(spark, sf_dir).where(F.col("kind") == "search").withColumn("kind", F.lit("leontief"))
-        return cut_lineage(propagate.assemble_impacts(eco, srch, solved, ["leontief"]).drop("method"))
-    return _memo(spark, sf_dir, "search_dx", build)
-
-
 def gross_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch(spark, sf_dir).where(F.col("kind") == "x").select(*LABEL, "value")
 
