@@ -27,6 +27,10 @@ NO_ISO3_LAST_DIGIT = 9
 # Extra region groups on top of the driver's `region` table.
 CORE_GROUP_MAX_KEY = 8          # CORE = nations with key below this
 EMPTY_GROUP_MEMBERS = ["XX"]    # a group whose only member is absent; must vanish
+# Largest number of rows of a dimension of the lines that is broadcast: some 30 MB in the
+# driver. Spark's own choice goes by the size of the compressed file, which lets a
+# dimension of millions of rows pass through the driver.
+MAX_DIMENSION_ROWS = 500_000
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +44,13 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.select("sector", (F.row_number().over(Window.orderBy("sector")) - 1).alias("sid"))
 
 
-def line_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dimension(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` broadcast up to so many rows (counted from the file footers), and beyond that
+    joined by shuffles, never through the driver."""
+    return F.broadcast(df) if df.count() <= max_rows else df.hint("merge")
+
+
+def line_cube(spark: SparkSession, sf_dir: str, max_dimension_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
     """Line value and quantity summed by (producer label keys, consumer label keys,
     year, return flag, line status). Keys are integers until the very end."""
     li = _read(spark, sf_dir, "lineitem").select(
@@ -53,15 +63,18 @@ def line_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
 
-    # Star join on three keys (part, supplier, order → customer); lines go into the
+    # Star join on three keys (supplier, part, order → customer); lines go into the
     # order join once, and the aggregation into the cube sums map-side, so the only
-    # shuffles of line-sized data are those the joins need (none when the dimension
-    # side is small enough for Spark's size-checked broadcast).
-    prod = (li.join(part, li.l_partkey == part.p_partkey)
-              .join(supplier, li.l_suppkey == supplier.s_suppkey)
+    # shuffles of line-sized data are those the joins need (none for a dimension that is
+    # small enough to be broadcast; the suppliers, fewest, come first).
+    dim = lambda df: _dimension(df, max_dimension_rows)
+    prod = (li.join(dim(supplier), li.l_suppkey == supplier.s_suppkey)
+              .join(dim(part), li.l_partkey == part.p_partkey)
               .select("l_orderkey", "s_nationkey", "psid", "l_returnflag", "l_linestatus", "v", "l_quantity"))
-    cons = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
+    cons = orders.join(dim(customer), orders.o_custkey == customer.c_custkey).select(
         "o_orderkey", "year", "c_nationkey", "c_mktsegment")
+    if orders.count() > max_dimension_rows:
+        cons = cons.hint("merge")
     return (prod.join(cons, prod.l_orderkey == cons.o_orderkey)
             .groupBy("s_nationkey", "psid", "c_nationkey", "c_mktsegment", "year", "l_returnflag", "l_linestatus")
             .agg(F.sum("v").alias("v"), F.sum("l_quantity").alias("q")))
@@ -70,7 +83,7 @@ def line_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build(spark: SparkSession, sf_dir: str) -> Economy:
     nation = _read(spark, sf_dir, "nation")
     region = _read(spark, sf_dir, "region")
-    seg = F.broadcast(segments(spark, sf_dir))          # five rows
+    seg = F.broadcast(cut_lineage(segments(spark, sf_dir)))  # five rows, from one scan of the customers
     nat = F.broadcast(nation.select("n_nationkey", "n_name"))  # one row per nation
 
     cube = cut_lineage(line_cube(spark, sf_dir))

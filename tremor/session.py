@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,18 +66,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable checkpoint) and
-    return a DataFrame that reads it back.
+    """Materialise ``df`` as Parquet in the shared checkpoint folder and return a
+    DataFrame that reads it back.
 
     Later jobs, and recomputation after a lost executor, start from the files; the
-    plan above them is a plain scan, so the optimizer does not re-plan the upstream
-    query on every action. The persist before the checkpoint keeps Spark from
-    computing ``df`` twice (once for the count, once for the write)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.persist()
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+    plan above them is a plain scan of known size, so the optimizer does not re-plan the
+    upstream query on every action. One job computes ``df`` and writes it. It is not
+    persisted before: a cached plan keeps all of ``spark.sql.shuffle.partitions``, and so
+    would every table, union and cross join that is derived from it. As it is, Spark
+    coalesces the last shuffle by its size, and a small table is one partition whatever
+    the number of shuffle partitions. The files stay until the folder is deleted."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
